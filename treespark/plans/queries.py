@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.diff import diff_trees, plan_summary
+from . import tree_queries
+from .fixtures import Fixtures
+
+PARTS = [tree_queries]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By top directory: how many entries a restore of the master inventory over the local one copies, replaces, deletes."""
+    f = Fixtures(spark, sf_dir)
+    return plan_summary(diff_trees(f("tree_master"), f("tree_local"))).orderBy("prefix")
+
 
 def queries() -> dict:
-    return {}
+    return {name: job for part in PARTS for name, job in part.R.jobs.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.R.sql.items()}
