@@ -51,9 +51,9 @@ def authorize_changes(changes: DataFrame, subscr: DataFrame, wipes: DataFrame) -
     walk = changes.select("path", "to_path").distinct().select("path", F.explode(F.array("path", "to_path")).alias("end"), "to_path").where("end is not null")
     under = walk.withColumn("prefix", F.explode(ancestors_of(F.col("end"), include_self=True))).join(pend, "prefix", "left_semi").select("path", "to_path")
     above = pend.select(F.explode(ancestors_of(F.col("prefix"))).alias("path")).distinct().withColumn("_over", F.lit(True))
-    hit = under.distinct().withColumn("_under", F.lit(True))
+    hit = under.distinct().select(F.col("path").alias("_p"), F.col("to_path").alias("_t"), F.lit(True).alias("_under"))
     rows = changes.join(small_side(subscr.select("slave", "checkout", "central")), ["slave", "checkout"], "left")
-    rows = rows.join(hit, (rows["path"] == hit["path"]) & rows["to_path"].eqNullSafe(hit["to_path"]), "left").drop(hit["path"]).drop(hit["to_path"]).join(above, "path", "left")
+    rows = rows.join(hit, (F.col("path") == F.col("_p")) & F.col("to_path").eqNullSafe(F.col("_t")), "left").drop("_p", "_t").join(above, "path", "left")
     inside = lambda p: F.coalesce(covers(F.col("central"), F.col(p)), F.lit(False))
     reserved = lambda p: F.coalesce(top_of(F.substr(F.col(p), F.when(F.col("central") == "/", 1).otherwise(F.length("central") + 1))).isin(*RESERVED), F.lit(False))
     wiping = F.col("_under").isNotNull()

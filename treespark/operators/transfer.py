@@ -113,11 +113,11 @@ def chunk_bodies(bodies: DataFrame, most: int = LARGE_BYTES) -> DataFrame:
 def reassemble(chunks: DataFrame, most: int = LARGE_BYTES) -> DataFrame:
     """T5. (path, body, problem): whole bodies; problem names an oversize chunk, a gap, or a total that doesn't fit."""
     rows = chunks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("chunk", F.hex("data").alias("hex")))).alias("parts"), F.max("total").alias("total"))
-    size = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + F.length(p["hex"]) / 2, lambda n: n.cast("bigint"))
+    digits = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + F.length(p["hex"]))
     problem = decide(
         (F.exists("parts", lambda p: F.length(p["hex"]) > 2 * most), "oversize"),
         (F.exists(F.transform("parts", lambda p, i: p["chunk"] != i), lambda x: x), "gap"),
-        (size != F.col("total"), "total"),
+        (digits != 2 * F.col("total"), "total"),
     )
     body = F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), ""))
     return rows.withColumn("problem", problem).select("path", F.when(F.col("problem").isNull(), body).alias("body"), "problem")

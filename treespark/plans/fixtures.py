@@ -121,7 +121,8 @@ def _levels(tree: str, name: str, deepest: int = 3) -> dict[str, str]:
     return out
 
 
-DUCK = _texts(Duck) | _levels("tree_master", "index_master") | _levels("tree_local", "index_local")
+MIXED = "select * from tree_local where not (path='/src1' or path like '/src1/%') union all select * from tree_master where path='/src1' or path like '/src1/%'"
+DUCK = _texts(Duck) | {"tree_mixed": MIXED} | _levels("tree_master", "index_master") | _levels("tree_local", "index_local") | _levels("tree_mixed", "index_mixed")
 SPARK = _texts(Spark)
 
 

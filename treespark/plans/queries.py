@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.diff import diff_trees, plan_summary
-from . import tree_queries
+from . import diff_queries, log_queries, status_queries, tree_queries
 from .fixtures import Fixtures
 
-PARTS = [tree_queries]
+PARTS = [tree_queries, diff_queries, log_queries, status_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
