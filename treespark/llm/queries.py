@@ -83,5 +83,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+ORACLES = {
+    "op1_nearest_neighbours": """
+        with v as (select distinct vec_id, cast(embedding as double[]) e from embeddings where vec_id is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            s as (select q.vec_id query_id, c.vec_id vec_id, list_inner_product(q.e, c.e) score from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0)
+        select query_id, cast("rank" as integer) "rank", vec_id, score
+        from (select *, row_number() over (partition by query_id order by score desc, vec_id) "rank" from s) x where "rank" <= 20""",
+    "op5_chat_formatting": """
+        with t as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
+                union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+            e as (select *, {role} er, {text} et from t)
+        select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, r, t)) turns_sha256,
+            cast(coalesce(sum(case when r = 'assistant' then length(t) end), 0) as bigint) loss_chars,
+            sha256(coalesce(string_agg(t, '' order by turn, r, t) filter (where r = 'assistant'), '')) loss_sha256,
+            cast(sum(length(er) + length(et) + 33) as bigint) formatted_chars
+        from e group by conv_id""",
+    "op10_quality_rules": r"""
+        with d as (select doc_id, coalesce(text, '') t from documents),
+            w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w,
+                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from d),
+            p as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select doc_id, w, unnest(range(1, len(w) - 1)) i from w) x),
+            r as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) n from p) x where n > 1),
+            c as (select doc_id, count(distinct j) n from (select doc_id, unnest([i, i + 1, i + 2]) j from r) x group by 1),
+            g as (select *, list_filter(l, lambda x: not ((length(trim(x, {white})) - length(translate(trim(x, {white}), '{marks}', ''))) * 10 > length(trim(x, {white}))
+                or length(x) - length(translate(x, '|»›•', '')) >= 3 or regexp_matches(x, '{stock}'))) good from w),
+            b as (select g.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) word_chars,
+                cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, cast(coalesce(c.n, 0) as bigint) n_repeat_words,
+                case when coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) = 0 then 1.0
+                    else 1 - cast(coalesce(list_sum(list_transform(good, lambda x: length(x))), 0) as double) / cast(list_sum(list_transform(l, lambda x: length(x))) as double) end lost_share
+                from g left join c on c.doc_id = g.doc_id)
+        select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost_share <= 0.5 kept from b""",
+}
+
+
+def _escaped(name: str) -> str:
+    out = f"replace({name}, chr(92), chr(92) || chr(92))"
+    for mark in chat.CONTROL:
+        out = f"replace({out}, '{mark}', '{mark[0]}' || chr(92) || '{mark[1:]}')"
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    fill = {"{role}": _escaped("r"), "{text}": _escaped("t"), "{white}": white, "{marks}": rules.MARKS, "{stock}": rules.BOILERPLATE}
+    found = dict(ORACLES)
+    for name, sql in found.items():
+        for key, value in fill.items():
+            sql = sql.replace(key, value)
+        found[name] = sql
+    return found
