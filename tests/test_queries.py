@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from treespark.plans import queries as Q
@@ -13,7 +14,7 @@ TABLES = "documents events pages".split()
 
 def rows(pdf):
     pdf = pdf[sorted(pdf.columns)]
-    plain = lambda v: None if v is None or v != v else int(v) if isinstance(v, bool) or hasattr(v, "is_integer") and float(v).is_integer() else str(v)[:26]
+    plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, bool) or hasattr(v, "is_integer") and float(v).is_integer() else str(v)[:26]
     return sorted((tuple(map(plain, r)) for r in pdf.itertuples(index=False)), key=str)
 
 
