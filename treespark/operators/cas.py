@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import decide, keys, small_side
@@ -99,7 +99,7 @@ def two_phase_cas(announces: DataFrame, finishes: DataFrame, index: DataFrame) -
     pend = announces.select("path", "want_hash", "op", "basis", "new_node", F.col("seq").alias("announce_seq"))
     first = pend.groupBy("path", "want_hash").agg(F.min_by(F.struct("op", "basis", "new_node"), "announce_seq").alias("p"))
     rows = finishes.join(first, ["path", "want_hash"], "left").join(index.select("path", F.col("content_hash").alias("live")), "path", "left")
-    failed = F.row_number().over(_by("path", "want_hash", "body_ok").orderBy("finish_seq"))
+    failed = F.row_number().over(Window.partitionBy("path", "want_hash", "body_ok").orderBy("finish_seq"))
     rows = rows.withColumn("nth", failed)
     known = F.col("p").isNotNull()
     bodies = decide((~known & F.col("live").eqNullSafe(F.col("want_hash")), "accept"), (~known, "unknown_transfer"), (~F.col("body_ok") & (F.col("nth") == 1), "retry_whole"), (~F.col("body_ok"), "keep_live"), otherwise="cas")
@@ -110,12 +110,6 @@ def two_phase_cas(announces: DataFrame, finishes: DataFrame, index: DataFrame) -
     return out.select("finish_seq", "path", "want_hash", F.coalesce("_cas", "verdict").alias("verdict"))
 
 
-def _by(*names: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*names)
-
-
 def decide_incoming(announces: DataFrame, local: DataFrame) -> DataFrame:
     """C5. announces (path, kind, content_hash, node, basis) with action at a replica that holds local."""
     mine = local.select("path", F.col("kind").alias("_kind"), F.col("content_hash").alias("_content"), F.col("node").alias("_node"))

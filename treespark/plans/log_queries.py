@@ -210,8 +210,7 @@ def a6(f):
     return A.diff_dimensions(f("subscr"), f.sql(NEW_SUBS), ["slave", "checkout"], ["central"])
 
 
-CONNECTS = "select event_id session, ts, 's'||cast(user_id%8 as string) slave, 'key-'||cast((user_id+case when event_id%50=0 then 1 else 0 end)%8 as string) public_key from messages0"
-CONNECTS = CONNECTS.replace("messages0", "(select event_id, ts, cast(substr(slave,2) as int) user_id from messages) m0")
+CONNECTS = "select event_id session, ts, 's'||cast(user_id%8 as string) slave, 'key-'||cast((user_id+case when event_id%50=0 then 1 else 0 end)%8 as string) public_key from (select event_id, ts, cast(substr(slave,2) as int) user_id from messages) m"
 
 
 @R.add("a7_live_sessions", f"""select session, slave, public_key, row_number() over (partition by slave order by ts, session) generation, session=max(session) over (partition by slave) and session=max(session) over (partition by public_key) live from ({CONNECTS}) c""")

@@ -32,7 +32,7 @@ def p2(f):
 ANCESTORS = "select path, case when i=0 then '/' else array_to_string(list_slice(string_split(path,'/'),1,i+1),'/') end ancestor from (select path, unnest(range(0,depth)) i from {0}_p) x"
 
 
-@R.add("p3_ancestors", ANCESTORS.format("index_master").replace("from (select", "from (select"))
+@R.add("p3_ancestors", ANCESTORS.format("index_master"))
 def p3(f):
     return P.explode_ancestors(f("tree_master").select("path"))
 
