@@ -76,14 +76,11 @@ def fold_changes_stream(changes: DataFrame) -> DataFrame:
 
 
 class FreshGauges(StatefulProcessor):
-    """E9. Per (peer, generation): the largest seq so far, forgotten after expire_ms without a newer one (processing time);
-    frames that aren't newer are dropped."""
-
-    def __init__(self, expire_ms: int):
-        self.expire_ms = expire_ms
+    """E9. Per (peer, generation): the largest seq so far; frames that aren't newer are dropped. State is one number for each
+    session of a peer."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.top = handle.getValueState("top", "seq bigint", ttlDurationMs=self.expire_ms)
+        self.top = handle.getValueState("top", "seq bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         log = pd.concat(list(rows)).sort_values(["received", "seq"])
@@ -101,11 +98,11 @@ class FreshGauges(StatefulProcessor):
         pass
 
 
-def fresh_gauges_stream(gauges: DataFrame, session_s: int = 86_400) -> DataFrame:
+def fresh_gauges_stream(gauges: DataFrame) -> DataFrame:
     """E9. M8's filter by seq on a stream: the accepted gauges (peer, generation, seq, received, stage, depth)."""
     kind = "peer string, generation long, seq long, received timestamp, stage string, depth long"
     rows = gauges.select("peer", "generation", "seq", "received", "stage", "depth").groupBy("peer", "generation")
-    return rows.transformWithStateInPandas(FreshGauges(session_s * 1000), kind, "Append", "ProcessingTime")
+    return rows.transformWithStateInPandas(FreshGauges(), kind, "Append", "None")
 
 
 class Echoes(StatefulProcessor):
