@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,20 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most `size` bytes from now on, so that Python workers' memory doesn't follow the texts' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system, at a task's end: Python workers live on and serve other stages."""
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it has
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """df (a written table) with a broadcast hint if it has at most max_rows rows; otherwise df, and
     Spark shuffles both sides and splits hot keys."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 
 SPACE = "▁"
 MAX_NODES = 600_000
@@ -112,6 +112,7 @@ class TokenCounter:
 
 def count_tokens(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """docs with n_pretokens and n_tokens."""
+    bounded_batches(docs.sparkSession)
     file = model_file or public_tokenizers.path("piece_bpe_32k.model")
     kind = T.StructType([T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
 

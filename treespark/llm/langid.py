@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches, release_memory
+
 ORDER = 3
 PAD = b"\n" * ORDER
 BLOCK = 1 << 20
@@ -45,9 +47,13 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                raw = np.frombuffer(PAD + PAD.join(t.encode() for t in texts), np.uint8).astype(np.uint32)
-                grams, n = np.unique(raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:], return_counts=True)
+                parts = [PAD + t.encode() for t in texts]
+                raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+                own = np.ones(len(raw), bool)  # the padding is context only
+                own[(np.cumsum([0, *map(len, parts[:-1])])[:, None] + np.arange(ORDER)).ravel()] = False
+                grams, n = np.unique((raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:])[own[ORDER:]], return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": grams.astype("int64"), "n": n})
+        release_memory()
 
     return docs.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -55,7 +61,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 class ContextTrees:
     """Code lengths in bits, tabled by context node, byte and language."""
 
-    def __init__(self, counts: pd.DataFrame, max_cells: int = 12_000_000):
+    def __init__(self, counts: pd.DataFrame, max_cells: int = 4_000_000):
         self.langs = sorted(counts["lang"].unique())
         gram, n = counts["gram"].to_numpy("int64"), counts["n"].to_numpy("float64")
         lang = counts["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy("int64")
@@ -119,8 +125,9 @@ class ContextTrees:
             np.add.at(out[:, k], [i for i, _ in group], sums)
 
 
-def train(docs: DataFrame, max_train_chars: int = 3_000_000, max_cells: int = 12_000_000) -> ContextTrees | None:
+def train(docs: DataFrame, max_train_chars: int = 3_000_000, max_cells: int = 4_000_000) -> ContextTrees | None:
     """Context trees from the texts of docs that are not held out and whose lang is known; None if there are none."""
+    bounded_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & has_letter() & ~held_out()).select(F.col("doc_id"), "lang", "text")
     sizes = {r["lang"]: r["chars"] for r in known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()}
     if not sizes:
@@ -158,6 +165,7 @@ def predict(docs: DataFrame, model: ContextTrees | None) -> DataFrame:
                 out.loc[known, "p"] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
                 out.loc[known, "bits"] = least / [len(t.encode()) for t in own]
             yield out
+        release_memory()
 
     return (
         kept.withColumn("lang_pred", judged(F.when(has_letter(), F.col("text"))))

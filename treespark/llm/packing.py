@@ -29,7 +29,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import bounded_batches, release_memory, text_or_empty, written
 from .tokens import MemoEncoder
 
 BUCKETS = 4096
@@ -63,6 +63,8 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokeniz
                     rows.append((doc_id, k, a, b - a, crc32(own), bucket, *([np.frombuffer(own, "<u4").astype("int64")] if with_ids else [])))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "bucket", *["ids"] * with_ids])
             yield out.astype({"doc_id": "Int64"})
+        encode.forget()
+        release_memory()
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int" + ", ids array<long>" * with_ids
     bucket = (F.spark_partition_id() % BUCKETS).alias("bucket")
@@ -209,5 +211,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, **search) -> DataFrame:
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, **search) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset."""
+    bounded_batches(docs.sparkSession)
     pieces = written(token_pieces(docs, capacity, end_id, with_ids=with_ids), "pieces")
     return pack_pieces(pieces, capacity, **search)

@@ -12,7 +12,7 @@ max_broadcast_paths rows and by shuffle beyond.
 
 Defined results: null text counts as empty; a null host or path is a group of its own; several labels of a
 document count by their mean; null labels and labels of unknown documents count not at all; without labels of both
-kinds the evidence is 0 and every score is the prior 0.5 (kept). Extra columns are kept; columns named like added ones
+kinds the evidence is 0 and every score is near the prior 0.5 (kept). Extra columns are kept; columns named like added ones
 are replaced; repeated rows are scored each.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_side, text_or_empty, written
+from .common import bounded_batches, release_memory, small_side, text_or_empty, written
 
 EDGES = (0.0, 0.03, 0.1, 0.3)
 BINS = len(EDGES) + 1
@@ -58,6 +58,7 @@ N_FEATURES = 6
 def _features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([features(t) for t in batch])
+    release_memory()
 
 
 def fit(binned: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -89,8 +90,9 @@ def _logit(p):
     return F.log(p / (1 - p))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, max_broadcast_paths: int = 50_000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.3, max_broadcast_paths: int = 50_000) -> DataFrame:
     """docs with evidence, path_prior, quality_score (0 to 1) and quality_keep (score at least threshold)."""
+    bounded_batches(docs.sparkSession)
     keys = {"_host": F.col(host).cast("string"), "_path": F.col(path).cast("string")}
     binned = written(docs.select("doc_id", *[c.alias(n) for n, c in keys.items()], _features(text_or_empty()).alias("bins")), "features")
     ratios, share = fit(binned, labels)
@@ -120,6 +122,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
         at = np.arange(N_FEATURES)
         for batch in texts:
             yield pd.Series([ratios[at, features(t)].sum() for t in batch], dtype="float64")
+        release_memory()
 
     added = ["evidence", "path_prior", "quality_score", "quality_keep"]
     kept = docs.select(*[c for c in docs.columns if c not in added])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty, written
+from .common import bounded_batches, release_memory, text_or_empty, written
 
 BLOCK = 1 << 15
 
@@ -54,6 +54,7 @@ def simhash(text: str, width: int = 3, seed: int = 42) -> int:
 def _simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([simhash(t) for t in batch], dtype="int64")
+    release_memory()
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -114,6 +115,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def simhash_components(docs: DataFrame, text: str = "text", max_bits: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row of docs."""
+    bounded_batches(docs.sparkSession)
     own = written(fingerprints(docs, text), "fingerprints")
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(fps.select("fp"), max_bits))

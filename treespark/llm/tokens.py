@@ -9,8 +9,9 @@ those of the `tokenizers` library on the whole text.
 from __future__ import annotations
 
 import base64
+import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from struct import pack
 
 import numpy as np
@@ -18,7 +19,7 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 150_000
 RUNS = ("  ", "\n\n", " \n", "\n ")
 OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
@@ -53,8 +54,9 @@ class MemoEncoder:
     """Ids (little-endian uint32 bytes) of texts under a byte-level BPE given as tokenizer file and rank file."""
 
     def __init__(self, tokenizer_file: str, rank_file: str):
-        self.whole = Tokenizer.from_file(tokenizer_file)
-        self.special = sorted(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.tokenizer_file = tokenizer_file
+        with open(tokenizer_file, encoding="utf-8") as spec:
+            self.special = sorted(t["content"] for t in json.load(spec)["added_tokens"])
         self.ranks = rank_encoding(rank_file)
         self.first, self.rest = _Words(self._short, ""), _Words(self._short, " ")
         self.line_end = self._short("\n")
@@ -63,6 +65,14 @@ class MemoEncoder:
         ids = self.ranks._core_bpe.encode_single_piece(text.encode()) if one_match else self.ranks.encode_ordinary(text)
         return pack(f"<{len(ids)}I", *ids)
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        return Tokenizer.from_file(self.tokenizer_file)
+
+    def forget(self) -> None:
+        self.first.clear()
+        self.rest.clear()
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
