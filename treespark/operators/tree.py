@@ -40,16 +40,18 @@ def _roll_up(nodes: DataFrame, hash_fn: HashFn) -> DataFrame:
     ks = keys(nodes)
     spark = nodes.sparkSession
     depths = sorted((r[0] for r in nodes.where(F.col("kind") == DIR).select("depth").distinct().collect()), reverse=True)
-    empty = hash_fn(F.lit(b"").cast("binary"))
     done: list[DataFrame] = []
     below = None  # the directories one level down, with their hashes
     for depth in depths:
         leaves = nodes.where((F.col("depth") == depth + 1) & ((F.col("kind") != DIR) | F.col("dir_node").isNotNull())).select(*ks, "parent", "name", "kind", _child().alias("child"))
-        own = nodes.where((F.col("depth") == depth) & (F.col("kind") == DIR) & F.col("dir_node").isNull()).select(*ks, "path", "parent", "name")
         children = leaves if below is None else leaves.unionByName(below.select(*ks, "parent", "name", F.lit(DIR).alias("kind"), F.col("dir_node").alias("child")))
         entry = F.struct("name", child_entry(F.col("name"), F.col("kind"), F.col("child")).alias("entry"))
-        hashed = children.groupBy(*ks, F.col("parent").alias("path")).agg(list_hash(F.collect_list(entry), hash_fn).alias("dir_node"))
-        below = own.join(hashed, [*ks, "path"], "left").withColumn("dir_node", F.coalesce("dir_node", empty))
+        listed = children.select(*ks, F.col("parent").alias("path"), entry.alias("e"))
+        own = nodes.where((F.col("depth") == depth) & (F.col("kind") == DIR) & F.col("dir_node").isNull()).select(*ks, "path", "parent", "name", F.lit(True).alias("own"))
+        # a directory's own row and its children's meet in one shuffle; without children its list is empty
+        level = listed.unionByName(own, allowMissingColumns=True).groupBy(*ks, "path")
+        hashed = level.agg(list_hash(F.collect_list("e"), hash_fn).alias("dir_node"), F.max("parent").alias("parent"), F.max("name").alias("name"), F.max("own").alias("own"))
+        below = hashed.where("own").drop("own")
         below = written(below, "level")
         done.append(below.select(*ks, "path", "dir_node"))
     out = done[0] if done else spark.createDataFrame([], nodes.select(*ks, "path", "dir_node").schema)
