@@ -7,8 +7,7 @@ up in a literal rank map, until no pair has a rank. The next Python step in the
 ids, and decodes ids by concatenating their binary pieces. All three run in one stage; nothing is shuffled, and no text
 or word reaches the driver.
 
-A byte is written as the character of that code (ISO 8859-1), so byte strings are Spark strings. Spark searches a map
-entry by entry; therefore the literal is an array of small maps, chosen by CRC32. Both Python steps forget their words
+A byte is written as the character of that code (ISO 8859-1), so byte strings are Spark strings. Both Python steps forget their words
 together when MAX_WORDS is reached; that changes no result.
 
 Defined results: null text counts as empty (no ids; the digests of nothing); a null doc_id is kept; repeated rows are
@@ -22,7 +21,6 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -31,13 +29,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 from .rules import let
 from .tokens import OTHER_SPACE, RUNS
 
 MAX_WORDS = 250_000
 WORD_ROWS = 2_000
-BUCKETS = 1 << 15
+BUCKETS, SLOTS = 65_537, 524_309  # both prime, so steps spread
 
 
 @lru_cache(maxsize=4)
@@ -46,33 +44,87 @@ def read_ranks(file: str) -> dict[bytes, int]:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<string, int>>: byte strings by the CRC32 of their UTF-8 form; a constant once planned."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for word, rank in ranks.items():
-        own = word.decode("latin-1")
-        buckets[crc32(own.encode()) % BUCKETS][own] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+class Ranks:
+    """The rank map as literals: ranks of single bytes, and the rank of the token that two adjacent ones (by rank) make.
 
+    Spark searches a map, or an array for a value, entry by entry; so the pairs' map is a table hashed without collisions.
+    A pair's key is (first + 1) * 2^17 + second; its slot is key + step * (key / 2^19 + 1) modulo the table's size,
+    with a step for the key's bucket; a slot holds key * 2^17 + rank.
+    """
 
-def fold_word(word: Column, literal: Column) -> Column:
-    """The ids of a pre-token, given as a string of byte characters."""
+    def __init__(self, ranks: dict[bytes, int]):
+        single = [ranks[bytes([b])] for b in range(256)]
+        buckets: dict[int, list[tuple[int, int]]] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    key = (a + 1 << 17) + b
+                    buckets.setdefault(key % BUCKETS, []).append((key, rank))
+        table: list[int | None] = [None] * SLOTS
+        steps = [0] * BUCKETS
+        for n, pairs in sorted(buckets.items(), key=lambda x: -len(x[1])):  # the fullest first, while there is room
+            step = 0
+            while True:
+                slots = [(key + step * ((key >> 19) + 1)) % SLOTS for key, _ in pairs]
+                if len(set(slots)) == len(slots) and all(table[s] is None for s in slots):
+                    break
+                step += 1
+            steps[n] = step
+            for slot, (key, rank) in zip(slots, pairs):
+                table[slot] = (key << 17) + rank
+        self.tables = F.from_json(F.lit(json.dumps({"single": single, "steps": steps, "table": table})), "single array<int>, steps array<int>, table array<bigint>")
 
-    def rank(piece: Column) -> Column:
-        return F.element_at(F.get(literal, F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int")), piece)
 
-    def merged(parts: Column, ranks: Column) -> Column:
-        at = F.array_position(ranks, F.array_min(ranks)).cast("int")
-        pair = F.array(F.concat(F.get(parts, at - 1), F.get(parts, at)))
-        return F.when(F.array_min(ranks).isNull(), parts).otherwise(F.concat(F.slice(parts, F.lit(1), at - 1), pair, F.slice(parts, at + 2, F.size(parts))))
+def pair_rank(tables: Column, a: Column, b: Column) -> Column:
+    def looked_up(key: Column) -> Column:
+        def checked(entry: Column) -> Column:
+            return F.when(F.shiftright(entry, 17) == key, entry.bitwiseAND(F.lit(0x1FFFF)))
 
-    def step(parts: Column, _) -> Column:
-        ranks = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p, i: rank(F.concat(p, F.get(parts, i + 1))))
-        return F.when(F.size(parts) < 2, parts).otherwise(let(ranks, lambda r: merged(parts, r)))
+        step = F.get(tables["steps"], (key % BUCKETS).cast("int"))
+        return let(F.get(tables["table"], ((key + step * (F.shiftright(key, 19) + 1)) % SLOTS).cast("int")), checked)
 
-    letters = F.split(word, "")
-    folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))), letters, step)
-    return let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, rank)))
+    return let((a + 1) * (1 << 17) + b, looked_up)
+
+
+EDGE = (1 << 17) - 1  # stands before and after a word's tokens; no pair has it
+
+
+def fold_words(words: Column, ranks: Ranks) -> Column:
+    """fold_word of each of an array of words; the literals are bound once, so the plan holds one copy of each."""
+    return let(ranks.tables, lambda tables: F.transform(words, lambda w: fold_word(w, tables)))
+
+
+def fold_word(word: Column, ranks: Column) -> Column:
+    """The ids of a pre-token, given as a string of byte characters: a fold over ranked merges.
+
+    The state holds the tokens between edges, and the rank of each adjacent pair. A step merges the leftmost pair of
+    lowest rank, whose rank is the new token, and looks up the two pairs it now makes.
+    """
+
+    def merged(state: Column, low: Column) -> Column:
+        return let(F.array_position(state["pairs"], low).cast("int"), lambda at: joined(state["tokens"], state["pairs"], low, at))
+
+    def joined(tokens: Column, pairs: Column, low: Column, at: Column) -> Column:
+        before, after, rest = F.get(tokens, at - 2), F.get(tokens, at + 1), F.lit(1 << 30)
+        return F.struct(
+            F.flatten(F.array(F.slice(tokens, F.lit(1), at - 1), F.array(low), F.slice(tokens, at + 2, rest))).alias("tokens"),
+            F.flatten(F.array(F.slice(pairs, F.lit(1), at - 2), F.array(pair_rank(ranks, before, low), pair_rank(ranks, low, after)), F.slice(pairs, at + 2, rest))).alias("pairs"),
+        )
+
+    def step(state: Column, _) -> Column:
+        return let(F.array_min(state["pairs"]), lambda low: F.when(low.isNull(), state).otherwise(merged(state, low)))
+
+    edge = F.array(F.lit(EDGE).cast("bigint"))
+    letters = F.transform(F.split(word, ""), lambda c: F.get(ranks["single"], F.ascii(c)).cast("bigint"))
+
+    def folded(tokens: Column) -> Column:
+        pairs = F.transform(F.slice(tokens, F.lit(1), F.size(tokens) - 1), lambda a, i: pair_rank(ranks, a, F.get(tokens, i + 1)))
+        start = F.struct(tokens.alias("tokens"), pairs.alias("pairs"))
+        steps = F.sequence(F.lit(3), F.greatest(F.size(tokens) - 1, F.lit(3)))
+        return F.aggregate(steps, start, step, lambda s: F.slice(s["tokens"], F.lit(2), F.size(s["tokens"]) - 2))
+
+    return let(F.flatten(F.array(edge, letters, edge)), folded)
 
 
 class _Numbers(dict):
@@ -102,8 +154,11 @@ class Splitter:
         self.rest.clear()
 
     def _number(self, text: str) -> bytes:
+        if not text:
+            return b""
         out = b""
-        for word in self.find(text):
+        stem = text[1:-1] if text[0] == " " else text[:-1]
+        for word in [text[:-1], text[-1]] if text[-1] in ".," and stem.isalpha() else self.find(text):  # a run of letters and one mark
             n = self.numbers.get(word)
             if n is None:
                 n = self.numbers[word] = len(self.numbers)
@@ -163,8 +218,9 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "n_tokens": "int64"})
 
-    literal = rank_literal(read_ranks(file))
+    bounded_batches(docs.sparkSession)
+    literal = Ranks(read_ranks(file))
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(split, "reset boolean, doc_id long, numbers binary, words array<string>")
-    encoded = numbered.withColumn("words", F.transform("words", lambda w: fold_word(w, literal)))
+    encoded = numbered.withColumn("words", F.when(F.col("words").isNotNull(), fold_words(F.col("words"), literal)))
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded binary" * with_ids
     return encoded.mapInPandas(assemble, kind)
