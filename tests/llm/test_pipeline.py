@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from treespark.llm import langid, quality
+from treespark.llm import langid, quality, shingles
 from treespark.llm.common import written
 
 from .test_operators import plain_simhash
@@ -89,3 +89,32 @@ def test_rows_without_ids_and_repeats_survive_dedup(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, DATA)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 4), (False, 9), (True, 0), (True, 0)]
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), DATA).count() == 0
+
+
+def five_word_sets(texts):
+    out = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        out.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+@pytest.mark.parametrize("open_pairs", [0, 4])  # with stars, and by all pairs at once
+def test_dedup_drops_near_copies_by_five_word_similarity(spark, monkeypatch, open_pairs):
+    monkeypatch.setattr(shingles, "OPEN", open_pairs)
+    rng, rows = np.random.default_rng(3), []
+    for family in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for _ in range(8):  # 0 to 12 changed words: similarities from 1 down to about 0.5
+            own = list(words)
+            for at in rng.choice(200, rng.integers(0, 13), replace=False):
+                own[at] = f"x{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(own), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sets, group = five_word_sets(r[1] for r in rows), list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect())
+    assert kept == [i for i, g in enumerate(group) if i == g] and 12 < len(kept) < 96
