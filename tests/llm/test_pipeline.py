@@ -118,3 +118,10 @@ def test_dedup_drops_near_copies_by_five_word_similarity(spark, monkeypatch, ope
                 group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect())
     assert kept == [i for i, g in enumerate(group) if i == g] and 12 < len(kept) < 96
+
+
+def test_dedup_keeps_one_row_of_each_group_where_an_id_has_two_texts(spark):
+    texts = [(1, "one two three four five"), (7, "one two three four five"), (7, "six seven eight nine ten"), (8, "six seven eight nine ten"), (9, "a b c d e"), (9, "f g h i j")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect())
+    assert kept == [(1, texts[0][1]), (7, texts[2][1]), (9, texts[4][1]), (9, texts[5][1])]
