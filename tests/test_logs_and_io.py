@@ -156,3 +156,19 @@ def test_rate_limit_counts_only_allowed(spark):
     df = spark.createDataFrame(rows, "ip string, ts timestamp, id long")
     assert [r.allowed for r in M.rate_limit(df, 2).orderBy("id").collect()] == [True, True, False, False, True, True]
     assert not any(r.allowed for r in M.rate_limit(df, 0).collect())
+
+
+def test_s9_streams_changes_from_many_tasks(spark, monkeypatch):
+    from treespark.plans import fixtures, status_queries
+
+    plans, streamed = [], status_queries.streamed
+
+    def seen(f, changes):
+        plans.append(changes._jdf.queryExecution().optimizedPlan().toString())
+        return streamed(f, changes)
+
+    monkeypatch.setattr(status_queries, "streamed", seen)
+    f = fixtures.Fixtures(spark, "/root/testdata/sf0.001")
+    got = sorted(map(tuple, status_queries.s9(f).collect()), key=str)
+    assert got == sorted(map(tuple, f("index_local").select("path", "kind", "node", "dir_node").collect()), key=str)
+    assert plans and "Repartition 1," not in plans[0]

@@ -337,7 +337,7 @@ def s9(f):
     name = uuid.uuid4().hex
     root, mark = (f"{shared_dir(f.spark)}/treespark/{kind}-{name}" for kind in ("index", "mark"))
     snapshots.write_snapshot(f("index_master").withColumn("ck", F.lit("")), root)
-    changes = to_local(f).withColumn("seq", F.lit(1).cast("bigint")).coalesce(1)
+    changes = to_local(f).withColumn("seq", F.lit(1).cast("bigint"))
     jobs.merge_stream_into_index(streamed(f, changes), root, mark).awaitTermination()
     return snapshots.read_snapshot(f.spark, root).select("path", "kind", "node", "dir_node")
 
