@@ -1,17 +1,25 @@
 """Byte-level BPE encoding and decoding by folds in Spark's higher-order functions.
 
-Method: texts are split into pre-tokens in Python tasks, which name each distinct pre-token of the task by a number and
-pass on (a) the new distinct words, as arrays of byte characters, and (b) every document as a list of numbers. Spark
-then folds each distinct word: `aggregate` merges, step by step, the leftmost adjacent pair of lowest rank, looked
-up in a literal rank map, until no pair has a rank. The next Python step in the same task replaces numbers by the word's
-ids, and decodes ids by concatenating their binary pieces. All three run in one stage; nothing is shuffled, and no text
-or word reaches the driver.
+Method: Python tasks cut their texts into pre-tokens, chunk by chunk, and number a chunk's distinct ones. The words of all
+chunks meet in one shuffle, where each distinct word of the corpus is folded once, in Spark: `aggregate` over the word's
+byte array merges, step by step, the leftmost adjacent pair of lowest rank, looked up in a literal rank map, until
+no pair has a rank. A second shuffle brings the ids to the chunks that hold the word and, beside them, each document as a list
+of its words' numbers; there numbers become ids, and ids are decoded by concatenating their binary pieces. No text
+or word reaches the driver, and no group is collected: a chunk's rows stream through, words first.
 
-A byte is written as the character of that code (ISO 8859-1), so byte strings are Spark strings. Both Python steps forget their words
-together when MAX_WORDS is reached; that changes no result.
+The chunks are cut twice, once for their words and once for their documents, by the same scan; so docs has to give the same rows in
+the same partitions and order each time, as files and written tables do. That is checked: a document whose decoded bytes aren't those of its
+text raises an error.
+
+A fold copies its state at each merge, so it would be quadratic in a word's length. Words beyond LONG bytes are folded in
+blocks: the state is an array of blocks, each with its tokens and pairs, and an array of the blocks' lowest ranks. A merge copies one
+block and the list of blocks; a merge at a block's edge joins two blocks first. So a word of n bytes costs about n ** 1.5.
+
+A byte is written as the character of that code (ISO 8859-1) while words are shuffled, and as a number in the fold.
 
 Defined results: null text counts as empty (no ids; the digests of nothing); a null doc_id is kept; repeated rows are
-encoded each; extra columns are ignored; special tokens are ordinary text; an empty table gives an empty result.
+encoded each; very long texts and words are encoded whole; extra columns are ignored; special tokens are ordinary
+text; an empty table gives an empty result. Ties between pairs of one rank go to the leftmost.
 """
 
 from __future__ import annotations
@@ -21,21 +29,29 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty
+from . import segments
+from .common import bounded_batches, release_memory, text_or_empty
 from .rules import let
-from .tokens import OTHER_SPACE, RUNS
 
-MAX_WORDS = 250_000
-WORD_ROWS = 2_000
-BUCKETS, SLOTS = 65_537, 524_309  # both prime, so steps spread
+LONG = 256
+SPREAD = 1 << 19
+NONE = 1 << 17  # this and above: no rank
+TOKEN = 1 << 40  # a token stands in the fold's state as TOKEN + its rank, above all pairs
+NO_PAIR = TOKEN - 1
+REST = 1 << 30
+#: A place is a chunk and, in its lower bits, a word's number; documents have the LAST number of their chunk.
+NUMBER = 28
+LAST = (1 << NUMBER) - 1
 
 
 @lru_cache(maxsize=4)
@@ -47,180 +63,241 @@ def read_ranks(file: str) -> dict[bytes, int]:
 class Ranks:
     """The rank map as literals: ranks of single bytes, and the rank of the token that two adjacent ones (by rank) make.
 
-    Spark searches a map, or an array for a value, entry by entry; so the pairs' map is a table hashed without collisions.
-    A pair's key is (first + 1) * 2^17 + second; its slot is key + step * (key / 2^19 + 1) modulo the table's size,
-    with a step for the key's bucket; a slot holds key * 2^17 + rank.
+    Spark searches a map, or an array for a value, entry by entry; so the pairs' map is one table in which each first token
+    has a base, so chosen that no two pairs share the slot base[first] + second. An entry is first * 2^17 + rank; its
+    exclusive or with the first token * 2^17 is the rank, or NONE at least if the slot belongs to another first token.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
-        single = [ranks[bytes([b])] for b in range(256)]
-        buckets: dict[int, list[tuple[int, int]]] = {}
+        rows: dict[int, list[tuple[int, int]]] = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    key = (a + 1 << 17) + b
-                    buckets.setdefault(key % BUCKETS, []).append((key, rank))
-        table: list[int | None] = [None] * SLOTS
-        steps = [0] * BUCKETS
-        for n, pairs in sorted(buckets.items(), key=lambda x: -len(x[1])):  # the fullest first, while there is room
-            step = 0
-            while True:
-                slots = [(key + step * ((key >> 19) + 1)) % SLOTS for key, _ in pairs]
-                if len(set(slots)) == len(slots) and all(table[s] is None for s in slots):
-                    break
-                step += 1
-            steps[n] = step
-            for slot, (key, rank) in zip(slots, pairs):
-                table[slot] = (key << 17) + rank
-        self.tables = F.from_json(F.lit(json.dumps({"single": single, "steps": steps, "table": table})), "single array<int>, steps array<int>, table array<bigint>")
+                    rows.setdefault(a, []).append((b, rank))
+        tokens = max(ranks.values()) + 1
+        free = NONE - 1 << 17
+        base, table = np.zeros(tokens, np.int64), np.full(SPREAD + tokens, free)
+        for a, pairs in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):  # the longest first, while there is room
+            seconds, own = np.array(pairs).T
+            at = a * 40_503 % SPREAD
+            while (table[at + seconds] != free).any():
+                at = (at + 40_503) % SPREAD
+            base[a], table[at + seconds] = at, (a << 17) + own
+        literal = {"single": [ranks[bytes([b])] for b in range(256)], "base": base.tolist(), "table": table.tolist()}
+        self.tables = F.from_json(F.lit(json.dumps(literal)), "single array<int>, base array<int>, table array<bigint>")
+
+
+def pair_rank(ranks: Column, a: Column, b: Column) -> Column:
+    """Of adjacent tokens: the rank of the token they make, or a number from NONE on."""
+    entry = F.get(ranks["table"], F.get(ranks["base"], a) + b)
+    return F.coalesce(entry.bitwiseXOR(F.shiftleft(a.cast("bigint"), 17)), F.lit(NO_PAIR))
 
 
-def pair_rank(tables: Column, a: Column, b: Column) -> Column:
-    def looked_up(key: Column) -> Column:
-        def checked(entry: Column) -> Column:
-            return F.when(F.shiftright(entry, 17) == key, entry.bitwiseAND(F.lit(0x1FFFF)))
+def fold_words(words: Column, ranks: Ranks) -> Column:
+    """The ids of each of an array of words; the literals are bound once, so the plan holds one copy of each."""
 
-        step = F.get(tables["steps"], (key % BUCKETS).cast("int"))
-        return let(F.get(tables["table"], ((key + step * (F.shiftright(key, 19) + 1)) % SLOTS).cast("int")), checked)
+    def ids(word: Column, tables: Column) -> Column:
+        tokens = F.transform(F.split(word, ""), lambda c: F.get(tables["single"], F.ascii(c)))
+        return let(tokens, lambda t: F.when(F.size(t) <= LONG, fold_tokens(t, tables)).otherwise(fold_blocks(t, tables)))
 
-    return let((a + 1) * (1 << 17) + b, looked_up)
+    return let(ranks.tables, lambda tables: F.transform(words, lambda w: ids(w, tables)))
 
 
-EDGE = (1 << 17) - 1  # stands before and after a word's tokens; no pair has it
+def _pairs(tokens: Column, ranks: Column) -> Column:
+    """Of each token, the rank of the pair with the next one."""
+    return F.zip_with(tokens, F.slice(tokens, F.lit(2), F.lit(REST)), lambda a, b: pair_rank(ranks, a, b))
 
 
-def fold_words(words: Column, ranks: Ranks) -> Column:
-    """fold_word of each of an array of words; the literals are bound once, so the plan holds one copy of each."""
-    return let(ranks.tables, lambda tables: F.transform(words, lambda w: fold_word(w, tables)))
+def fold_tokens(tokens: Column, ranks: Column) -> Column:
+    """The ids of a byte array, given as ranks of single bytes: a fold over ranked merges.
+
+    The state holds, in turn, pairs (by rank) and tokens (TOKEN + rank), with a pair without rank at either end. A step merges the
+    leftmost pair of lowest rank, whose rank is the new token's, and looks up the two pairs that this one makes.
+    """
+
+    def step(state: Column, _) -> Column:
+        def merged(at: Column) -> Column:
+            low = F.get(state, at - 1)
+            token = low.cast("int")
+            other = lambda i: (F.get(state, i) - TOKEN).cast("int")
+            new = F.array(pair_rank(ranks, other(at - 4), token), low + TOKEN, pair_rank(ranks, token, other(at + 2)))
+            return F.when(low < NONE, F.concat(F.slice(state, F.lit(1), at - 3), new, F.slice(state, at + 3, F.lit(REST)))).otherwise(state)
+
+        return let(F.array_position(state, F.array_min(state)).cast("int"), merged)
 
+    both = F.zip_with(tokens, _pairs(tokens, ranks), lambda t, p: F.array(t.cast("bigint") + TOKEN, p))
+    start = F.concat(F.array(F.lit(NO_PAIR)), F.flatten(both))
+    done = lambda state: F.transform(F.filter(state, lambda x: x >= TOKEN), lambda x: (x - TOKEN).cast("int"))
+    return F.aggregate(F.slice(tokens, F.lit(2), F.lit(REST)), start, step, done)
 
-def fold_word(word: Column, ranks: Column) -> Column:
-    """The ids of a pre-token, given as a string of byte characters: a fold over ranked merges.
 
-    The state holds the tokens between edges, and the rank of each adjacent pair. A step merges the leftmost pair of
-    lowest rank, whose rank is the new token, and looks up the two pairs it now makes.
+def fold_blocks(tokens: Column, ranks: Column) -> Column:
+    """fold_tokens of a long word, whose state is cut into blocks of about the square root of its length.
+
+    A block holds tokens and, for each, the rank of the pair with the next one, in the next block for the last one. Blocks
+    are joined where the pair to merge reaches over the edge, or starts at a block's first token (whose pair with the
+    one before lies in the block before); each other step merges inside one block.
     """
+    width = F.ceil(F.sqrt(F.size(tokens))).cast("int")
 
-    def merged(state: Column, low: Column) -> Column:
-        return let(F.array_position(state["pairs"], low).cast("int"), lambda at: joined(state["tokens"], state["pairs"], low, at))
+    def cut(pairs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(tokens), width)
+        return F.transform(starts, lambda i: F.struct(F.slice(tokens, i, width).alias("tokens"), F.slice(pairs, i, width).alias("pairs")))
 
-    def joined(tokens: Column, pairs: Column, low: Column, at: Column) -> Column:
-        before, after, rest = F.get(tokens, at - 2), F.get(tokens, at + 1), F.lit(1 << 30)
-        return F.struct(
-            F.flatten(F.array(F.slice(tokens, F.lit(1), at - 1), F.array(low), F.slice(tokens, at + 2, rest))).alias("tokens"),
-            F.flatten(F.array(F.slice(pairs, F.lit(1), at - 2), F.array(pair_rank(ranks, before, low), pair_rank(ranks, low, after)), F.slice(pairs, at + 2, rest))).alias("pairs"),
-        )
+    def state_of(blocks: Column) -> Column:
+        return F.struct(F.transform(blocks, lambda b: F.array_min(b["pairs"])).alias("lows"), blocks.alias("blocks"))
 
     def step(state: Column, _) -> Column:
-        return let(F.array_min(state["pairs"]), lambda low: F.when(low.isNull(), state).otherwise(merged(state, low)))
+        def in_block(k: Column) -> Column:
+            low, block = F.get(state["lows"], k - 1), F.get(state["blocks"], k - 1)
+
+            def replaced(first: Column, n: int, new: Column) -> Column:
+                low_new = F.array(F.array_min(new["pairs"]))
+                put = lambda array, own: F.concat(F.slice(array, F.lit(1), first - 1), own, F.slice(array, first + n, F.lit(REST)))
+                return F.struct(put(state["lows"], low_new).alias("lows"), put(state["blocks"], F.array(new)).alias("blocks"))
 
-    edge = F.array(F.lit(EDGE).cast("bigint"))
-    letters = F.transform(F.split(word, ""), lambda c: F.get(ranks["single"], F.ascii(c)).cast("bigint"))
+            def joined(first: Column) -> Column:
+                a, b = F.get(state["blocks"], first - 1), F.get(state["blocks"], first)
+                one = F.struct(F.concat(a["tokens"], b["tokens"]).alias("tokens"), F.concat(a["pairs"], b["pairs"]).alias("pairs"))
+                return let(one, lambda new: replaced(first, 2, new))
 
-    def folded(tokens: Column) -> Column:
-        pairs = F.transform(F.slice(tokens, F.lit(1), F.size(tokens) - 1), lambda a, i: pair_rank(ranks, a, F.get(tokens, i + 1)))
-        start = F.struct(tokens.alias("tokens"), pairs.alias("pairs"))
-        steps = F.sequence(F.lit(3), F.greatest(F.size(tokens) - 1, F.lit(3)))
-        return F.aggregate(steps, start, step, lambda s: F.slice(s["tokens"], F.lit(2), F.size(s["tokens"]) - 2))
+            def merged(at: Column) -> Column:
+                token, own, pairs = low.cast("int"), block["tokens"], block["pairs"]
+                after = F.coalesce(F.get(own, at + 1), F.get(F.get(state["blocks"], k)["tokens"], F.lit(0)))
+                left = F.when(at > 1, F.array(pair_rank(ranks, F.get(own, at - 2), token))).otherwise(F.array().cast("array<bigint>"))
+                new = F.struct(
+                    F.concat(F.slice(own, F.lit(1), at - 1), F.array(token), F.slice(own, at + 2, F.lit(REST))).alias("tokens"),
+                    F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), left, F.array(pair_rank(ranks, token, after)), F.slice(pairs, at + 2, F.lit(REST))).alias("pairs"),
+                )
+                return let(new, lambda x: replaced(k, 1, x))
 
-    return let(F.flatten(F.array(edge, letters, edge)), folded)
+            def placed(at: Column) -> Column:
+                return F.when(at == F.size(block["tokens"]), joined(k)).when((at == 1) & (k > 1), joined(k - 1)).otherwise(merged(at))
 
+            return F.when(low < NONE, let(F.array_position(block["pairs"], low).cast("int"), placed)).otherwise(state)
 
-class _Numbers(dict):
-    """A run between spaces -> the numbers of its pre-tokens, as little-endian bytes."""
+        return let(F.array_position(state["lows"], F.array_min(state["lows"])).cast("int"), in_block)
 
-    def __init__(self, lead: str, number):
-        super().__init__()
-        self.lead, self.number = lead, number
+    steps = F.sequence(F.lit(1), F.size(tokens) + (F.size(tokens) / width).cast("int") + 1)  # merges, and edges that go
+    return F.aggregate(steps, let(_pairs(tokens, ranks), lambda p: let(cut(p), state_of)), step, lambda s: F.flatten(F.transform(s["blocks"], lambda b: b["tokens"])))
 
-    def __missing__(self, run: str) -> bytes:
-        self[run] = out = self.number(self.lead + run)
-        return out
 
+class Numbered:
+    """A chunk's distinct pre-tokens, the frequent ones first, and its texts as their numbers."""
 
-class Splitter:
-    """Texts as numbers of pre-tokens; `new` gathers the words numbered since it was last taken."""
+    def __init__(self, column: pa.Array, find):
+        data, offsets = segments.utf8(column)
+        bounds = segments.pattern_cuts(data, offsets)
+        index, distinct = segments.distinct(data, bounds)
+        numbers: dict[str, int] = {}
+        flat, sizes = [], []
+        for segment in distinct.to_pylist():
+            found = find(segment.decode())
+            sizes.append(len(found))
+            flat += [numbers.setdefault(word, len(numbers)) for word in found]
+        sizes = np.array(sizes, np.int64)
+        own = np.array(flat, np.int64)
+        stream = own[segments.expanded(sizes, np.cumsum(sizes) - sizes, index)]
+        seen = np.bincount(stream, minlength=len(numbers))
+        order = np.argsort(-seen, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        names = list(numbers)
+        self.words = [names[i] for i in order.tolist()]
+        self.stream = place[stream]
+        ends = np.concatenate([[0], np.cumsum(sizes[index])])
+        self.bounds = ends[np.searchsorted(bounds, offsets)]
+        self.sums = [crc32(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
-    def __init__(self, pattern: str):
-        self.find = regex.compile(pattern).findall
-        self.first, self.rest = _Numbers("", self._number), _Numbers(" ", self._number)
-        self.forget()
 
-    def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.new: list[str] = []
-        self.first.clear()
-        self.rest.clear()
+def _packed(numbers: np.ndarray, compress) -> bytes:
+    """Numbers of words, low and high halves apart: of most the high half is 0."""
+    return compress((numbers & 0xFFFF).astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes())
+
+
+def _unpacked(packed: bytes, decompress) -> np.ndarray:
+    halves = np.frombuffer(decompress(packed), "<u2")
+    n = len(halves) // 2
+    return halves[:n].astype(np.int64) | halves[n:].astype(np.int64) << 16
 
-    def _number(self, text: str) -> bytes:
-        if not text:
-            return b""
-        out = b""
-        stem = text[1:-1] if text[0] == " " else text[:-1]
-        for word in [text[:-1], text[-1]] if text[-1] in ".," and stem.isalpha() else self.find(text):  # a run of letters and one mark
-            n = self.numbers.get(word)
-            if n is None:
-                n = self.numbers[word] = len(self.numbers)
-                self.new.append(word)
-            out += n.to_bytes(4, "little")
-        return out
 
-    def __call__(self, text: str) -> bytes:
-        if not text or text[0] in " \n" or text[-1] in " \n" or any(run in text for run in RUNS) or OTHER_SPACE(text):
-            return self._number(text)
-        lines = []
-        for line in text.split("\n"):
-            head, *tail = line.split(" ")
-            lines.append(self.first[head] + b"".join(map(self.rest.__getitem__, tail)))
-        return self.first["\n"].join(lines)
 
 
 def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded] of each row of docs (doc_id, text)."""
     file = rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splitter, empty = Splitter(pattern), [None, None, None]
-        for batch in batches:
-            rows: list[list] = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                if len(splitter.numbers) > MAX_WORDS:
-                    splitter.forget()
-                    rows.append([True, *empty])
-                numbers = splitter(text)
-                for at in range(0, len(splitter.new), WORD_ROWS):
-                    rows.append([False, None, None, [w.encode("utf-8", "surrogatepass").decode("latin-1") for w in splitter.new[at : at + WORD_ROWS]]])
-                splitter.new.clear()
-                rows.append([False, doc_id, numbers, None])
-                if len(rows) >= 500:
-                    yield pd.DataFrame(rows, columns=["reset", "doc_id", "numbers", "words"]).astype({"doc_id": "Int64"})
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["reset", "doc_id", "numbers", "words"]).astype({"doc_id": "Int64"})
-
-    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, Numbered]]:
+        find = regex.compile(pattern).findall
+        for i, chunk in enumerate(segments.chunks(batches)):
+            own, part = Numbered(chunk.column("text"), find), chunk.column("part")[0].as_py()
+            if part >= 1 << 22 or i >= 1 << 13 or len(own.words) > LAST:
+                raise ValueError("more tasks, chunks of a task or words of a chunk than places have bits for")
+            yield (part << 13 | i) << NUMBER, chunk, own
+        release_memory()
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, _, own in cut(batches):
+            for at in range(0, len(own.words), 20_000):
+                listed = pa.array([w.encode("utf-8", "surrogatepass").decode("latin-1") for w in own.words[at : at + 20_000]], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(listed)) + place), listed], names=["at", "word"])
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for place, chunk, own in cut(batches):
+            bounds = own.bounds.tolist()
+            for at in range(0, len(chunk), 1000):
+                packed = [_packed(own.stream[a:b], compress) for a, b in zip(bounds[at : at + 1000], bounds[at + 1 : at + 1001])]
+                columns = [pa.array(np.full(len(packed), place + LAST)), chunk.column("doc_id").slice(at, 1000), pa.array(packed, pa.binary()), pa.array(own.sums[at : at + 1000], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["at", "doc_id", "numbers", "crc"])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = {rank: word for word, rank in read_ranks(file).items()}
-        table: list[bytes] = []
+        decompress = zstandard.ZstdDecompressor().decompress
+        key, flat, sizes, table = None, [], [], None
         for batch in batches:
-            rows = []
-            for reset, doc_id, numbers, words in zip(batch["reset"], batch["doc_id"], batch["numbers"], batch["words"]):
-                if reset:
-                    table = []
-                elif words is not None:
-                    table += [np.asarray(ids, "<u4").tobytes() for ids in words]
-                else:
-                    ids = b"".join([table[n] for n in np.frombuffer(numbers, "<u4").tolist()])
-                    listed = np.frombuffer(ids, "<u4").tolist()
-                    decoded = b"".join([pieces[i] for i in listed])
-                    row = (doc_id, len(listed), sha256(ids).hexdigest(), sha256(decoded).hexdigest())
-                    rows.append((*row, listed, decoded) if with_ids else row)
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "n_tokens": "int64"})
+            chunk = batch.column("at").to_numpy() >> NUMBER
+            edges = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+            for start, end in zip(edges, edges[1:]):
+                if start == end:
+                    continue
+                if chunk[start] != key:
+                    key, flat, sizes, table = chunk[start], [], [], None
+                part = batch.slice(start, end - start)
+                n_words = part.column("numbers").null_count  # words, by number, come before documents
+                if n_words:
+                    ids = part.column("ids").slice(0, n_words)
+                    flat.append(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+                    sizes.append(np.diff(ids.offsets.to_numpy()))
+                if n_words < len(part):
+                    if table is None:
+                        lengths = np.concatenate([np.zeros(0, np.int64), *sizes])
+                        table = (lengths, np.cumsum(lengths) - lengths, np.concatenate([np.zeros(0, "<u4"), *flat]))
+                    yield _encoded(part.slice(n_words), table, pieces, decompress, with_ids)
+        release_memory()
 
     bounded_batches(docs.sparkSession)
-    literal = Ranks(read_ranks(file))
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(split, "reset boolean, doc_id long, numbers binary, words array<string>")
-    encoded = numbered.withColumn("words", F.when(F.col("words").isNotNull(), fold_words(F.col("words"), literal)))
-    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded binary" * with_ids
-    return encoded.mapInPandas(assemble, kind)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.spark_partition_id().alias("part"))
+    listed = own.select("text", "part").mapInArrow(words, "at long, word string").repartition("word")
+    once = listed.groupBy("word").agg(F.min("at").alias("first"))  # both columns are in use, so both sides share one shuffle
+    folded = once.withColumn("ids", F.get(fold_words(F.array("word"), Ranks(read_ranks(file))), F.lit(0)))
+    of_chunks = listed.join(folded.withColumnRenamed("word", "_word"), (F.col("word") == F.col("_word")) & (F.col("at") >= F.col("first"))).select("at", "ids")
+    texts = own.mapInArrow(documents, "at long, doc_id long, numbers binary, crc long")
+    met = of_chunks.unionByName(texts, allowMissingColumns=True).repartition(F.shiftright("at", NUMBER)).sortWithinPartitions("at")
+    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
+    return met.mapInArrow(assemble, kind)
+
+
+def _encoded(docs: pa.RecordBatch, table, pieces: dict[int, bytes], decompress, with_ids: bool) -> pa.RecordBatch:
+    lengths, starts, flat = table
+    rows = []
+    for numbers, crc in zip(docs.column("numbers").to_pylist(), docs.column("crc").to_pylist()):
+        ids = flat[segments.expanded(lengths, starts, _unpacked(numbers, decompress))]
+        decoded = b"".join(map(pieces.__getitem__, ids.tolist()))
+        if crc32(decoded) != crc:
+            raise ValueError("the documents were not the same rows in the same order when read again: give a written table")
+        rows.append((len(ids), sha256(ids.tobytes()).hexdigest(), sha256(decoded).hexdigest(), *([ids.astype(np.int32), decoded] if with_ids else [])))
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
+    columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays([docs.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids])
