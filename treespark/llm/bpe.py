@@ -7,13 +7,12 @@ no pair has a rank. A second shuffle brings the ids to the chunks that hold the
 of its words' numbers; there numbers become ids, and ids are decoded by concatenating their binary pieces. No text
 or word reaches the driver, and no group is collected: a chunk's rows stream through, words first.
 
-The chunks are cut twice, once for their words and once for their documents, by the same scan; so docs has to give the same rows in
+The chunks are cut anew for each use, twice for their words and once for their documents, by the same scan; so docs has to give the same rows in
 the same partitions and order each time, as files and written tables do. That is checked: a document whose decoded bytes aren't those of its
 text raises an error.
 
-A fold copies its state at each merge, so it would be quadratic in a word's length. Words beyond LONG bytes are folded in
-blocks: the state is an array of blocks, each with its tokens and pairs, and an array of the blocks' lowest ranks. A merge copies one
-block and the list of blocks; a merge at a block's edge joins two blocks first. So a word of n bytes costs about n ** 1.5.
+A fold copies its state at each merge, so it would be quadratic in a word's length. Words beyond LONG bytes are folded by
+windows, whose borders are proven (see fold_long), so their cost grows with their length.
 
 A byte is written as the character of that code (ISO 8859-1) while words are shuffled, and as a number in the fold.
 
@@ -84,8 +83,11 @@ class Ranks:
             while (table[at + seconds] != free).any():
                 at = (at + 40_503) % SPREAD
             base[a], table[at + seconds] = at, (a << 17) + own
-        literal = {"single": [ranks[bytes([b])] for b in range(256)], "base": base.tolist(), "table": table.tolist()}
-        self.tables = F.from_json(F.lit(json.dumps(literal)), "single array<int>, base array<int>, table array<bigint>")
+        sizes = np.zeros(tokens, np.int64)
+        for token, rank in ranks.items():
+            sizes[rank] = len(token)
+        literal = {"single": [ranks[bytes([b])] for b in range(256)], "sizes": sizes.tolist(), "base": base.tolist(), "table": table.tolist()}
+        self.tables = F.from_json(F.lit(json.dumps(literal)), "single array<int>, sizes array<int>, base array<int>, table array<bigint>")
 
 
 def pair_rank(ranks: Column, a: Column, b: Column) -> Column:
@@ -99,7 +101,7 @@ def fold_words(words: Column, ranks: Ranks) -> Column:
 
     def ids(word: Column, tables: Column) -> Column:
         tokens = F.transform(F.split(word, ""), lambda c: F.get(tables["single"], F.ascii(c)))
-        return let(tokens, lambda t: F.when(F.size(t) <= LONG, fold_tokens(t, tables)).otherwise(fold_blocks(t, tables)))
+        return let(tokens, lambda t: F.when(F.size(t) <= LONG, fold_tokens(t, tables)).otherwise(fold_long(t, tables)))
 
     return let(ranks.tables, lambda tables: F.transform(words, lambda w: ids(w, tables)))
 
@@ -132,55 +134,36 @@ def fold_tokens(tokens: Column, ranks: Column) -> Column:
     return F.aggregate(F.slice(tokens, F.lit(2), F.lit(REST)), start, step, done)
 
 
-def fold_blocks(tokens: Column, ranks: Column) -> Column:
-    """fold_tokens of a long word, whose state is cut into blocks of about the square root of its length.
+def fold_long(tokens: Column, ranks: Column) -> Column:
+    """fold_tokens of a long word, by windows of LONG bytes.
 
-    A block holds tokens and, for each, the rank of the pair with the next one, in the next block for the last one. Blocks
-    are joined where the pair to merge reaches over the edge, or starts at a block's first token (whose pair with the
-    one before lies in the block before); each other step merges inside one block.
+    A window is folded alone; of its tokens the first half stands, and the next window starts where they end. That is exact if the
+    last token before the start and the first one after it, folded together, stay as they are: a merge over that
+    border in the whole word would then come up between these two as well, as merges on either side of it run in the same order.
+    Otherwise the last token is taken back, and the window starts before it. Should the steps not suffice, the word is folded whole.
     """
-    width = F.ceil(F.sqrt(F.size(tokens))).cast("int")
-
-    def cut(pairs: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens), width)
-        return F.transform(starts, lambda i: F.struct(F.slice(tokens, i, width).alias("tokens"), F.slice(pairs, i, width).alias("pairs")))
-
-    def state_of(blocks: Column) -> Column:
-        return F.struct(F.transform(blocks, lambda b: F.array_min(b["pairs"])).alias("lows"), blocks.alias("blocks"))
+    length, window = F.size(tokens), F.lit(LONG)
+    size = lambda token: F.get(ranks["sizes"], token)
 
     def step(state: Column, _) -> Column:
-        def in_block(k: Column) -> Column:
-            low, block = F.get(state["lows"], k - 1), F.get(state["blocks"], k - 1)
-
-            def replaced(first: Column, n: int, new: Column) -> Column:
-                low_new = F.array(F.array_min(new["pairs"]))
-                put = lambda array, own: F.concat(F.slice(array, F.lit(1), first - 1), own, F.slice(array, first + n, F.lit(REST)))
-                return F.struct(put(state["lows"], low_new).alias("lows"), put(state["blocks"], F.array(new)).alias("blocks"))
-
-            def joined(first: Column) -> Column:
-                a, b = F.get(state["blocks"], first - 1), F.get(state["blocks"], first)
-                one = F.struct(F.concat(a["tokens"], b["tokens"]).alias("tokens"), F.concat(a["pairs"], b["pairs"]).alias("pairs"))
-                return let(one, lambda new: replaced(first, 2, new))
-
-            def merged(at: Column) -> Column:
-                token, own, pairs = low.cast("int"), block["tokens"], block["pairs"]
-                after = F.coalesce(F.get(own, at + 1), F.get(F.get(state["blocks"], k)["tokens"], F.lit(0)))
-                left = F.when(at > 1, F.array(pair_rank(ranks, F.get(own, at - 2), token))).otherwise(F.array().cast("array<bigint>"))
-                new = F.struct(
-                    F.concat(F.slice(own, F.lit(1), at - 1), F.array(token), F.slice(own, at + 2, F.lit(REST))).alias("tokens"),
-                    F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), left, F.array(pair_rank(ranks, token, after)), F.slice(pairs, at + 2, F.lit(REST))).alias("pairs"),
-                )
-                return let(new, lambda x: replaced(k, 1, x))
-
-            def placed(at: Column) -> Column:
-                return F.when(at == F.size(block["tokens"]), joined(k)).when((at == 1) & (k > 1), joined(k - 1)).otherwise(merged(at))
+        at = state["at"]
 
-            return F.when(low < NONE, let(F.array_position(block["pairs"], low).cast("int"), placed)).otherwise(state)
+        def placed(ids: Column) -> Column:
+            last, first = F.get(state["done"], F.size(state["done"]) - 1), F.get(ids, F.lit(0))
+            both = fold_tokens(F.slice(tokens, at - size(last), size(last) + size(first)), ranks)
+            half = F.slice(ids, F.lit(1), F.ceil(F.size(ids) / 2).cast("int"))
+            moved = lambda done, to: F.struct(done.alias("done"), to.alias("at"))
+            return (
+                F.when(F.coalesce(both != F.array(last, first), F.lit(False)), moved(F.slice(state["done"], F.lit(1), F.size(state["done"]) - 1), at - size(last)))
+                .when(at + window > length, moved(F.concat(state["done"], ids), length + 1))
+                .otherwise(moved(F.concat(state["done"], half), at + F.aggregate(half, F.lit(0), lambda n, x: n + size(x))))
+            )
 
-        return let(F.array_position(state["lows"], F.array_min(state["lows"])).cast("int"), in_block)
+        return F.when(at > length, state).otherwise(let(fold_tokens(F.slice(tokens, at, window), ranks), placed))
 
-    steps = F.sequence(F.lit(1), F.size(tokens) + (F.size(tokens) / width).cast("int") + 1)  # merges, and edges that go
-    return F.aggregate(steps, let(_pairs(tokens, ranks), lambda p: let(cut(p), state_of)), step, lambda s: F.flatten(F.transform(s["blocks"], lambda b: b["tokens"])))
+    start = F.struct(F.array().cast("array<int>").alias("done"), F.lit(1).alias("at"))
+    steps = F.sequence(F.lit(1), F.ceil(length / F.lit(LONG / 8)).cast("int") + 64)
+    return F.aggregate(steps, start, step, lambda s: F.when(s["at"] > length, s["done"]).otherwise(fold_tokens(tokens, ranks)))
 
 
 class Numbered:
@@ -279,10 +262,9 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
 
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.spark_partition_id().alias("part"))
-    listed = own.select("text", "part").mapInArrow(words, "at long, word string").repartition("word")
-    once = listed.groupBy("word").agg(F.min("at").alias("first"))  # both columns are in use, so both sides share one shuffle
-    folded = once.withColumn("ids", F.get(fold_words(F.array("word"), Ranks(read_ranks(file))), F.lit(0)))
-    of_chunks = listed.join(folded.withColumnRenamed("word", "_word"), (F.col("word") == F.col("_word")) & (F.col("at") >= F.col("first"))).select("at", "ids")
+    listed = own.select("text", "part").mapInArrow(words, "at long, word string")
+    folded = listed.select("word").distinct().withColumn("ids", F.get(fold_words(F.array("word"), Ranks(read_ranks(file))), F.lit(0)))
+    of_chunks = listed.join(folded, "word").select("at", "ids")
     texts = own.mapInArrow(documents, "at long, doc_id long, numbers binary, crc long")
     met = of_chunks.unionByName(texts, allowMissingColumns=True).repartition(F.shiftright("at", NUMBER)).sortWithinPartitions("at")
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
