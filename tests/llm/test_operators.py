@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -58,12 +59,32 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("scales", [(5e-324, 1.0), (1e155, 1.0), (1e155, 1e155), (1e-200, 1e150), (1e-320, 1e-320)])
+def test_neighbours_of_very_small_and_very_large_vectors(spark, scales):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(46, 6)).round(1) * np.where(np.arange(46) % 3 == 1, *scales)[:, None]
+    vectors[7] = 5e-324  # a subnormal candidate
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors) if v.any()], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("id") < 6, k=5, query_block=4, candidate_block=10).toPandas()
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q in range(6):
+            if not vectors[q].any():
+                continue
+            score = np.zeros(46)
+            for k in range(6):
+                score += vectors[q, k] * vectors[:, k]
+            score[np.isnan(score)] = -np.inf
+            order = [i for i in np.lexsort((np.arange(46), -score)) if i != q and vectors[i].any()][:5]
+            mine = got[got.query_id == q].sort_values("rank")
+            assert list(mine.score) == list(score[order]) and list(mine.vec_id) == list(order)
+
+
 def plain_unigram(word, scores, byte_score):
     best = [(0.0, 0)]
     for end in range(1, len(word) + 1):
         n = len(word[end - 1].encode())
         found = (best[end - 1][0] + n * byte_score, best[end - 1][1] - n)
-        for start in range(end):
+        for start in range(max(0, end - 16), end):
             own = scores.get(word[start:end])
             if own is not None:
                 found = max(found, (best[start][0] + own, best[start][1] - 1))
@@ -71,19 +92,32 @@ def plain_unigram(word, scores, byte_score):
     return -best[-1][1]
 
 
-def test_token_counts(docs, none):
-    scores = counts.piece_scores(public_tokenizers.path("piece_bpe_32k.model"))
-    rows = counts.count_tokens(docs.where("length(text) < 40000 or text is null")).collect()
-    assert "word" in rows[0].asDict()
-    for r in rows:
-        text, total = r.text or "", (r.text or "").count("\n")
-        for line in text.split("\n"):
-            head, *tail = line.split(" ")
-            total += (plain_unigram(head, scores, counts.Trie({}).byte_score) if head else 0) + sum(plain_unigram("▁" + w, scores, counts.Trie({}).byte_score) for w in tail)
-        assert r.n_tokens == total
+def test_token_counts(spark, docs, none):
+    scores, byte_score = counts.piece_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    assert np.isclose(sum(np.exp(list(scores.values()))), 1) and max(map(len, scores)) <= 16
+    more = table(spark, [" ", "  a  b", "a\n\n b\n", "漢字" * 20_000, "▁a ▁ a", "aé漢😀 " * 300, "word" * 40, "wordy words wording"])
+    for rows in (counts.count_tokens(docs).collect(), counts.count_tokens(more.withColumn("N_Tokens", F.lit("clash"))).collect()):
+        assert "word" in rows[0].asDict()
+        for r in rows:
+            text, total, n = r.text or "", (r.text or "").count("\n"), 0
+            for line in text.split("\n"):
+                head, *tail = line.split(" ")
+                n += bool(head) + len(tail)
+                total += sum(plain_unigram(w, scores, byte_score) for w in ([head] if head else []) + ["▁" + w for w in tail])
+            assert (r.n_pretokens, r.n_tokens) == (n, total)
     assert counts.count_tokens(none).count() == 0
 
 
+def test_token_counts_in_small_blocks_share_prefixes():
+    pieces = counts.Pieces({"ab": -1.0, "abc": -1.5, "c": -1.0, "a": -3.0, "b": -3.0}, -9.0)
+    words = ["abcab", "abc", "abcac", "b", "", "abz"]
+    got = counts.word_counts(counts.segments.pa.array([w.encode() for w in words], counts.segments.pa.large_binary()), pieces)
+    assert list(got) == [plain_unigram(w, pieces.scores, -9.0) for w in words] == [pieces.alone(w) for w in words]
+    data, offsets = counts.segments.utf8(counts.segments.pa.array(["abc ab\nab", "", "c " * 500]))
+    whole = counts.counts_of(data, offsets, pieces)
+    assert all((x == y).all() for x, y in zip(whole, counts.counts_of(data, offsets, pieces, block=7)))
+
+
 def plain_code_length(text, lang_texts):
     """Bits by the definition, from counts of all contexts of order 0 to 3."""
     seen = [Counter() for _ in range(4)]
@@ -292,6 +326,29 @@ def test_byte_bpe(docs, none):
     assert bpe.encode_documents(none).count() == 0
 
 
+def test_byte_bpe_of_long_words(spark):
+    exact = rank_encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rng = np.random.default_rng(8)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    texts = ["x" * 200_000, draw("abcdefghijklmnopqrstuvwxyz", 200_000), "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 200_000))), "=" * 5000, "é" * 900]
+    texts += [draw("etaoin", int(n)) for n in rng.integers(200, 1200, 60)] + [draw("ab", int(n)) for n in rng.integers(250, 700, 20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode_documents(df, with_ids=True).collect():
+        assert list(r.ids) == exact.encode_ordinary(texts[r.doc_id])
+
+
+def test_pattern_cuts_keep_the_matches_of_whole_texts():
+    from treespark.llm import segments
+
+    rng, find = np.random.default_rng(5), regex.compile(public_tokenizers.PATTERN).findall
+    letters = list(" \n\t'.,a sBé\u00a0\u3000\u2003\u0085\x1c1#漢\u2019-_ \n")
+    for _ in range(20_000):
+        texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 14, 3)]
+        data, offsets = segments.utf8(segments.pa.array(texts))
+        cut = segments.as_binary(data, segments.pattern_cuts(data, offsets)).to_pylist()
+        assert [x for part in cut for x in find(part.decode())] == [x for t in texts for x in find(t)]
+
+
 def test_memo_encoder_splits_as_the_tokenizer():
     from treespark.llm.tokens import MemoEncoder
 
@@ -326,11 +383,3 @@ def test_rules_remove_lines_first(spark):
     rows = {r.doc_id: r for r in rules.apply_rules(table(spark, [body, body + "\n" + nav, "\n".join([nav.replace("o", "o" + c) for c in "abcdefghijklmnop"]) + "\n" + body[:400]])).collect()}
     assert rows[0].kept and rows[0].lost_share == 0 and rows[1].kept and rows[1].cleaned_text == body
     assert not rows[2].kept and not rows[2].base_failed
-
-
-def test_trie_shares_prefixes():
-    trie = counts.Trie({"ab": -1.0, "abc": -1.5, "c": -1.0, "a": -3.0, "b": -3.0})
-    trie.insert("abcab")
-    size = len(trie.best)
-    assert trie.insert("abc") == 1 and len(trie.best) == size and trie.insert("abcac") == 3 and len(trie.best) == size + 1
-    assert pd.notna(size)

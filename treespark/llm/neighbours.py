@@ -1,19 +1,20 @@
 """Nearest neighbours by inner product, as a block matrix join.
 
-Method: queries and candidates are dealt to blocks by a hash; each pair of a query block and a candidate block is a
-tile, computed in one task. In a tile both sides are quantised to int8 (one scale a vector). The product of the int8
-blocks gives every score but for an error that the norms of the quantised vectors and of the residuals bound. A pair
-survives if its upper bound reaches the k-th largest lower bound of its query; survivors are computed again in double
-precision from the original vectors, dimension by dimension. Each tile passes on its k best a query, and heaps of k
-entries merge them; partial lists stream through, so memory holds one heap a query of the partition.
+Method: each vector is quantised once to int8, with its scale, its power of two and the norms of what was kept and of what was
+left. Queries and candidates are dealt to blocks by a hash; each pair of a query block and a candidate block is a tile,
+computed in one task from int8 codes only. The product of the codes gives every score but for an error that the norms
+bound. In its tile, and then over all tiles of its query, a pair survives if its upper bound reaches the k-th largest lower bound of
+its query; bounds stream by in order, so memory holds one row. Survivors fetch their original vectors by joins
+and are computed again in double precision, dimension by dimension; heaps of k entries a query merge them.
 
 Blocks are of bounded size, so is a task's memory; a copied vector fills no block, since ids take part in the hash.
 The product is exact: int8 values are multiplied as float32, where sums of up to 1,000 products of 127 * 127 fit.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; nor do rows with a
 null id. Rows equal in id and vector count once; an id with several vectors gives a candidate for each, none of which
-meets a query of its own id. Vectors meet only vectors of the same length. Ties go to the smaller vec_id. Extra columns
-are ignored; an empty table gives an empty result.
+meets a query of its own id. Vectors meet only vectors of the same length. Ties go to the smaller vec_id. Bounds are of vectors
+scaled by powers of two, and pairs whose powers add up to more than 900 either way always survive, so very small and very large
+vectors lose no pair; a score that leaves the range of doubles is infinite, and one that isn't a number counts as the least. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,87 +32,113 @@ from .common import written
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, v, dim): the rows that take part, each once."""
+    """(key, id, v, dim): the rows that take part, each once, and a number of its own for each."""
     v = F.col("v")
     finite = F.forall(v, lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    return rows.where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).dropDuplicates().withColumn("dim", F.size("v"))
+    rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).dropDuplicates()
+    return rows.select(F.monotonically_increasing_id().alias("key"), "id", "v", F.size("v").alias("dim"))
 
 
-def _quantised(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 rows (as float32), their scales, the norms of the quantised rows and of the residuals."""
+def quantised(m: np.ndarray) -> pd.DataFrame:
+    """Of rows: int8 codes, the scale, the power of two taken out before, and the norms of codes times scale and of the rest."""
+    power = np.frexp(np.abs(m).max(axis=1))[1]
+    m = np.ldexp(m, -power[:, None] // 2)  # in two steps: the whole power may not be a double
+    m = np.ldexp(m, -power[:, None] - -power[:, None] // 2)
     scale = np.abs(m).max(axis=1) / 127
-    q = np.rint(m / scale[:, None])
-    back = q * scale[:, None]
-    return q.astype(np.float32), scale, np.linalg.norm(back, axis=1), np.linalg.norm(m - back, axis=1)
+    codes = np.rint(m / scale[:, None])
+    back = codes * scale[:, None]
+    return pd.DataFrame({"code": [c.tobytes() for c in codes.astype(np.int8)], "scale": scale, "power": power, "norm": np.linalg.norm(back, axis=1), "rest": np.linalg.norm(m - back, axis=1)})
 
 
-def tile_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, rows: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score): of each query its k best in the tile, and no more."""
-    q8, qs, qn, qe = _quantised(q)
-    c8, cs, cn, ce = _quantised(c)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def coded(rows: DataFrame) -> DataFrame:
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, own in batch.groupby("dim"):
+                found = quantised(np.stack(own["v"]))
+                yield pd.concat([own[["key", "id", "dim"]].reset_index(drop=True), found], axis=1)
+
+    return rows.mapInPandas(code, "key long, id long, dim int, code binary, scale double, power int, norm double, rest double")
+
+
+def tile_pairs(q: pd.DataFrame, c: pd.DataFrame, k: int, rows: int = 64) -> pd.DataFrame:
+    """(q_key, c_key, low, high): bounds of the pairs of a tile that may be among their query's k best, but for the query's power of two."""
+    out: list[tuple[np.ndarray, ...]] = []
+    q8, c8 = (np.frombuffer(b"".join(x["code"]), np.int8).reshape(len(x), -1).astype(np.float32) for x in (q, c))
+    (qid, qkey, qs, qn, qe), (cid, ckey, cs, cn, ce) = ([x[n].to_numpy() for n in ("id", "key", "scale", "norm", "rest")] for x in (q, c))
+    power = c["power"].to_numpy()
     step = 1024  # dimensions at a time, so that float32 sums stay exact
     for at in range(0, len(q), rows):
         own = slice(at, at + rows)
-        product = sum((q8[own, d : d + step] @ c8[:, d : d + step].T).astype(np.float64) for d in range(0, q.shape[1], step))
+        product = sum((q8[own, d : d + step] @ c8[:, d : d + step].T).astype(np.float64) for d in range(0, q8.shape[1], step))
         near = product * qs[own, None] * cs
         error = (qn[own, None] + qe[own, None]) * ce + qe[own, None] * cn
-        error += 1e-12 * (1 + np.abs(near))
+        error += 1e-12 * ((qn + qe)[own, None] * (cn + ce) + np.abs(near))
         same = qid[own, None] == cid
-        low, high = np.where(same, -np.inf, near - error), np.where(same, -np.inf, near + error)
+        with np.errstate(over="ignore", under="ignore"):
+            low, high = (np.ldexp(x, power) for x in (near - error, near + error))
+        edge = (np.abs(q["power"].to_numpy()[own, None] + power) > 900) | (np.abs(power) > 900)  # sums may leave the range of doubles: no bound holds
+        low, high = np.where(same | edge, -np.inf, low), np.where(same, -np.inf, np.where(edge, np.inf, high))
         floor = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
         i, j = np.nonzero((high >= floor[:, None]) & ~same)
-        score = np.zeros(len(i))
-        for d in range(q.shape[1]):
-            score += q[at + i, d] * c[j, d]
-        order = np.lexsort((cid[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        first = np.searchsorted(i, i)
-        keep = np.arange(len(i)) - first < k
-        out.append((qid[at + i[keep]], cid[j[keep]], score[keep]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        out.append((qkey[at + i], ckey[j], low[i, j], high[i, j]))
+    return pd.DataFrame(dict(zip(("q_key", "c_key", "low", "high"), map(np.concatenate, zip(*out)))))
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: int = 2048, candidate_block: int = 8192, least_tiles: int = 24) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of largest inner product for each query, nearest first.
 
-    queries and candidates come from usable(); a candidate of the query's own id is left out.
+    queries and candidates are written tables of usable()'s columns; a candidate of the query's own id is left out.
     """
     n, m = queries.count(), candidates.count()
     q_blocks = max(1, math.ceil(n / query_block))
     c_blocks = max(1, math.ceil(m / candidate_block), min(math.ceil(m / 256), math.ceil(least_tiles / q_blocks)))
 
     def dealt(rows: DataFrame, blocks: int, others: int, own: str, other: str) -> DataFrame:
-        block: Column = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
-        return rows.select("id", "v", "dim", block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+        block: Column = F.pmod(F.xxhash64("id", "code", "scale"), F.lit(blocks)).cast("int")
+        return coded(rows).select("*", block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
     tile = ["dim", "qb", "cb"]
     left = dealt(queries, q_blocks, c_blocks, "qb", "cb").groupBy(*tile)
     right = dealt(candidates, c_blocks, q_blocks, "cb", "qb").groupBy(*tile)
 
-    def top(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        found = tile_top(q["id"].to_numpy(), np.stack(q["v"]), c["id"].to_numpy(), np.stack(c["v"]), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
+    def bounds(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"q_key": [], "c_key": [], "low": [], "high": []}) if q.empty or c.empty else tile_pairs(q, c, k)
+
+    def surviving(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seen, floor = None, 0, -math.inf
+        for batch in batches:  # by query, the largest lower bounds first
+            keep = []
+            for query, low, high in zip(batch["q_key"].tolist(), batch["low"].tolist(), batch["high"].tolist()):
+                if query != last:
+                    last, seen, floor = query, 0, -math.inf
+                seen += 1
+                floor = low if seen == k else floor
+                keep.append(high >= floor)
+            yield batch.loc[keep, ["q_key", "c_key"]]
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heaps: dict[int, list[tuple[float, int]]] = {}
+        heaps: dict[int, tuple[int, list[tuple[float, int]]]] = {}
         for batch in batches:
-            for query, vec, score in zip(batch["query_id"].tolist(), batch["vec_id"].tolist(), batch["score"].tolist()):
-                heap = heaps.setdefault(query, [])
+            scores = batch["score"].fillna(-math.inf)
+            for key, query, vec, score in zip(batch["q_key"].tolist(), batch["query_id"].tolist(), batch["vec_id"].tolist(), scores.tolist()):
+                heap = heaps.setdefault(key, (query, []))[1]
                 if len(heap) < k:
                     heapq.heappush(heap, (score, -vec))
                 else:
                     heapq.heappushpop(heap, (score, -vec))
-        rows = [(query, rank, -vec, score) for query, heap in heaps.items() for rank, (score, vec) in enumerate(sorted(heap, reverse=True), 1)]
+        rows = [(query, rank, -vec, score) for query, heap in heaps.values() for rank, (score, vec) in enumerate(sorted(heap, reverse=True), 1)]
         for at in range(0, len(rows), 50_000):
             yield pd.DataFrame(rows[at : at + 50_000], columns=["query_id", "rank", "vec_id", "score"])
 
-    tiles = left.cogroup(right).applyInPandas(top, "query_id long, vec_id long, score double")
-    by_query = tiles.repartition("query_id")
-    return by_query.mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
+    tiles = left.cogroup(right).applyInPandas(bounds, "q_key long, c_key long, low double, high double")
+    in_order = tiles.repartition("q_key").sortWithinPartitions("q_key", F.desc("low"))
+    pairs = in_order.mapInPandas(surviving, "q_key long, c_key long")
+    side = lambda rows, *names: rows.select(*[F.col(a).alias(b) for a, b in zip(("key", "id", "v"), names)])
+    both = pairs.join(side(candidates, "c_key", "vec_id", "c"), "c_key").join(side(queries, "q_key", "query_id", "q"), "q_key")
+    score = F.aggregate(F.zip_with("q", "c", lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
+    exact = both.select("q_key", "query_id", "vec_id", score.alias("score")).repartition("q_key")
+    return exact.mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, **blocks) -> DataFrame:
