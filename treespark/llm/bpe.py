@@ -7,7 +7,7 @@ no pair has a rank. A second shuffle brings the ids to the chunks that hold the
 of its words' numbers; there numbers become ids, and ids are decoded by concatenating their binary pieces. No text
 or word reaches the driver, and no group is collected: a chunk's rows stream through, words first.
 
-The chunks are cut anew for each use, twice for their words and once for their documents, by the same scan; so docs has to give the same rows in
+The chunks are cut twice, once for their words and once for their documents, by the same scan; so docs has to give the same rows in
 the same partitions and order each time, as files and written tables do. That is checked: a document whose decoded bytes aren't those of its
 text raises an error.
 
@@ -35,7 +35,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import segments
@@ -195,16 +195,13 @@ class Numbered:
 
 
 def _packed(numbers: np.ndarray, compress) -> bytes:
-    """Numbers of words, low and high halves apart: of most the high half is 0."""
-    return compress((numbers & 0xFFFF).astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes())
+    """Numbers, byte by byte of all: the high bytes of most are 0."""
+    return compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _unpacked(packed: bytes, decompress) -> np.ndarray:
-    halves = np.frombuffer(decompress(packed), "<u2")
-    n = len(halves) // 2
-    return halves[:n].astype(np.int64) | halves[n:].astype(np.int64) << 16
-
-
+    planes = np.frombuffer(decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
@@ -235,10 +232,36 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
                 columns = [pa.array(np.full(len(packed), place + LAST)), chunk.column("doc_id").slice(at, 1000), pa.array(packed, pa.binary()), pa.array(own.sums[at : at + 1000], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["at", "doc_id", "numbers", "crc"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words with their ids, packed by chunk: how many, their numbers as steps, their lengths, and all ids."""
+        compress, held, rows = zstandard.ZstdCompressor(level=1).compress, [], 0
+
+        def flushed() -> pa.RecordBatch:
+            at, ids = (pa.chunked_array([b.column(c) for b in held]).combine_chunks() for c in ("at", "ids"))
+            at, starts, flat = at.to_numpy(), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
+            order = np.argsort(at, kind="stable")
+            at, lengths, starts = at[order], np.diff(starts)[order], starts[:-1][order]
+            edges = [0, *(np.flatnonzero(np.diff(at >> NUMBER)) + 1).tolist(), len(at)]
+            out = []
+            for a, b in zip(edges, edges[1:]):
+                own = flat[segments.expanded(lengths[a:b], starts[a:b], np.arange(b - a))]
+                out.append(_packed(np.concatenate([[b - a], np.diff(at[a:b] & LAST, prepend=0), lengths[a:b], own]), compress))
+            return pa.RecordBatch.from_arrays([pa.array(at[edges[:-1]] & ~LAST), pa.array(out, pa.binary())], names=["at", "packed"])
+
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= 500_000:
+                yield flushed()
+                held, rows = [], 0
+        if rows:
+            yield flushed()
+        release_memory()
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = {rank: word for word, rank in read_ranks(file).items()}
         decompress = zstandard.ZstdDecompressor().decompress
-        key, flat, sizes, table = None, [], [], None
+        key, held, table = None, [], None
         for batch in batches:
             chunk = batch.column("at").to_numpy() >> NUMBER
             edges = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
@@ -246,31 +269,40 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
                 if start == end:
                     continue
                 if chunk[start] != key:
-                    key, flat, sizes, table = chunk[start], [], [], None
+                    key, held, table = chunk[start], [], None
                 part = batch.slice(start, end - start)
-                n_words = part.column("numbers").null_count  # words, by number, come before documents
-                if n_words:
-                    ids = part.column("ids").slice(0, n_words)
-                    flat.append(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
-                    sizes.append(np.diff(ids.offsets.to_numpy()))
+                n_words = part.column("numbers").null_count  # words come before documents
+                held += [_unpacked(x, decompress) for x in part.column("packed").slice(0, n_words).to_pylist()]
                 if n_words < len(part):
                     if table is None:
-                        lengths = np.concatenate([np.zeros(0, np.int64), *sizes])
-                        table = (lengths, np.cumsum(lengths) - lengths, np.concatenate([np.zeros(0, "<u4"), *flat]))
+                        table = _table(held)
                     yield _encoded(part.slice(n_words), table, pieces, decompress, with_ids)
         release_memory()
 
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.spark_partition_id().alias("part"))
-    listed = own.select("text", "part").mapInArrow(words, "at long, word string")
-    folded = listed.select("word").distinct().withColumn("ids", F.get(fold_words(F.array("word"), Ranks(read_ranks(file))), F.lit(0)))
-    of_chunks = listed.join(folded, "word").select("at", "ids")
+    listed = own.mapInArrow(words, "at long, word string")  # the same columns as below, so that batches end at the same rows
+    same_word = Window.partitionBy("word").orderBy("at")
+    fold = F.get(fold_words(F.array("word"), Ranks(read_ranks(file))), F.lit(0))
+    folded = listed.withColumn("_n", F.row_number().over(same_word)).withColumn("ids", F.when(F.col("_n") == 1, fold))
+    upto = same_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_chunks = folded.select("at", F.first("ids", ignorenulls=True).over(upto).alias("ids")).mapInArrow(pack, "at long, packed binary")
     texts = own.mapInArrow(documents, "at long, doc_id long, numbers binary, crc long")
     met = of_chunks.unionByName(texts, allowMissingColumns=True).repartition(F.shiftright("at", NUMBER)).sortWithinPartitions("at")
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
     return met.mapInArrow(assemble, kind)
 
 
+def _table(packs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By number: the words' lengths in ids and where these start among all, from packs of a chunk."""
+    parts = [(np.cumsum(x[1 : x[0] + 1]), x[x[0] + 1 : 2 * x[0] + 1].astype(np.int64), x[2 * x[0] + 1 :]) for x in packs]
+    numbers, sizes, flat = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((np.int64, np.int64, "<u4"), zip(*parts) if parts else ((), (), ())))
+    lengths, starts = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+    numbers = numbers.astype(np.int64)
+    lengths[numbers], starts[numbers] = sizes, np.cumsum(sizes) - sizes
+    return lengths, starts, flat.astype("<u4")
+
+
 def _encoded(docs: pa.RecordBatch, table, pieces: dict[int, bytes], decompress, with_ids: bool) -> pa.RecordBatch:
     lengths, starts, flat = table
     rows = []
