@@ -169,6 +169,40 @@ def test_s9_streams_changes_from_many_tasks(spark, monkeypatch):
 
     monkeypatch.setattr(status_queries, "streamed", seen)
     f = fixtures.Fixtures(spark, "/root/testdata/sf0.001")
-    got = sorted(map(tuple, status_queries.s9(f).collect()), key=str)
+    got = sorted(map(tuple, status_queries.s9(f).where("ck = 'a'").select("path", "kind", "node", "dir_node").collect()), key=str)
     assert got == sorted(map(tuple, f("index_local").select("path", "kind", "node", "dir_node").collect()), key=str)
     assert plans and "Repartition 1," not in plans[0]
+
+
+def test_streamed_changes_keep_namespaces_and_other_columns(spark, tmp_path):
+    schema = "ck string, path string, kind int, size bigint, mtime_ns bigint, mode bigint, content_hash string"
+    one = lambda ck, p, n: (ck, p, 1, n, 0, 420, "00" * 32)
+    root = f"file://{tmp_path}/index"
+    first = tree_hash(spark.createDataFrame([one(ck, p, 1) for ck in "AB" for p in ("/a/x", "/a/y", "/b/z")], schema))
+    snapshots.write_snapshot(first.withColumn("last_node", F.concat("ck", "path")), root)
+    changes = spark.createDataFrame([(*one("A", "/a/x", 2), 1), ("A", "/b/z", None, None, None, None, None, 2), (*one("A", "/c/n", 3), 3)], schema + ", seq bigint")
+    changes.coalesce(1).write.parquet(str(tmp_path / "in"))
+    jobs.merge_stream_into_index(spark.readStream.schema(changes.schema).parquet(str(tmp_path / "in")), root, str(tmp_path / "mark")).awaitTermination()
+    got = sorted((r.ck, r.path, r.size, r.dir_node, r.last_node) for r in snapshots.read_snapshot(spark, root).collect())
+    rows = [one("A", "/a/x", 2), one("A", "/a/y", 1), one("A", "/c/n", 3), ("A", "/b", 2, 0, 0, 0o40755, "00" * 32), *[one("B", p, 1) for p in ("/a/x", "/a/y", "/b/z")]]
+    want = tree_hash(spark.createDataFrame(rows, schema)).collect()
+    fresh = {("A", "/c"), ("A", "/c/n")}
+    assert got == sorted((r.ck, r.path, r.size, r.dir_node, None if (r.ck, r.path) in fresh else r.ck + r.path) for r in want)
+
+
+def test_late_changes_are_told_from_repeated_ones(spark, tmp_path):
+    rows = [(5, "", "/a", "announce", 1, None, "n5"), (7, "", "/a", "announce", 1, "n5", "n7"), (6, "", "/a", "announce", 1, "n5", "n6"), (5, "", "/a", "announce", 1, None, "n5"), (8, "", "/a", "delete", 1, "n7", None)]
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKS)
+    stream = spark.readStream.schema(spark.createDataFrame(rows, LOG).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted((r.seq, r.verdict, r.current) for r in jobs.run_available(jobs.fold_changes_stream(stream), "late").collect())
+    assert got == [(5, "accept", None), (6, "late", "n7"), (7, "accept", "n5"), (8, "accept", "n7")]
+
+
+def test_a_finish_without_row_and_wanted_hash_is_unknown(spark):
+    index = spark.createDataFrame([("/a", "n", "h")], "path string, node string, content_hash string")
+    pending = spark.createDataFrame([], "seq long, path string, op string, basis string, new_node string, want_hash string")
+    finishes = spark.createDataFrame([(1, "/none", None, True), (2, "/a", "h", True), (3, "/a", "other", True), (4, "/a", None, True)], "finish_seq long, path string, want_hash string, body_ok boolean")
+    got = {r.finish_seq: r.verdict for r in C.two_phase_cas(pending, finishes, index).collect()}
+    assert got == {1: "unknown_transfer", 2: "accept", 3: "unknown_transfer", 4: "unknown_transfer"}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import decide, keys, small_side
+from ..common import decide, keys, small_side, written
 from ..functions.paths import ancestors_of, conflict_name, covers, top_of
 from ..schema import DIR, RESERVED, ZERO_HASH
 
@@ -24,29 +25,42 @@ def decide_cas(announces: DataFrame, index: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", F.when(_accepts(F.col("op"), F.col("basis"), F.col("current")), "accept").otherwise("reject"))
 
 
-def _fold(rows: Column, start: Column) -> Column:
-    """(node, verdicts) after the ordered changes in rows, from the node at the start."""
-
-    def step(state: Column, x: Column) -> Column:
-        ok = _accepts(x["op"], x["basis"], state["node"])
-        node = F.when(ok, F.when(x["op"] == "delete", F.lit(None)).otherwise(x["new_node"])).otherwise(state["node"])
-        seen = F.struct(x["seq"].alias("seq"), F.when(ok, "accept").otherwise("reject").alias("verdict"), state["node"].alias("current"))
-        return F.struct(node.alias("node"), F.concat(state["verdicts"], F.array(seen)).alias("verdicts"))
-
-    none = F.array().cast("array<struct<seq:bigint,verdict:string,current:string>>")
-    return F.aggregate(rows, F.struct(start.alias("node"), none.alias("verdicts")), step)
+def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Verdicts of changes that come by path, in order of seq: the state is one node, whatever the length of a log."""
+    key = node = None
+    for batch in batches:
+        found = []
+        names = zip(*[batch[c].tolist() for c in ("ck", "path", "start", "op", "basis", "new_node")])
+        for ck, path, start, op, basis, new in names:
+            if (ck, path) != key:
+                key, node = (ck, path), start
+            ok = node is None if op != "delete" and basis is None else node is not None and node == basis
+            before = node
+            if ok:
+                node = None if op == "delete" else new
+            found.append(("accept" if ok else "reject", before, node))
+        judged = pd.DataFrame(found, columns=["verdict", "current", "after"], index=batch.index)
+        yield pd.concat([batch[["ck", "path", "seq"]], judged], axis=1)
 
 
 def fold_changes(changes: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """C2. (ck, path, seq, verdict, current, final): each path's log of leaf changes, folded in order of seq by C1."""
+    """C2. (ck, path, seq, verdict, current, final): each path's log of leaf changes, folded in order of seq by C1.
+
+    Logs are sorted within partitions and streamed, so a hot path's log is never held; final comes by a join with each path's last
+    change, whose hot keys Spark splits.
+    """
     ks = keys(changes, "path")
-    logs = changes.groupBy(*ks).agg(F.sort_array(F.collect_list(F.struct("seq", "op", "basis", "new_node"))).alias("log"))
+    log = changes.select(*ks, "seq", "op", "basis", "new_node")
     if index is None:
-        start = logs.withColumn("_start", F.lit(None).cast("string"))
+        log = log.withColumn("start", F.lit(None).cast("string"))
     else:
-        start = logs.join(index.select(*ks, F.col("node").alias("_start")), ks, "left")
-    folded = start.withColumn("_done", _fold(F.col("log"), F.col("_start")))
-    return folded.select(*ks, F.col("_done.node").alias("final"), F.explode("_done.verdicts").alias("v")).select(*ks, "v.seq", "v.verdict", "v.current", "final")
+        log = log.join(index.select(*ks, F.col("node").alias("start")), ks, "left")
+    log = log if "ck" in ks else log.withColumn("ck", F.lit(""))
+    text = [F.col(c).cast("string").alias(c) for c in ("ck", "path")]
+    in_order = log.select(*text, "seq", "start", "op", "basis", "new_node").repartition("ck", "path").sortWithinPartitions("ck", "path", "seq", "op", "basis", "new_node")
+    judged = written(in_order.mapInPandas(_follow, "ck string, path string, seq long, verdict string, current string, after string"), "judged")
+    last = judged.groupBy("ck", "path").agg(F.max_by("after", "seq").alias("final"))
+    return judged.drop("after").join(last, ["ck", "path"]).select(*ks, "seq", "verdict", "current", "final")
 
 
 def final_state(changes: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -102,7 +116,7 @@ def two_phase_cas(announces: DataFrame, finishes: DataFrame, index: DataFrame) -
     failed = F.row_number().over(Window.partitionBy("path", "want_hash", "body_ok").orderBy("finish_seq"))
     rows = rows.withColumn("nth", failed)
     known = F.col("p").isNotNull()
-    bodies = decide((~known & F.col("live").eqNullSafe(F.col("want_hash")), "accept"), (~known, "unknown_transfer"), (~F.col("body_ok") & (F.col("nth") == 1), "retry_whole"), (~F.col("body_ok"), "keep_live"), otherwise="cas")
+    bodies = decide((~known & F.coalesce(F.col("live") == F.col("want_hash"), F.lit(False)), "accept"), (~known, "unknown_transfer"), (~F.col("body_ok") & (F.col("nth") == 1), "retry_whole"), (~F.col("body_ok"), "keep_live"), otherwise="cas")
     rows = rows.withColumn("verdict", bodies)
     log = rows.where("verdict = 'cas'").select("path", F.col("finish_seq").alias("seq"), "p.op", "p.basis", "p.new_node")
     judged = fold_changes(log, index).select(F.col("seq").alias("finish_seq"), "path", F.col("verdict").alias("_cas"))

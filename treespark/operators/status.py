@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,8 +98,11 @@ def bottleneck(waits: DataFrame, now: Column, by: list[str] = ()) -> DataFrame:
     by = list(by)
     shade = waits.where(F.col("stage").isin("fulfill_parked", "fulfill_read")).select(*by, "peer", F.lit(True).alias("_shade")).distinct()
     rows = null_safe(waits, shade, [*by, "peer"], "left").where((F.col("stage") != "reconcile") | F.col("_shade").isNull()).drop("_shade")
-    order = [F.col("since"), F.col("peer").asc_nulls_first(), F.col("stage"), F.col("depth")]
-    top = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+    wait, order = F.struct("stage", "peer", "since", "depth", "source"), F.struct("since", "peer", "stage", "depth")  # null peers first
+
+    def top(df: DataFrame) -> DataFrame:
+        return df.groupBy(*by).agg(F.min_by(wait, order).alias("w")).where("w is not null").select(*by, "w.*")
+
     winner = top(rows)
     finer = null_safe(waits.where(F.col("stage").isin(*REFINES)), winner.where("stage = 'origin_bytes'").select(*by, "peer"), [*by, "peer"])
     best = top(finer)
@@ -165,14 +172,26 @@ def idle_reasks(pending: DataFrame, gauges: DataFrame, now: Column, interval_s:
 
 
 def rate_limit(attempts: DataFrame, most: int, window_s: int = 60) -> DataFrame:
-    """M13. attempts (ip, ts, id) with allowed: fewer than `most` allowed ones of that address in the window before."""
-
-    def step(state: Column, x: Column) -> Column:
-        recent = F.filter(state["hits"], lambda t: x["at"] - t < window_s * 1000)
-        ok = F.size(recent) < most
-        seen = F.struct(x["id"].alias("id"), ok.alias("allowed"))
-        return F.struct(F.when(ok, F.concat(recent, F.array(x["at"]))).otherwise(recent).alias("hits"), F.concat(state["seen"], F.array(seen)).alias("seen"))
-
-    log = attempts.groupBy("ip").agg(F.sort_array(F.collect_list(F.struct(F.unix_millis("ts").alias("at"), "id"))).alias("log"))
-    start = F.struct(F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<struct<id:bigint,allowed:boolean>>").alias("seen"))
-    return log.select("ip", F.explode(F.aggregate("log", start, step)["seen"]).alias("s")).select("ip", "s.id", "s.allowed")
+    """M13. attempts (ip, ts, id) with allowed: fewer than `most` allowed ones of that address in the window before.
+
+    Attempts are sorted within partitions by address and time and streamed; the state is the allowed ones of the window, `most`
+    at most, so an address's log is never held.
+    """
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ip, hits = None, deque()
+        for batch in batches:
+            allowed = []
+            for own, at in zip(batch["ip"].tolist(), batch["at"].tolist()):
+                if own != ip:
+                    ip, hits = own, deque()
+                while hits and at - hits[0] >= window_s * 1000:
+                    hits.popleft()
+                allowed.append(len(hits) < most)
+                if allowed[-1]:
+                    hits.append(at)
+            yield batch[["ip", "id"]].assign(allowed=allowed)
+
+    rows = attempts.select("ip", "id", F.unix_millis("ts").alias("at")).repartition("ip").sortWithinPartitions("ip", "at", "id")
+    kinds = dict(attempts.dtypes)
+    return rows.mapInPandas(judge, f"ip {kinds['ip']}, id {kinds['id']}, allowed boolean")

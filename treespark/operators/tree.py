@@ -70,7 +70,8 @@ def tree_hash(meta: DataFrame, hash_fn: HashFn = sha256_hex) -> DataFrame:
 
 def tree_hash_incremental(index: DataFrame, changes: DataFrame, hash_fn: HashFn = sha256_hex) -> DataFrame:
     """H5. index (a tree_hash table) after changes (path, meta fields; deleted where kind is null): only the changed
-    directories and the ancestors of changes are hashed again; equals a full tree_hash of the changed table."""
+    directories and the ancestors of changes are hashed again; equals a full tree_hash of the changed table. Other columns of
+    index stay with their paths, but for those that changes has itself, whose values changed paths take."""
     ks = keys(index)
     path_keys = [*ks, "path"]
     gone = changes.where(F.col("kind").isNull()).select(*path_keys)
@@ -88,7 +89,17 @@ def tree_hash_incremental(index: DataFrame, changes: DataFrame, hash_fn: HashFn
     # children of dirty directories are all that the roll-up reads
     read = nodes.join(touched.withColumnRenamed("path", "parent").withColumn("_p", F.lit(True)), [*ks, "parent"], "left").where("_p or _dirty").drop("_p", "_dirty")
     rolled = _roll_up(read, hash_fn).withColumnRenamed("dir_node", "_new")
-    return nodes.join(rolled, path_keys, "left").withColumn("dir_node", F.coalesce("_new", "dir_node")).drop("_new", "_dirty")
+    out = nodes.join(rolled, path_keys, "left").withColumn("dir_node", F.coalesce("_new", "dir_node")).drop("_new", "_dirty")
+    more = [c for c in index.columns if c not in out.columns]
+    if not more:
+        return out
+    told = [c for c in more if c in changes.columns]
+    both = index.select(*path_keys, *more)
+    if told:
+        new = changes.where(F.col("kind").isNotNull()).select(*path_keys, F.struct(*told).alias("_told"))
+        value = lambda c: F.when(F.col("_told").isNotNull(), F.col(f"_told.{c}")).otherwise(F.col(c)).alias(c)
+        both = both.join(new, path_keys, "full").select(*path_keys, *[value(c) if c in told else F.col(c) for c in more])
+    return out.join(both, path_keys, "left")
 
 
 def subtree_roots(index: DataFrame, centrals: DataFrame, hash_fn: HashFn = sha256_hex) -> DataFrame:

@@ -129,12 +129,12 @@ def d13(f):
     return D.judge_trees(f("tree_master").withColumn("authoritative", F.startswith("path", F.lit("/src1"))), f("tree_local"))
 
 
-@R.add("d14_guard_stale_deletes", """select d.path, coalesce(a.last>d.requested,false) or d.scanning suppressed from (select path, source ck, doc_id%1000 requested, doc_id%13=0 scanning from leaf where doc_id%7=0) d
-    left join (select source ck, max(doc_id%1000) last from leaf where doc_id%11=0 and source<>'src3' group by 1) a on a.ck=d.ck""")
+@R.add("d14_guard_stale_deletes", """select d.path, coalesce(a.last>d.requested,false) or d.scanning suppressed from (select path, source ck, doc_id%1000 requested, doc_id%13=0 scanning from leaf) d
+    left join (select source ck, max(doc_id%1000) last from leaf where source<>'src3' group by 1) a on a.ck=d.ck""")
 def d14(f):
-    gone = f.sql("select path, source ck, doc_id listing_id from leaf where doc_id%7=0")
-    listings = f.sql("select doc_id listing_id, source ck, doc_id%1000 requested, doc_id%13=0 scanning from leaf where doc_id%7=0")
-    accepts = f.sql("select source ck, doc_id%1000 `at` from leaf where doc_id%11=0 and source<>'src3'")
+    gone = f.sql("select path, source ck, doc_id listing_id from leaf")
+    listings = f.sql("select doc_id listing_id, source ck, doc_id%1000 requested, doc_id%13=0 scanning from leaf")
+    accepts = f.sql("select source ck, doc_id%1000 `at` from leaf where source<>'src3'")
     return D.guard_stale_deletes(gone, listings, accepts).select("path", "suppressed")
 
 

@@ -88,17 +88,17 @@ def _texts(d) -> dict[str, str]:
             case when event_type='purchase' then event_id%1000*100 end bytes from {{events}}""",
         "waits": f"""select event_id%4 grp, case when user_id%8=7 then null else 's'||cast(user_id%8 as string) end peer,
             case event_type when 'error' then 'origin_bytes' when 'click' then 'fulfill_parked' when 'view' then 'reconcile' when 'signup' then 'hashing' else 'fanout' end stage,
-            {d.ts("ts")} since, event_id%20+1 depth, 'own' source from {{events}} where event_id%50=0""",
+            {d.ts("ts")} since, event_id%20+1 depth, 'own' source from {{events}}""",
         "gauges": f"""select 's'||cast(user_id%8 as string) peer, cast(case when {d.days(d.ts("ts"))}>=16 then 2 else 1 end as bigint) generation, event_id%200 seq, {d.ts("ts")} received,
             case when event_id%4=0 then null else event_type end stage, event_id%5000 age_ms, event_id%20 depth, event_id%2 parked, event_id%3 sending, event_id%7 pending
-            from {{events}} where event_id%3=0""",
+            from {{events}}""",
         "raw_events": f"""select event_id id, '' ck, {d.ts("ts")} ts, case event_type when 'signup' then 'Create' when 'view' then 'Write' when 'click' then 'Metadata' when 'purchase' then 'Remove' else 'Rename' end kind,
             {d.idiv("event_id", 10)} cookie, case when event_type='error' and event_id%2=1 then null else '/w/u'||cast(user_id%10 as string)||'/f'||cast(user_id as string) end path,
             case when event_type='error' and event_id%3>0 then case when event_id%5=0 then '/else' else '/w' end||'/u'||cast(user_id%10 as string)||'/g'||cast(user_id as string) end to_path,
             case when event_id%2=0 then 'from' else 'to' end half, event_type, user_id from {{events}}""",
         "attempts": f"select event_id id, '10.0.0.'||cast(user_id%16 as string) ip, {d.ts('ts')} ts from {{events}}",
-        "epochs": "select '/src0' prefix, cast(2 as bigint) generation union all select '/src1', 1 union all select '/src2/en', 3",
-        "applied": "select '/src0' prefix, cast(1 as bigint) generation union all select '/src1', 1",
+        "epochs": "select '/'||source prefix, cast(2+max(doc_id)%3 as bigint) generation from {documents} where source is not null group by source",
+        "applied": "select '/'||source prefix, cast(1+max(doc_id)%4 as bigint) generation from {documents} where source<>'src2' group by source",
         "bodies": f"""select path, content body, case when doc_id%29=0 then {d.sha("'bad'")} else content_hash end want_hash,
             case when doc_id%11=0 then 'XX'||content else content end edited from leaf""",
     }

@@ -13,6 +13,7 @@ from ..operators import transfer as T
 from ..schema import META_FIELDS
 from ..sources import files, sinks, snapshots
 from ..streaming import jobs
+from .log_queries import FOLD
 from .registry import Registry
 
 R = Registry()
@@ -320,7 +321,7 @@ def stateful(f, make, df):
         conf.set(key, before)
 
 
-@R.add("e6_fold_changes_stream")
+@R.add("e6_fold_changes_stream", FOLD + "select '' ck, path, seq, verdict, current from w")
 def e6(f):
     return stateful(f, jobs.fold_changes_stream, f("changes"))
 
@@ -330,16 +331,18 @@ def e9(f):
     return stateful(f, jobs.fresh_gauges_stream, f("gauges"))
 
 
-@R.add("s9_merge_stream_into_index", "select path, kind, node, dir_node from index_local")
+@R.add("s9_merge_stream_into_index", """select 'a' ck, l.path, l.kind, l.node, l.dir_node, m.node last_node from index_local l left join index_master m on m.path=l.path
+    union all select 'b', path, kind, node, dir_node, node from index_master""")
 def s9(f):
     from .tree_queries import to_local
 
     name = uuid.uuid4().hex
     root, mark = (f"{shared_dir(f.spark)}/treespark/{kind}-{name}" for kind in ("index", "mark"))
-    snapshots.write_snapshot(f("index_master").withColumn("ck", F.lit("")), root)
-    changes = to_local(f).withColumn("seq", F.lit(1).cast("bigint"))
+    before = f("index_master").withColumn("last_node", F.col("node"))  # of two namespaces, one is changed
+    snapshots.write_snapshot(before.withColumn("ck", F.lit("a")).unionByName(before.withColumn("ck", F.lit("b"))), root)
+    changes = to_local(f).withColumns({"ck": F.lit("a"), "seq": F.lit(1).cast("bigint")})
     jobs.merge_stream_into_index(streamed(f, changes), root, mark).awaitTermination()
-    return snapshots.read_snapshot(f.spark, root).select("path", "kind", "node", "dir_node")
+    return snapshots.read_snapshot(f.spark, root).select("ck", "path", "kind", "node", "dir_node", "last_node")
 
 
 # --- transfer

@@ -103,7 +103,7 @@ def h5(f):
     return H.tree_hash_incremental(f("index_master"), to_local(f)).select("path", "kind", "node", "dir_node")
 
 
-CENTRALS = "select '/' central union all select '/src1' union all select '/src2/en' union all select '/none' union all select path from leaf where doc_id%100=1"
+CENTRALS = "select '/' central union all select '/src1' union all select '/src2/en' union all select '/none' union all select path from leaf"
 
 
 @R.add("h6_subtree_roots", f"select c.central, coalesce(i.child, sha256('')) root from ({CENTRALS}) c left join index_local i on i.path=c.central")
@@ -145,7 +145,7 @@ def i2(f):
     return I.list_children(f("index_master"), f.sql("select '/' dir union all select '/src1' union all select '/src2/en'"))
 
 
-WANTED = "select path from leaf where doc_id%50=0 union all select '/none'||path from leaf where doc_id%100=0 union all select '/src1'"
+WANTED = "select path from leaf union all select '/none'||path from leaf union all select '/src1'"
 
 
 @R.add("i3_lookup", f"select w.path, i.kind, i.node, i.dir_node, s.last_node, s.last_content from ({WANTED}) w left join index_master i on i.path=w.path left join synced s on s.path=w.path")

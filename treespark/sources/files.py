@@ -53,9 +53,13 @@ def scan_files(spark: SparkSession, root: str, prior: DataFrame | None = None, p
                     if at == "/" and name in RESERVED:
                         rows.append((path, None, None, None, None, None, "reserved"))
                         continue
-                    s = os.lstat(root.rstrip("/") + path)
-                    k = FILE if stat.S_ISREG(s.st_mode) else DIR if stat.S_ISDIR(s.st_mode) else LINK if stat.S_ISLNK(s.st_mode) else None
-                    target = os.readlink(root.rstrip("/") + path) if k == LINK else None
+                    try:
+                        s = os.lstat(root.rstrip("/") + path)
+                        k = FILE if stat.S_ISREG(s.st_mode) else DIR if stat.S_ISDIR(s.st_mode) else LINK if stat.S_ISLNK(s.st_mode) else None
+                        target = os.readlink(root.rstrip("/") + path) if k == LINK else None
+                    except OSError:  # gone since it was listed
+                        rows.append((path, None, None, None, None, None, "unreadable"))
+                        continue
                     size = 0 if k == DIR else len(target.encode()) if k == LINK else s.st_size
                     rows.append((path, k, size, s.st_mtime_ns, s.st_mode, target, None if k else "special"))
             yield pd.DataFrame(rows, columns=["path", "kind", "size", "mtime_ns", "mode", "target", "problem"]).astype({"kind": "Int32", "size": "Int64", "mtime_ns": "Int64", "mode": "Int64"})

@@ -1,4 +1,9 @@
-"""Streaming forms (E2, E4, E6, E7, E8, E9, M13, S9): watermarks bound their state."""
+"""Streaming forms.
+
+Watermarks bound the state of E2 and E8; E4 and E9 forget what hasn't been touched for keep_ms, where it is given. Forgetting goes by
+processing time, so give it to services with a processing-time trigger: with availableNow such a stream never ends. E6's state is the index itself,
+one row a path, with the last SEEN seqs of each.
+"""
 
 from __future__ import annotations
 
@@ -43,26 +48,35 @@ def health_stream(messages: DataFrame, interval: str = "5 seconds", late: str =
     return classify_health(sums.withColumns({**queues, "errors": F.col("cas_reject")})).drop(*queues, "errors")
 
 
+#: How many of a path's last seqs are kept, to tell repeated changes from late ones.
+SEEN = 256
+
+
 class FoldChanges(StatefulProcessor):
-    """E6. Per path: the current node and the last seq; a verdict for each change. Repeated seqs say nothing."""
+    """E6. Per path: the current node and the last seqs; a verdict for each change. A repeated seq says nothing; a change whose seq is
+    below one already folded has the verdict `late` and changes nothing (so has a repeat from before the last SEEN ones)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("row", "node string, seq bigint")
+        self.state = handle.getValueState("row", "node string, seqs array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         log = pd.concat(list(rows)).sort_values("seq")
-        node, last = self.state.get() if self.state.exists() else (None, -1)
+        node, seqs = self.state.get() if self.state.exists() else (None, [])
+        seqs = list(seqs)
         out = []
         for c in log.itertuples():
-            if c.seq <= last:
+            if c.seq in seqs:
+                continue
+            if seqs and c.seq < seqs[-1]:
+                out.append((key[0], key[1], c.seq, "late", node))
                 continue
             basis = c.basis if isinstance(c.basis, str) else None
             ok = node is None if c.op != "delete" and basis is None else node is not None and node == basis
             out.append((key[0], key[1], c.seq, "accept" if ok else "reject", node))
             if ok:
                 node = None if c.op == "delete" else c.new_node
-            last = c.seq
-        self.state.update((node, last))
+            seqs = [*seqs, c.seq][-SEEN:]
+        self.state.update((node, seqs))
         yield pd.DataFrame(out, columns=["ck", "path", "seq", "verdict", "current"])
 
     def close(self) -> None:
@@ -70,17 +84,20 @@ class FoldChanges(StatefulProcessor):
 
 
 def fold_changes_stream(changes: DataFrame) -> DataFrame:
-    """E6. (ck, path, seq, verdict, current); a path's changes come in order of seq."""
+    """E6. (ck, path, seq, verdict, current): accept, reject, or late for changes that come after one of a greater seq."""
     kind = "ck string, path string, seq long, verdict string, current string"
     return changes.select("ck", "path", "seq", "op", "basis", "new_node").groupBy("ck", "path").transformWithStateInPandas(FoldChanges(), kind, "Append", "None")
 
 
 class FreshGauges(StatefulProcessor):
     """E9. Per (peer, generation): the largest seq so far; frames that aren't newer are dropped. State is one number for each
-    session of a peer."""
+    session of a peer, forgotten keep_ms after its last frame."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.top = handle.getValueState("top", "seq bigint")
+        self.top = handle.getValueState("top", "seq bigint", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         log = pd.concat(list(rows)).sort_values(["received", "seq"])
@@ -98,21 +115,22 @@ class FreshGauges(StatefulProcessor):
         pass
 
 
-def fresh_gauges_stream(gauges: DataFrame) -> DataFrame:
-    """E9. M8's filter by seq on a stream: the accepted gauges (peer, generation, seq, received, stage, depth)."""
+def fresh_gauges_stream(gauges: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """E9. M8's filter by seq on a stream: the accepted gauges (peer, generation, seq, received, stage, depth). A session silent for
+    keep_ms is forgotten; three intervals at least, as gauges older than that are stale."""
     kind = "peer string, generation long, seq long, received timestamp, stage string, depth long"
     rows = gauges.select("peer", "generation", "seq", "received", "stage", "depth").groupBy("peer", "generation")
-    return rows.transformWithStateInPandas(FreshGauges(), kind, "Append", "None")
+    return rows.transformWithStateInPandas(FreshGauges(keep_ms), kind, "Append", "ProcessingTime" if keep_ms else "None")
 
 
 class Echoes(StatefulProcessor):
     """E4. Per path: the armed write and until when. Writes come as rows with event `Applied`."""
 
-    def __init__(self, debounce_ms: int):
-        self.armed_ms = 2 * debounce_ms
+    def __init__(self, debounce_ms: int, keep_ms: int | None):
+        self.armed_ms, self.keep_ms = 2 * debounce_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.arm = handle.getValueState("arm", "written string, until bigint")
+        self.arm = handle.getValueState("arm", "written string, until bigint", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         log = pd.concat(list(rows)).sort_values(["ts", "id"])
@@ -139,16 +157,18 @@ class Echoes(StatefulProcessor):
         pass
 
 
-def suppress_echo_stream(events: DataFrame, debounce_ms: int = 200) -> DataFrame:
-    """E4 on a stream of events and writes (event `Applied`): (ck, path, id, ts, event, content_hash)."""
+def suppress_echo_stream(events: DataFrame, debounce_ms: int = 200, keep_ms: int | None = None) -> DataFrame:
+    """E4 on a stream of events and writes (event `Applied`): (ck, path, id, ts, event, content_hash). A write that no event
+    follows is forgotten after keep_ms."""
     kind = "ck string, path string, id long, ts timestamp, event string, content_hash string"
     rows = events.select("ck", "path", "id", "ts", "event", "content_hash").groupBy("ck", "path")
-    return rows.transformWithStateInPandas(Echoes(debounce_ms), kind, "Append", "None")
+    return rows.transformWithStateInPandas(Echoes(debounce_ms, keep_ms), kind, "Append", "ProcessingTime" if keep_ms else "None")
 
 
 def merge_stream_into_index(changes: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """S9. A stream of leaf changes (path, meta fields; kind null deletes, last seq of a batch wins) into the snapshot at root:
-    each micro-batch writes one version, whose manifest names the batch, so a repeated batch changes nothing."""
+    """S9. A stream of leaf changes ([ck,] path, meta fields[, last_node, last_content]; kind null deletes, the last seq of a path in a
+    batch wins) into the snapshot at root: each micro-batch writes one version, whose manifest names the batch, so a repeated
+    batch changes nothing. Without ck the changes are of the namespace ''. Other columns of the index stay with their paths."""
     from ..sources.snapshots import latest_manifest, read_snapshot, write_snapshot
     from ..operators.tree import tree_hash_incremental
 
@@ -157,10 +177,11 @@ def merge_stream_into_index(changes: DataFrame, root: str, checkpoint: str) -> S
         now = latest_manifest(spark, root)
         if now and now.get("batch_id", -1) >= batch_id:
             return
-        last = batch.groupBy("path").agg(F.max_by(F.struct("kind", "size", "mtime_ns", "mode", "content_hash"), "seq").alias("m"))
-        leaves = last.select("path", "m.*")
-        index = read_snapshot(spark, root).drop("top", "ck")
-        write_snapshot(tree_hash_incremental(index, leaves).withColumn("ck", F.lit("")), root, batch_id=batch_id)
+        index = read_snapshot(spark, root).drop("top")
+        named = batch if "ck" in batch.columns else batch.withColumn("ck", F.lit(""))
+        fields = ["kind", "size", "mtime_ns", "mode", "content_hash", *[c for c in named.columns if c in ("last_node", "last_content")]]
+        last = named.groupBy("ck", "path").agg(F.max_by(F.struct(*fields), "seq").alias("m"))
+        write_snapshot(tree_hash_incremental(index, last.select("ck", "path", "m.*")), root, batch_id=batch_id)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
