@@ -28,6 +28,8 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import groupby
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -43,7 +45,7 @@ from .common import bounded_batches, release_memory, text_or_empty
 from .rules import let
 
 LONG = 256
-SPREAD = 1 << 19
+SPREAD = 1 << 18
 NONE = 1 << 17  # this and above: no rank
 TOKEN = 1 << 40  # a token stands in the fold's state as TOKEN + its rank, above all pairs
 NO_PAIR = TOKEN - 1
@@ -51,6 +53,10 @@ REST = 1 << 30
 #: A place is a chunk and, in its lower bits, a word's number; documents have the LAST number of their chunk.
 NUMBER = 28
 LAST = (1 << NUMBER) - 1
+#: Words are shuffled by buckets, so many at least, or as many as there are shuffle partitions; BETWEEN stands between a row's words.
+BUCKETS, BETWEEN = 2048, "\u0100"
+#: Numbers of words in a row of documents; a longer document has a row of its own.
+GROUP = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -63,8 +69,8 @@ class Ranks:
     """The rank map as literals: ranks of single bytes, and the rank of the token that two adjacent ones (by rank) make.
 
     Spark searches a map, or an array for a value, entry by entry; so the pairs' map is one table in which each first token
-    has a base, so chosen that no two pairs share the slot base[first] + second. An entry is first * 2^17 + rank; its
-    exclusive or with the first token * 2^17 is the rank, or NONE at least if the slot belongs to another first token.
+    has a base, so chosen that no two pairs share the slot base[first] + second. An entry is (first + 1) * 2^17 + rank, a free one 0; its
+    exclusive or with (first + 1) * 2^17 is the rank, or NONE at least if the slot isn't the first token's.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -75,14 +81,13 @@ class Ranks:
                 if a is not None and b is not None:
                     rows.setdefault(a, []).append((b, rank))
         tokens = max(ranks.values()) + 1
-        free = NONE - 1 << 17
-        base, table = np.zeros(tokens, np.int64), np.full(SPREAD + tokens, free)
+        base, table = np.zeros(tokens, np.int64), np.zeros(SPREAD + tokens, np.int64)
         for a, pairs in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):  # the longest first, while there is room
             seconds, own = np.array(pairs).T
             at = a * 40_503 % SPREAD
-            while (table[at + seconds] != free).any():
+            while table[at + seconds].any():
                 at = (at + 40_503) % SPREAD
-            base[a], table[at + seconds] = at, (a << 17) + own
+            base[a], table[at + seconds] = at, (a + 1 << 17) + own
         sizes = np.zeros(tokens, np.int64)
         for token, rank in ranks.items():
             sizes[rank] = len(token)
@@ -93,7 +98,7 @@ class Ranks:
 def pair_rank(ranks: Column, a: Column, b: Column) -> Column:
     """Of adjacent tokens: the rank of the token they make, or a number from NONE on."""
     entry = F.get(ranks["table"], F.get(ranks["base"], a) + b)
-    return F.coalesce(entry.bitwiseXOR(F.shiftleft(a.cast("bigint"), 17)), F.lit(NO_PAIR))
+    return F.coalesce(entry.bitwiseXOR(F.shiftleft(a.cast("bigint") + 1, 17)), F.lit(NO_PAIR))
 
 
 def fold_words(words: Column, ranks: Ranks) -> Column:
@@ -218,19 +223,31 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
         release_memory()
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for a chunk's words of one bucket, in order, as they share beginnings."""
         for place, _, own in cut(batches):
-            for at in range(0, len(own.words), 20_000):
-                listed = pa.array([w.encode("utf-8", "surrogatepass").decode("latin-1") for w in own.words[at : at + 20_000]], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(listed)) + place), listed], names=["at", "word"])
+            raw = [w.encode("utf-8", "surrogatepass") for w in own.words]
+            in_order = sorted(zip([crc32(w) % buckets for w in raw], [w.decode("latin-1") for w in raw], range(len(raw))))
+            grouped = [(b, list(group)) for b, group in groupby(in_order, itemgetter(0))]
+            for at in range(0, len(grouped), 500):
+                some = grouped[at : at + 500]
+                columns = [
+                    pa.array([b for b, _ in some], pa.int32()), pa.array(np.full(len(some), place)),
+                    pa.array([[n for _, _, n in group] for _, group in some], pa.list_(pa.int32())),
+                    pa.array([BETWEEN.join([w for _, w, _ in group]) for _, group in some], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "number", "words"])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=1).compress
+        """Rows of some documents each: their ids, the lengths and sums of their texts, and their numbers."""
+        compress = zstandard.ZstdCompressor(level=3).compress
         for place, chunk, own in cut(batches):
-            bounds = own.bounds.tolist()
-            for at in range(0, len(chunk), 1000):
-                packed = [_packed(own.stream[a:b], compress) for a, b in zip(bounds[at : at + 1000], bounds[at + 1 : at + 1001])]
-                columns = [pa.array(np.full(len(packed), place + LAST)), chunk.column("doc_id").slice(at, 1000), pa.array(packed, pa.binary()), pa.array(own.sums[at : at + 1000], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["at", "doc_id", "numbers", "crc"])
+            ids, at = chunk.column("doc_id"), 0
+            while at < len(chunk):
+                to = min(max(int(np.searchsorted(own.bounds, own.bounds[at] + GROUP, side="right")) - 1, at + 1), at + 2000, len(chunk))
+                kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                values = (ids.slice(at, to - at).to_pylist(), np.diff(own.bounds[at : to + 1]), own.sums[at:to], _packed(own.stream[own.bounds[at] : own.bounds[to]], compress))
+                yield pa.RecordBatch.from_arrays([pa.array([place + LAST]), *[pa.array([v], kind) for v, kind in zip(values, kinds)]], names=["at", "doc_ids", "sizes", "sums", "numbers"])
+                at = to
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words with their ids, packed by chunk: how many, their numbers as steps, their lengths, and all ids."""
@@ -276,18 +293,21 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
                 if n_words < len(part):
                     if table is None:
                         table = _table(held)
-                    yield _encoded(part.slice(n_words), table, pieces, decompress, with_ids)
+                    yield from _encoded(part.slice(n_words), table, pieces, decompress, with_ids)
         release_memory()
 
     bounded_batches(docs.sparkSession)
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.spark_partition_id().alias("part"))
-    listed = own.mapInArrow(words, "at long, word string")  # the same columns as below, so that batches end at the same rows
-    same_word = Window.partitionBy("word").orderBy("at")
+    # the same columns as for documents, so that batches end at the same rows
+    listed = own.mapInArrow(words, "bucket int, chunk long, number array<int>, words string").repartition("bucket").withColumn("word", F.split("words", BETWEEN))
+    listed = listed.select("bucket", "chunk", F.explode(F.arrays_zip("number", "word")).alias("w")).select("bucket", (F.col("chunk") + F.col("w.number")).alias("at"), "w.word")
+    same_word = Window.partitionBy("bucket", "word").orderBy("at")
     fold = F.get(fold_words(F.array("word"), Ranks(read_ranks(file))), F.lit(0))
     folded = listed.withColumn("_n", F.row_number().over(same_word)).withColumn("ids", F.when(F.col("_n") == 1, fold))
     upto = same_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     of_chunks = folded.select("at", F.first("ids", ignorenulls=True).over(upto).alias("ids")).mapInArrow(pack, "at long, packed binary")
-    texts = own.mapInArrow(documents, "at long, doc_id long, numbers binary, crc long")
+    texts = own.mapInArrow(documents, "at long, doc_ids array<long>, sizes array<long>, sums array<long>, numbers binary")
     met = of_chunks.unionByName(texts, allowMissingColumns=True).repartition(F.shiftright("at", NUMBER)).sortWithinPartitions("at")
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
     return met.mapInArrow(assemble, kind)
@@ -303,15 +323,17 @@ def _table(packs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return lengths, starts, flat.astype("<u4")
 
 
-def _encoded(docs: pa.RecordBatch, table, pieces: dict[int, bytes], decompress, with_ids: bool) -> pa.RecordBatch:
+def _encoded(groups: pa.RecordBatch, table, pieces: dict[int, bytes], decompress, with_ids: bool) -> Iterator[pa.RecordBatch]:
     lengths, starts, flat = table
-    rows = []
-    for numbers, crc in zip(docs.column("numbers").to_pylist(), docs.column("crc").to_pylist()):
-        ids = flat[segments.expanded(lengths, starts, _unpacked(numbers, decompress))]
-        decoded = b"".join(map(pieces.__getitem__, ids.tolist()))
-        if crc32(decoded) != crc:
-            raise ValueError("the documents were not the same rows in the same order when read again: give a written table")
-        rows.append((len(ids), sha256(ids.tobytes()).hexdigest(), sha256(decoded).hexdigest(), *([ids.astype(np.int32), decoded] if with_ids else [])))
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
-    columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
-    return pa.RecordBatch.from_arrays([docs.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids])
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
+    for doc_ids, sizes, sums, numbers in zip(*[groups.column(c).to_pylist() for c in ("doc_ids", "sizes", "sums", "numbers")]):
+        stream, at, rows = _unpacked(numbers, decompress), 0, []
+        for doc_id, size, crc in zip(doc_ids, sizes, sums):
+            ids = flat[segments.expanded(lengths, starts, stream[at : at + size])]
+            at += size
+            decoded = b"".join(map(pieces.__getitem__, ids.tolist()))
+            if crc32(decoded) != crc:
+                raise ValueError("the documents were not the same rows in the same order when read again: give a written table")
+            rows.append((doc_id, len(ids), sha256(ids.tobytes()).hexdigest(), sha256(decoded).hexdigest(), *([ids.astype(np.int32), decoded] if with_ids else [])))
+        yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names=names)
