@@ -162,6 +162,20 @@ def test_language_id(spark, none):
     assert len(trees.code_lengths(["a" * 3_000_000])) == 1
 
 
+def test_language_id_of_many_bytes_and_languages():
+    rng = np.random.default_rng(4)
+    learned = {f"l{k:02d}": ["".join(map(chr, rng.integers(1, 0x250, 200))) for _ in range(3)] for k in range(12)}
+    grams = Counter()
+    for lang, texts in learned.items():
+        for t in texts:
+            raw = langid.PAD + t.encode()
+            for i in range(3, len(raw)):
+                grams[lang, int.from_bytes(raw[i - 3 : i + 1], "big")] += 1
+    trees = langid.ContextTrees(pd.DataFrame([(a, b, n) for (a, b), n in grams.items()], columns=["lang", "gram", "n"]))
+    for text in (learned["l03"][0][:60], "zzz Ω\u0101\u0102", "the", "\U0001F600"):
+        assert np.allclose(trees.code_lengths([text])[0], [plain_code_length(text, learned[x]) for x in trees.langs], rtol=1e-9)
+
+
 def test_lm_scoring(docs, spark, none):
     target = spark.createDataFrame([(6,), (6,), (None,), (99,)], "doc_id long")
     rows = lm_scoring.score_documents(docs, target).toPandas()

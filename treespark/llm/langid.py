@@ -6,13 +6,14 @@ distinct / (total + distinct) to the context without its first byte, and below o
 text's exact code length under a language is the sum of -log2 of these. The prediction is the language with the
 shortest code; its score is the posterior probability under equal priors.
 
-Every context in use is a node: the contexts of order 3 counted most often (max_cells bounds the table), and all
-of lower orders. Their code lengths are tabled once, so a byte costs two look-ups. Training gathers (language,
-4-gram) counts from documents chosen by a hash of doc_id so that each language gives about max_train_chars characters;
-the bound holds for the model, every text is predicted whole.
+Every context seen in training is a node, whatever its order, and trees are sparse: what a node holds are the bytes seen after it.
+Code lengths of these and of escapes are tabled once, so a byte costs one look-up if it was seen in its longest context. There is no
+exclusion: a byte seen in the longer context keeps its share in the shorter one, so code lengths are those of a
+sub-probability, alike for all languages. Training gathers (language, 4-gram) counts from documents chosen by a hash of doc_id so that
+each language gives about max_train_chars characters; the bound holds for the model, every text is predicted whole.
 
 Defined results: null text, or text without a letter, gives `und` and score 0; so does every text if nothing was
-learned. Null lang is not learned from. A null doc_id counts as held out. Repeated rows are predicted each; ties
+learned. Very long texts are predicted whole, block by block. Columns named like added ones are replaced. Null lang is not learned from. A null doc_id counts as held out. Repeated rows are predicted each; ties
 go to the alphabetically first language; extra columns are kept.
 """
 
@@ -58,45 +59,83 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Places:
+    """Of distinct numbers below 2^32, their places in the order given, by an open hash table of arrays."""
+
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.places = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # all that still seek a slot try their next one; of those that meet, one gets it
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            got = free & (self.keys[at] == keys[left])
+            self.places[at[got]] = left[got]
+            left, at = left[~got], (at[~got] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * self.MIX >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        out, left, at = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            held = self.keys[at]
+            same = held == keys
+            out[left[same]] = self.places[at[same]]
+            on = ~same & (held >= 0)
+            left, keys, at = left[on], keys[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+
 class ContextTrees:
-    """Code lengths in bits, tabled by context node, byte and language."""
+    """Code lengths in bits by language: of each sequence of 1 to ORDER + 1 bytes seen, that of its last byte after the others, and of
+    each context seen, that of an escape. All other code lengths are sums of these, so size follows what was seen in training."""
 
-    def __init__(self, counts: pd.DataFrame, max_cells: int = 4_000_000):
+    def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
         gram, n = counts["gram"].to_numpy("int64"), counts["n"].to_numpy("float64")
         lang = counts["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy("int64")
-        raw = np.stack([gram >> s & 255 for s in (24, 16, 8, 0)])
-        self.symbol = np.zeros(256, np.uint8)  # 0: bytes not seen in training
-        seen = np.unique(np.append(raw, PAD[0]))[:255]
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        a = self.a = len(seen) + 1
-        size, (s0, s1, s2, s3) = len(self.langs), self.symbol[raw].astype("int64")
-        contexts = {0: np.zeros_like(s3), 1: s2, 2: s1 * a + s2, 3: (s0 * a + s1) * a + s2}
-        probability = np.full((1, a, size), 1 / 256)
-        node = np.zeros(1, np.int64)  # of the full context of the order below
-        tables, base = [], 0
+        size = len(self.langs)
+        probability, below = np.full((1, size), 1 / 256), np.zeros(1, np.int64)
+        self.seen, self.bits, self.contexts, self.escapes = [], [], [], []
         for k in range(ORDER + 1):
-            weight = np.bincount(contexts[k], n, minlength=a**k)
-            kept = np.argsort(-weight, kind="stable")[: max(1, (max_cells - base * a * size) // (a * size))] if k == ORDER else np.arange(a**k)
-            kept = np.sort(kept[weight[kept] > 0])
-            place = np.full(a**k, -1, np.int64)
-            place[kept] = np.arange(len(kept))
-            use = place[contexts[k]] >= 0
-            cell = (place[contexts[k][use]] * a + s3[use]) * size + lang[use]
-            count = np.bincount(cell, n[use], minlength=len(kept) * a * size).reshape(len(kept), a, size)
-            total, distinct = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-            under = probability[node[kept % max(1, a ** (k - 1))] if k else kept * 0]
+            keys, own = np.unique(gram & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            count = np.bincount(own * size + lang, n, minlength=len(keys) * size).reshape(-1, size)
+            contexts, of = np.unique(keys >> 8, return_inverse=True)
+            total, distinct = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
+            np.add.at(total, of, count)
+            np.add.at(distinct, of, count > 0)
             with np.errstate(invalid="ignore", divide="ignore"):
-                own = np.where(count > 0, count, distinct * under) / (total + distinct)
-            probability_k = np.where(total > 0, own, under)
-            tables.append(probability_k)
-            below, at = (node, probability) if k else (np.zeros(1, np.int64), probability)
-            full = np.arange(a**k) % max(1, a ** (k - 1))
-            node = np.where(place >= 0, base + place, below[full] if k else 0)
-            probability = np.concatenate([probability, probability_k]) if k else probability_k
-            base = len(probability)
-        self.node = node.astype(np.int32)
-        self.bits = (-np.log2(probability)).astype(np.float32).reshape(-1, size)
+                escape = np.where(total > 0, distinct / (total + distinct), 1.0)
+                direct = count / (total + distinct)[of]
+            # what follows a context was seen after the shorter one as well
+            under = probability[np.searchsorted(below, keys & ((1 << 8 * k) - 1))] if k else probability
+            probability, below = np.where(count > 0, direct, escape[of] * under), keys
+            self.seen.append(Places(keys))
+            self.bits.append(-np.log2(probability))
+            self.contexts.append(Places(contexts))
+            self.escapes.append(-np.log2(escape))
+
+    def _bits(self, gram: np.ndarray) -> np.ndarray:
+        """(sequences, languages): the code length of the last of ORDER + 1 bytes after the others."""
+        out, left = np.zeros((len(gram), len(self.langs))), np.arange(len(gram))
+        for k in range(ORDER, -1, -1):
+            key = gram[left] & ((1 << 8 * (k + 1)) - 1)
+            at = self.seen[k].find(key)
+            known = at >= 0
+            out[left[known]] += self.bits[k][at[known]]
+            left, key = left[~known], key[~known]
+            if not len(left):
+                return out
+            context = self.contexts[k].find(key >> 8)
+            met = context >= 0
+            out[left[met]] += self.escapes[k][context[met]]
+        out[left] += 8.0
+        return out
 
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): bits of each whole text."""
@@ -114,30 +153,32 @@ class ContextTrees:
         return out
 
     def _add(self, group: list[tuple[int, bytes]], out: np.ndarray) -> None:
-        s = self.symbol[np.frombuffer(b"".join(raw for _, raw in group), np.uint8)].astype(np.int32)
-        cell = self.node[(s[:-3] * self.a + s[1:-2]) * self.a + s[2:-1]] * np.int32(self.a) + s[3:]
+        raw = np.frombuffer(b"".join(raw for _, raw in group), np.uint8).astype(np.int64)
+        gram = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
         sizes = np.array([len(raw) for _, raw in group])
         ends = np.cumsum(sizes)
-        starts, stops = ends - sizes, ends - ORDER
-        bounds = np.stack([starts, stops], axis=1).ravel()[:-1]
-        for k in range(out.shape[1]):
-            sums = np.add.reduceat(self.bits[:, k][cell], bounds, dtype=np.float64)[::2]
-            np.add.at(out[:, k], [i for i, _ in group], sums)
+        bounds = np.stack([ends - sizes, ends - ORDER], axis=1).ravel()[:-1]
+        np.add.at(out, [i for i, _ in group], np.add.reduceat(self._bits(gram), bounds, axis=0)[::2])
+
 
+def train(docs: DataFrame, max_train_chars: int = 3_000_000) -> ContextTrees | None:
+    """Context trees from the texts of docs that are not held out and whose lang is known; None if there are none.
 
-def train(docs: DataFrame, max_train_chars: int = 3_000_000, max_cells: int = 4_000_000) -> ContextTrees | None:
-    """Context trees from the texts of docs that are not held out and whose lang is known; None if there are none."""
+    Of each language about max_train_chars characters are learned from: documents are chosen by a hash of doc_id, and the first one by that
+    hash in any case.
+    """
     bounded_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & has_letter() & ~held_out()).select(F.col("doc_id"), "lang", "text")
-    sizes = {r["lang"]: r["chars"] for r in known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()}
+    place = F.xxhash64("doc_id")
+    sizes = {r["lang"]: r for r in known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.min(place).alias("first")).collect()}
     if not sizes:
         return None
-    share = F.lit(1.0)
-    for lang, chars in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(max_train_chars / chars)).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    counts = gram_counts(sample).toPandas()
-    return ContextTrees(counts, max_cells) if len(counts) else None
+    chosen = F.lit(False)
+    for lang, r in sizes.items():
+        share = max_train_chars / r["chars"] * 1_000_000
+        chosen = F.when(F.col("lang") == lang, (F.pmod(place, F.lit(1_000_000)) < share) | (place == r["first"])).otherwise(chosen)
+    counts = gram_counts(known.where(chosen)).toPandas()
+    return ContextTrees(counts) if len(counts) else None
 
 
 def predict(docs: DataFrame, model: ContextTrees | None) -> DataFrame:
@@ -146,7 +187,7 @@ def predict(docs: DataFrame, model: ContextTrees | None) -> DataFrame:
     kept = docs.select(*[c for c in docs.columns if c not in added])
     if model is None:
         return kept.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # max_cells bounds its size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the bounded sample
 
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("p", T.DoubleType()), T.StructField("bits", T.DoubleType())])
 
