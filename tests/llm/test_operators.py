@@ -275,6 +275,36 @@ def test_quality(spark, none):
     assert quality.score_quality(none, labels).count() == 0
 
 
+def test_quality_priors_against_plain_sums(spark):
+    """Priors and scores from the returned evidence: sums of the other documents' posteriors by path, host and all."""
+    rng = np.random.default_rng(6)
+    make = lambda i: " ".join(rng.permutation(EN.split())) + (" ### $$$ |" * int(rng.integers(0, 6)) if i % 3 else "")
+    rows = [(i, make(i), ["en", "fr", None][i % 3 if i % 5 else 0], f"h{i % 4}") for i in range(200)] + [(500, "word " * 200_000, "en", "h0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 200, 2)] + [(0, 0)], "doc_id long, quality int")
+    got = quality.score_quality(docs, labels).toPandas()
+    share = np.mean([i % 3 == 0 for i in range(0, 200, 2)])  # 0 has labels 1 and 0: their mean counts as good
+    own = 1 / (1 + np.exp(-(got.evidence + np.log(share / (1 - share)))))
+    keys = [got.source, got.lang.fillna("-")]
+    n, k = own.groupby(keys).transform("count"), own.groupby(keys).transform("sum")
+    host_n, host_k = own.groupby(got.source).transform("count"), own.groupby(got.source).transform("sum")
+    mean = own.mean()
+
+    def strength(n, rate):
+        between = max((n * (rate - mean) ** 2).sum() / n.sum() - mean * (1 - mean) * len(n) / n.sum(), 1e-4)
+        return min(1000.0, max(1.0, mean * (1 - mean) / between - 1))
+
+    hosts = own.groupby(got.source).agg(["count", "mean"])
+    s_host = strength(hosts["count"], hosts["mean"])
+    host_prior = (host_k + s_host * mean) / (host_n + s_host)
+    paths = pd.DataFrame({"n": n, "rate": k / n - host_k / host_n + mean, "key": keys[0] + "/" + keys[1]}).drop_duplicates("key")
+    s_path = strength(paths.n, paths.rate)
+    prior = ((k - own).clip(lower=0) + s_path * host_prior) / (n - 1 + s_path)
+    prior = prior.clip(1e-3, 1 - 1e-3)
+    assert np.allclose(got.path_prior, prior)
+    assert np.allclose(got.quality_score, 1 / (1 + np.exp(-(got.evidence + np.log(prior / (1 - prior))))))
+
+
 def plain_simhash(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).encode().split()
     if not words:

@@ -12,8 +12,6 @@ import corpus_pipeline
 from treespark.llm import langid, quality, shingles
 from treespark.llm.common import written
 
-from .test_operators import plain_simhash
-
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
 
@@ -56,18 +54,15 @@ def test_language_stage(spark, stages):
 
 
 def test_dedup_stage(stages):
+    """The stage's contract: five-word shingles, similarity of 0.8 or more, the smallest doc_id of each group stays."""
     _, docs, kept = stages[2]
-    fps = {i: plain_simhash(t or "") for i, t in zip(docs.doc_id, docs.text)}
-    group = {i: i for i in fps}
-    changed = True
-    while changed:
-        changed = False
-        for a in fps:
-            for b in fps:
-                if bin(fps[a] ^ fps[b]).count("1") <= 2 and group[a] != group[b]:
-                    group[a] = group[b] = min(group[a], group[b])
-                    changed = True
-    assert set(kept.doc_id) == {i for i in fps if group[i] == i} and kept.doc_id.is_unique
+    rows = sorted(zip(docs.doc_id, docs.text))
+    sets, group = five_word_sets(t for _, t in rows), list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    assert sorted(kept.doc_id) == [rows[i][0] for i, g in enumerate(group) if i == g]
 
 
 def test_packing_stage(stages):

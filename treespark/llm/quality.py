@@ -4,13 +4,13 @@ Method: a document classifier (naive Bayes over binned shares of marks, bars, sh
 grouped counts over labelled documents) gives each document its evidence, a log likelihood ratio. The mean posteriors
 of a path's documents, all of them, are shrunk towards its host's, and these towards the global one, by beta
 priors whose strengths come from the variance between hosts and between the paths of a host. A document's score is
-the probability from its path's shrunken prior and its own evidence.
+the probability from its path's shrunken prior, in which its own posterior is left out, and its own evidence.
 
 Here the host is `source`, and a path is (`source`, `lang`). All statistics are sums over groups; what comes to the
 driver is the bins' counts (fixed in number) and a few moments. The table of paths is joined by broadcast up to
 max_broadcast_paths rows and by shuffle beyond.
 
-Defined results: null text counts as empty; a null host or path is a group of its own; several labels of a
+Defined results: null text counts as empty; very long texts are read whole; a mean label of 0.5 counts as good; a null host or path is a group of its own; several labels of a
 document count by their mean; null labels and labels of unknown documents count not at all; without labels of both
 kinds the evidence is 0 and every score is near the prior 0.5 (kept). Extra columns are kept; columns named like added ones
 are replaced; repeated rows are scored each.
@@ -113,9 +113,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     shrunk = hosts.select(F.col("_host").alias("_of"), ((F.col("k") + s_host * mean) / (F.col("n") + s_host)).alias("host_prior"), "rate")
     within = paths.join(shrunk, F.col("_host").eqNullSafe(F.col("_of")))
     s_path = _strength(within.select("n", (F.col("k") / F.col("n") - F.col("rate") + mean).alias("rate")), mean)
-    prior = (F.col("k") + s_path * F.col("host_prior")) / (F.col("n") + s_path)
+    sums = [F.col("n").alias("_n"), F.col("k").alias("_k"), F.col("host_prior").alias("_host_prior")]
+    table = small_side(written(within.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), *sums), "priors"), max_broadcast_paths)
+    own = 1 / (1 + F.exp(-(F.col("evidence") + base)))  # the document's own part of its path's sum is left out
+    prior = (F.greatest(F.lit(0.0), F.col("_k") - own) + s_path * F.col("_host_prior")) / (F.col("_n") - 1 + s_path)
     prior = F.least(F.lit(1 - 1e-3), F.greatest(F.lit(1e-3), prior))
-    table = small_side(written(within.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), prior.alias("path_prior")), "priors"), max_broadcast_paths)
 
     @F.pandas_udf(T.DoubleType())
     def evidence(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -129,7 +131,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     scored = kept.withColumn("evidence", evidence(text_or_empty()))
     same = scored[host].cast("string").eqNullSafe(table["_h"]) & scored[path].cast("string").eqNullSafe(table["_p"])
     return (
-        scored.join(table, same, "left").drop("_h", "_p")
+        scored.join(table, same, "left").withColumn("path_prior", prior).drop("_h", "_p", "_n", "_k", "_host_prior")
         .withColumn("quality_score", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_prior"))))))
         .withColumn("quality_keep", F.col("quality_score") >= threshold)
     )
