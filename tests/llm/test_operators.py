@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import zlib
 from collections import Counter
 
@@ -261,6 +262,18 @@ def test_genetic_packing_is_valid_and_close_to_the_bound(spark):
     assert sum(n for _, n in bins) <= 1.01 * bound + 1
 
 
+def test_genetic_packing_beats_best_fit_decreasing():
+    rng = random.Random(5)
+    counts_ = Counter(rng.randint(20, 60) for _ in range(3000))
+    plain = sum(n for _, n in packing.best_fit(counts_, 100))
+    bins, used = packing.evolve(counts_, 100, [], seed=1, population=5, generations=10), Counter()
+    for runs, n in bins:
+        assert sum(a * k for a, k in runs) <= 100
+        for a, k in runs:
+            used[a] += n * k
+    assert used == counts_ and sum(n for _, n in bins) < plain
+
+
 def test_quality(spark, none):
     good, bad = [EN] * 30, ["buy### now&&& the*** best%%% deal$$$ today###"] * 30
     rows = [(i, t, None if i % 7 == 0 else "en", "h" + str(i % 3), 1, 7, 0.5, "z", "w") for i, t in enumerate(good + bad)] + [(None, None, None, None, 1, 7, 0.5, "z", "w"), (500, "", "en", "new", 1, 7, 0.5, "z", "w")]

@@ -4,7 +4,7 @@ Pieces of one length are interchangeable, so a packing is fixed by how many sequ
 works on the histogram of lengths: at most `capacity` counts, whatever the size of the corpus. A chromosome is a
 list of bin kinds (runs of equal lengths) with the number of bins of each kind. Crossover injects whole well-filled
 bins of one parent into the other, takes out the bins whose pieces are then used twice, and best-fits the displaced
-pieces, longest first. Islands evolve in parallel Spark tasks; after each epoch every island gets its neighbour's
+pieces, longest first; then a replacement search tries to empty the least filled bins (see squeeze). Islands evolve in parallel Spark tasks; after each epoch every island gets its neighbour's
 elite. The best packing becomes a table of rank ranges by length. Pieces get their rank among those of their
 length by counts of (length, bucket) and a window inside each bucket, and look up sequence and offset.
 
@@ -12,13 +12,15 @@ Nothing that grows with the corpus reaches the driver: the histogram has `capaci
 a few thousand bin kinds, since each step of best-fit opens two kinds at most.
 
 Defined results: null text counts as empty (its only token is the end id); repeated rows are packed as separate
-documents; a null doc_id is kept; extra columns are ignored; an empty table gives an empty result.
+documents; very long texts are cut whole; a null doc_id is kept; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 import random
+from bisect import insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -133,6 +135,59 @@ def _cross(one: Bins, other: Bins, counts: dict[int, int], capacity: int, rng: r
     return best_fit(left, capacity, child, order)
 
 
+def squeeze(bins: Bins, capacity: int, rng: random.Random, most: int = 1500, rounds: int = 4) -> Bins:
+    """bins after a replacement search: the pieces of the emptiest bin go to others, if need be in the place of smaller ones.
+
+    A displaced piece goes where it fits best, or takes the place of the piece whose exchange uses up most of some bin's room; that one is
+    displaced in turn and is smaller. Ends when a bin's pieces can't all be placed, which leaves the bins as they were. At most
+    `most` bins with room take part, the emptiest ones and a random part of the others.
+    """
+    fill = lambda runs: sum(a * k for a, k in runs)
+    kept = [(runs, n) for runs, n in bins if fill(runs) == capacity]
+    loose = sorted((x for x in bins if fill(x[0]) < capacity), key=lambda x: (fill(x[0]), rng.random()))
+    some: list[Counter] = []
+    for runs, n in loose:
+        own = min(n, most - len(some))
+        some += [_counted(runs) for _ in range(own)]
+        if n > own:
+            kept.append((runs, n - own))
+    for _ in range(rounds):
+        if len(some) < 2:
+            break
+        work = [Counter(x) for x in some[1:]]
+        room = [capacity - sum(a * k for a, k in x.items()) for x in work]
+        displaced, steps = sorted(some[0].elements()), 0
+        while displaced and steps < 20 * len(work):
+            steps += 1
+            piece = displaced.pop()
+            fits = [(r, i) for i, r in enumerate(room) if r >= piece]
+            if fits:
+                r, i = min(fits)
+                work[i][piece] += 1
+                room[i] -= piece
+                continue
+            gain, _, i, other = max(((piece - a, rng.random(), i, a) for i, x in enumerate(work) if room[i] for a in x if a < piece <= a + room[i]), default=(0, 0, 0, 0))
+            if not gain:
+                displaced.append(piece)
+                break
+            work[i][piece] += 1
+            work[i][other] -= 1
+            work[i] += Counter()  # drops what isn't there any more
+            room[i] -= gain
+            insort(displaced, other)
+        if displaced:
+            break
+        some = sorted(work, key=lambda x: sum(a * k for a, k in x.items()))
+    return kept + [(tuple(sorted(x.items())), 1) for x in some]
+
+
+def _counted(runs: tuple[tuple[int, int], ...]) -> Counter:
+    out: Counter = Counter()
+    for a, k in runs:
+        out[a] += k
+    return out
+
+
 def evolve(counts: dict[int, int], capacity: int, elites: list[Bins], seed: int, population: int, generations: int) -> Bins:
     """The best chromosome of one island after some generations."""
     rng = random.Random(seed)
@@ -140,12 +195,12 @@ def evolve(counts: dict[int, int], capacity: int, elites: list[Bins], seed: int,
     pool = [*elites, best_fit(counts, capacity)]
     while len(pool) < population:
         pool.append(best_fit(counts, capacity, order=sorted(counts, key=lambda a: -a * rng.uniform(0.9, 1.0))))
-    pool.sort(key=lambda x: _cost(x, capacity))
+    pool = sorted((squeeze(x, capacity, rng) for x in pool), key=lambda x: _cost(x, capacity))
     for _ in range(generations):
         if _cost(pool[0], capacity)[0] <= floor:
             break
         one, other = rng.sample(pool[: max(2, population // 2)], 2)
-        pool[-1] = _cross(one, other, counts, capacity, rng)
+        pool[-1] = squeeze(_cross(one, other, counts, capacity, rng), capacity, rng)
         pool.sort(key=lambda x: _cost(x, capacity))
     return pool[0]
 
