@@ -57,6 +57,8 @@ LAST = (1 << NUMBER) - 1
 BUCKETS, BETWEEN = 2048, "\u0100"
 #: Numbers of words in a row of documents; a longer document has a row of its own.
 GROUP = 100_000
+#: Bytes of text in a chunk, and segments that are numbered at a time: they bound a worker's memory.
+CHUNK, BLOCK = 20 << 20, 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -185,8 +187,9 @@ class Numbered:
             sizes.append(len(found))
             flat += [numbers.setdefault(word, len(numbers)) for word in found]
         sizes = np.array(sizes, np.int64)
-        own = np.array(flat, np.int64)
-        stream = own[segments.expanded(sizes, np.cumsum(sizes) - sizes, index)]
+        own, starts = np.array(flat, np.uint32), np.cumsum(sizes) - sizes
+        blocks = [own[segments.expanded(sizes, starts, index[at : at + BLOCK])] for at in range(0, len(index), BLOCK)]
+        stream = np.concatenate([np.zeros(0, np.uint32), *blocks])
         seen = np.bincount(stream, minlength=len(numbers))
         order = np.argsort(-seen, kind="stable")
         place = np.empty(len(order), np.uint32)
@@ -215,7 +218,7 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, Numbered]]:
         find = regex.compile(pattern).findall
-        for i, chunk in enumerate(segments.chunks(batches)):
+        for i, chunk in enumerate(segments.chunks(batches, size=CHUNK)):
             own, part = Numbered(chunk.column("text"), find), chunk.column("part")[0].as_py()
             if part >= 1 << 22 or i >= 1 << 13 or len(own.words) > LAST:
                 raise ValueError("more tasks, chunks of a task or words of a chunk than places have bits for")
@@ -268,7 +271,7 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
         for batch in batches:
             held.append(batch)
             rows += len(batch)
-            if rows >= 500_000:
+            if rows >= 200_000:
                 yield flushed()
                 held, rows = [], 0
         if rows:
