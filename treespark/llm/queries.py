@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, langid, lm_scoring, neighbours, packing, quality, rules, simhash
+from . import bpe, chat, clustering, counts, langid, lexical, lm_scoring, neighbours, packing, quality, rules, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,12 +73,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_share")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = clustering.cluster(_table(spark, sf_dir, "embeddings"), clustering.seeded_hash(1), k=16, rounds=3, dim=64, scale=64)
+    return own.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", clustering.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+def op12_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = sharding.read_shards(spark, sharding.write_shards(docs, ["source", "lang", "n_chars", "doc_id"], ["doc_id"], shards=24))
+    text = F.coalesce("text", F.lit(""))
+    return rows.select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_nearest_neighbours, op2_token_counts, op3_language_id, op4_lm_scoring, op5_chat_formatting,
             op6_best_fit_packing, op7_quality_classifier, op8_simhash_near_dedup, op9_byte_bpe, op10_quality_rules,
+            op11_centroid_clustering, op12_hilbert_sharding, op13_ranked_search,
         )
     }
 
@@ -114,9 +134,39 @@ ORACLES = {
                     else 1 - cast(coalesce(list_sum(list_transform(good, lambda x: length(x))), 0) as double) / cast(list_sum(list_transform(l, lambda x: length(x))) as double) end lost_share
                 from g left join c on c.doc_id = g.doc_id)
         select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost_share <= 0.5 kept from b""",
+    "op13_ranked_search": r"""
+        with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w from documents where text is not null),
+            n as (select count(*)::bigint n, sum(len(w))::bigint l from d where len(w) > 0),
+            q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t from benchmark where item_id is not null),
+            p as (select doc_id, n, t, count(*) tf from (select doc_id, len(w) n, unnest(w) t from d) x where t in (select t from q) group by all),
+            f as (select t, floor(1000 * ln((2 * any_value(n.n) + 2)::double / (2 * count(*) + 1)::double))::bigint w from p, n group by t),
+            s as (select q.item_id, p.doc_id, sum(f.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + (90 * p.n * n.n) // n.l))))::bigint score from q join p on p.t = q.t join f on f.t = q.t, n group by 1, 2)
+        select * from (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::integer "rank", doc_id, score from s where score > 0) x where "rank" <= 10""",
 }
 
 
+def _lloyd(k: int = 16, rounds: int = 3) -> str:
+    """DuckDB SQL of the rounds, one after the other."""
+    own = """{0} as materialized (select rid, c.c, d from (select v.rid, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::bigint d,
+        row_number() over (partition by v.rid order by d, c.c) r from v, {1} c) c where r = 1)"""
+    mean = """{0} as materialized (select c.c, coalesce(m.v, c.v) v from {1} c left join (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) v from
+        (select a.c, u.i, sum(v.v[u.i])::bigint s, count(*) n from {2} a join v on v.rid = a.rid, (select unnest(range(1, 65)) i) u group by 1, 2) x group by c) m on m.c = c.c)"""
+    steps = [
+        """v as materialized (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0)""",
+        f"c0 as materialized (select row_number() over (order by sha256('1:' || vec_id), vec_id) - 1 c, v from (select * from v where vec_id is not null order by sha256('1:' || vec_id), vec_id, v limit {k}) x)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(own.format(f"a{i}", f"c{i}"))
+        if i < rounds:
+            steps.append(mean.format(f"c{i + 1}", f"c{i}", f"a{i}"))
+    return f"""with {", ".join(steps)} select v.vec_id, a.c::integer "cluster", a.d distance, (sum(a.d) over (partition by a.c))::bigint cluster_inertia,
+        (sum(a.d) over ())::bigint inertia, sha256(array_to_string(c.v, ',')) centroid_sha256 from a{rounds} a join v on v.rid = a.rid join c{rounds} c on c.c = a.c"""
+
+
+ORACLES["op11_centroid_clustering"] = _lloyd()
+
+
 def _escaped(name: str) -> str:
     out = f"replace({name}, chr(92), chr(92) || chr(92))"
     for mark in chat.CONTROL:
