@@ -158,3 +158,23 @@ def test_parts_cut_between_terms():
     text = "ab Cd-éf 日本語 ".encode() * 50 + b"x" * 99
     assert b"".join(lexical.parts(text, 7)) == text
     assert lexical.terms_of(text) == Counter(w.encode() for w in TERM.findall(text.decode().lower()))
+
+
+def test_copies_of_a_vector_are_one_class(spark):
+    from treespark.llm import neighbours
+
+    rng = np.random.default_rng(8)
+    copied, near = rng.normal(size=8).round(2), rng.normal(size=(60, 8)).round(2)
+    rows = [(i, [float(x) for x in copied]) for i in range(20_000)] + [(20_000 + i, [float(x) for x in v]) for i, v in enumerate(near)]
+    rows += [(7, [float(x) for x in near[0]]), (40, [float(x) for x in -copied])]  # ids with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    found = neighbours.classes(neighbours.usable(df), 21)
+    assert found.count() == 62 and found.agg(F.max(F.size("ids"))).first()[0] == 21
+    got = neighbours.search(df, F.col("id") % 1000 == 0, k=20).toPandas()
+    score = float(sum(float(x) * float(x) for x in copied))
+    for q in range(0, 20_000, 1000):
+        mine = got[got.query_id == q].sort_values("rank")
+        ahead = sorted((-float(sum(a * b for a, b in zip(copied, v))), 20_000 + i) for i, v in enumerate(near) if float(sum(a * b for a, b in zip(copied, v))) > score)
+        want = [i for _, i in ahead] + [i for i in range(40) if i != q]
+        assert len(mine) == 20 and list(mine.vec_id)[len(ahead):] == want[len(ahead):20]
+    assert len(got[got.query_id == 20_000]) == 20
