@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, release_memory, written
 
-CELL, BLOCK, MAX_ITEMS = 4096, 256, 512
+CELL, BLOCK, MAX_ITEMS = 2048, 256, 512
 DIRECTIONS, PART = 16, 1 << 20
 #: What parts terms: every ASCII character but digits and letters.
 _APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
