@@ -94,9 +94,9 @@ def five_word_sets(texts):
     return out
 
 
-@pytest.mark.parametrize("open_pairs", [0, 4])  # with stars, and by all pairs at once
-def test_dedup_drops_near_copies_by_five_word_similarity(spark, monkeypatch, open_pairs):
-    monkeypatch.setattr(shingles, "OPEN", open_pairs)
+@pytest.mark.parametrize("few", [1, 1000])  # in tiles, and pair by pair
+def test_dedup_drops_near_copies_by_five_word_similarity(spark, monkeypatch, few):
+    monkeypatch.setattr(shingles, "FEW", few)
     rng, rows = np.random.default_rng(3), []
     for family in range(12):
         words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
@@ -120,3 +120,27 @@ def test_dedup_keeps_one_row_of_each_group_where_an_id_has_two_texts(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect())
     assert kept == [(1, texts[0][1]), (7, texts[2][1]), (9, texts[4][1]), (9, texts[5][1])]
+
+
+def test_tiles_join_what_all_pairs_join():
+    from treespark.llm import shingles
+
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 60, 120)
+    sets = [np.unique(np.concatenate([base[rng.random(120) > rng.choice([0.02, 0.08, 0.3])], rng.integers(0, 1 << 60, rng.integers(0, 20))])) for _ in range(90)]
+    sets += [np.unique(rng.integers(0, 1 << 60, 50)) for _ in range(10)] + [np.array([5], np.int64)] * 2
+    names = rng.permutation(len(sets)).astype(np.int64)
+    for sides in (np.zeros(len(sets), bool), rng.random(len(sets)) < 0.4):
+        got = shingles.forest(names, sets, sides)
+        alike = {(i, j): len(np.intersect1d(sets[i], sets[j])) * 9 >= (len(sets[i]) + len(sets[j])) * 4 for i in range(len(sets)) for j in range(i) if not sides.any() or sides[i] != sides[j]}
+        at = {int(n): i for i, n in enumerate(names)}
+        assert all(alike[max(at[a], at[b]), min(at[a], at[b])] for a, b in got) and len(got) < len(sets)
+
+        def parts(pairs):
+            root = list(range(len(sets)))
+            for i, j in pairs:
+                a, b = root[i], root[j]
+                root = [a if x == b else x for x in root]
+            return len(set(root))
+
+        assert parts([p for p, linked in alike.items() if linked]) == parts([(at[a], at[b]) for a, b in got]) == len(sets) - len(got)

@@ -101,7 +101,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.max("u")).first()
+        # the same edges again, but for a chance of one in 2^64 and less
+        state = now.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(seed), "u", "v").cast("decimal(38,0)")) for seed in (1, 2)]).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
         before = state
