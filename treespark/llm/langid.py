@@ -31,7 +31,8 @@ from .common import bounded_batches, release_memory
 
 ORDER = 3
 PAD = b"\n" * ORDER
-BLOCK = 1 << 20
+#: Bytes of text that are worked on at a time: what a step needs besides the model is about 100 times that.
+BLOCK = 1 << 18
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -45,15 +46,33 @@ def has_letter(text: str = "text") -> Column:
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): how often each 4 bytes (big-endian number) occur in the texts of a language."""
 
+    def of_parts(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+        own = np.ones(len(raw), bool)  # the padding is context only
+        own[(np.cumsum([0, *map(len, parts[:-1])])[:, None] + np.arange(ORDER)).ravel()] = False
+        return np.unique((raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:])[own[ORDER:]], return_counts=True)
+
+    def blocks(texts: pd.Series) -> Iterator[list[bytes]]:
+        parts, size = [], 0
+        for text in texts:
+            raw = text.encode()
+            for at in range(0, len(raw), BLOCK):  # a long text goes on from its last context
+                parts.append((raw[at - ORDER : at] if at else PAD) + raw[at : at + BLOCK])
+                size += len(parts[-1])
+                if size >= BLOCK:
+                    yield parts
+                    parts, size = [], 0
+        if parts:
+            yield parts
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                parts = [PAD + t.encode() for t in texts]
-                raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
-                own = np.ones(len(raw), bool)  # the padding is context only
-                own[(np.cumsum([0, *map(len, parts[:-1])])[:, None] + np.arange(ORDER)).ravel()] = False
-                grams, n = np.unique((raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:])[own[ORDER:]], return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": grams.astype("int64"), "n": n})
+                found = [of_parts(parts) for parts in blocks(texts)]
+                if found:
+                    grams, own = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+                    n = np.bincount(own, np.concatenate([n for _, n in found])).astype("int64")
+                    yield pd.DataFrame({"lang": lang, "gram": grams.astype("int64"), "n": n})
         release_memory()
 
     return docs.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
