@@ -61,8 +61,9 @@ def test_fold_stream_equals_batch(spark, tmp_path):
 def test_tree_log_drops_descendants(spark):
     index = spark.createDataFrame([("/t", 2, "d"), ("/t/a", 1, "a"), ("/t/b", 1, "b"), ("/u/x", 1, "x")], "path string, kind int, node string")
     log = spark.createDataFrame([(1, "", "/t/a", "announce", 1, "a", "a2"), (2, "", "/t", "delete", 2, "d", None), (3, "", "/t/b", "delete", 1, "b", None), (4, "", "/t/n/m", "announce", 1, None, "m")], LOG)
-    got = {r.seq: (r.verdict, r.rows_after) for r in C.fold_tree_changes(log, index).collect()}
-    assert got == {1: ("accept", 3), 2: ("accept", 0), 3: ("reject", 0), 4: ("accept", 3)}
+    judged, final = C.fold_tree_changes(log, index)
+    assert {r.seq: r.verdict for r in judged.collect()} == {1: "accept", 2: "accept", 3: "reject", 4: "accept"}
+    assert {r.path for r in final.collect()} == {"/t", "/t/n", "/t/n/m", "/u/x"}
 
 
 def test_echoes_on_a_stream(spark, tmp_path):

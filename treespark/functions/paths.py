@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import decide, small_side
@@ -65,6 +65,26 @@ def explode_ancestors(df: DataFrame, include_self: bool = False, col: str = "pat
     return df.withColumn(out, F.explode(ancestors_of(F.col(col), include_self)))
 
 
+@F.udtf(returnType="ancestor string, distance int")
+class PathAncestors:
+    """P3 as a table function for lateral joins in SQL: the ancestors of a path, nearest first, and how far each is."""
+
+    def eval(self, path: str, include_self: bool = False):
+        if path is None:
+            return
+        distance = 0
+        if include_self:
+            yield path, distance
+        while path != "/":
+            path, distance = path.rsplit("/", 1)[0] or "/", distance + 1
+            yield path, distance
+
+
+def register_path_ancestors(spark: SparkSession) -> None:
+    """Makes path_ancestors(path[, include_self]) known to SQL. Column code should take explode_ancestors, which stays in the JVM."""
+    spark.udtf.register("path_ancestors", PathAncestors)
+
+
 def filter_prefix(df: DataFrame, prefix: str) -> DataFrame:
     """P4. Rows at or below prefix; also prunes partitions by `top` where df has it."""
     rows = df.where(covers(prefix, F.col("path")))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import decide, keys, small_side, written
 from ..functions.paths import ancestors_of, conflict_name, covers, top_of
 from ..schema import DIR, RESERVED, ZERO_HASH
+from .ordered import fold, last_before
 
 
 def _accepts(op: Column, basis: Column, current: Column) -> Column:
@@ -25,42 +24,31 @@ def decide_cas(announces: DataFrame, index: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", F.when(_accepts(F.col("op"), F.col("basis"), F.col("current")), "accept").otherwise("reject"))
 
 
-def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Verdicts of changes that come by path, in order of seq: the state is one node, whatever the length of a log."""
-    key = node = None
-    for batch in batches:
-        found = []
-        names = zip(*[batch[c].tolist() for c in ("ck", "path", "start", "op", "basis", "new_node")])
-        for ck, path, start, op, basis, new in names:
-            if (ck, path) != key:
-                key, node = (ck, path), start
-            ok = node is None if op != "delete" and basis is None else node is not None and node == basis
-            before = node
-            if ok:
-                node = None if op == "delete" else new
-            found.append(("accept" if ok else "reject", before, node))
-        judged = pd.DataFrame(found, columns=["verdict", "current", "after"], index=batch.index)
-        yield pd.concat([batch[["ck", "path", "seq"]], judged], axis=1)
-
-
-def fold_changes(changes: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """C2. (ck, path, seq, verdict, current, final): each path's log of leaf changes, folded in order of seq by C1.
-
-    Logs are sorted within partitions and streamed, so a hot path's log is never held; final comes by a join with each path's last
-    change, whose hot keys Spark splits.
-    """
+def _log(changes: DataFrame, index: DataFrame | None) -> DataFrame:
+    """changes with ck and start: the kind's digit and node that index has for the path."""
     ks = keys(changes, "path")
-    log = changes.select(*ks, "seq", "op", "basis", "new_node")
+    kind = "kind" if "kind" in changes.columns else F.lit(1).alias("kind")
+    log = changes.select(*ks, "seq", "op", kind, "basis", "new_node")
     if index is None:
         log = log.withColumn("start", F.lit(None).cast("string"))
     else:
-        log = log.join(index.select(*ks, F.col("node").alias("start")), ks, "left")
+        own = F.coalesce(F.col("kind"), F.lit(1)) if "kind" in index.columns else F.lit(1)
+        log = log.join(index.select(*ks, F.concat(own.cast("string"), F.col("node")).alias("start")), ks, "left")
     log = log if "ck" in ks else log.withColumn("ck", F.lit(""))
-    text = [F.col(c).cast("string").alias(c) for c in ("ck", "path")]
-    in_order = log.select(*text, "seq", "start", "op", "basis", "new_node").repartition("ck", "path").sortWithinPartitions("ck", "path", "seq", "op", "basis", "new_node")
-    judged = written(in_order.mapInPandas(_follow, "ck string, path string, seq long, verdict string, current string, after string"), "judged")
-    last = judged.groupBy("ck", "path").agg(F.max_by("after", "seq").alias("final"))
-    return judged.drop("after").join(last, ["ck", "path"]).select(*ks, "seq", "verdict", "current", "final")
+    return log.withColumns({c: F.col(c).cast("string") for c in ("ck", "path")})
+
+
+def fold_changes(changes: DataFrame, index: DataFrame | None = None, part_rows: int | None = None) -> DataFrame:
+    """C2. (ck, path, seq, verdict, current, final): each path's log of leaf changes, folded in order of seq by C1.
+
+    Logs are cut into parts of bounded size (operators/ordered.py): a hot path's log is folded by many tasks. final comes by a join with each path's
+    last change, whose hot keys Spark splits.
+    """
+    ks = keys(changes, "path")
+    never = F.lit(None).cast("bigint")
+    judged = written(fold(_log(changes, index).withColumns({"dropped": never, "made": never}), part_rows), "judged")
+    last = judged.groupBy("ck", "path").agg(F.max_by(F.substr("after", F.lit(2)), "seq").alias("final"))
+    return judged.select("ck", "path", "seq", "verdict", "current").join(last, ["ck", "path"]).select(*ks, "seq", "verdict", "current", "final")
 
 
 def final_state(changes: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -69,38 +57,73 @@ def final_state(changes: DataFrame, index: DataFrame | None = None) -> DataFrame
     return done.groupBy(*keys(done, "path")).agg(F.max("final").alias("node")).where("node is not null")
 
 
-def fold_tree_changes(changes: DataFrame, index: DataFrame) -> DataFrame:
-    """C3. (seq, path, verdict, rows_after): logs with directory changes, folded in order of seq within a top component.
+def _above(df: DataFrame, *more: str) -> DataFrame:
+    """(ck, dir, ...): a row for each directory above the path, but `/`."""
+    return df.select("ck", F.explode(F.filter(ancestors_of(F.col("path")), lambda a: a != "/")).alias("dir"), *more)
 
-    Deleting a directory, or a file over it, drops what is below; a new leaf creates its missing ancestors. One top
-    component's log and rows meet in one task, since deletes couple its paths.
-    """
 
-    def fold(key, log: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        state = {r.path: (r.kind, r.node) for r in rows.itertuples()}
-        out = []
-        for c in log.sort_values("seq").itertuples():
-            kind, node = state.get(c.path, (None, None))
-            basis = c.basis if isinstance(c.basis, str) else None
-            ok = node is None if c.op != "delete" and basis is None else node is not None and node == basis
-            if ok:
-                if kind == DIR and (c.op == "delete" or c.kind != DIR):
-                    below = c.path + "/"
-                    state = {p: v for p, v in state.items() if not p.startswith(below)}
-                if c.op == "delete":
-                    state.pop(c.path)
-                else:
-                    up = c.path.rsplit("/", 1)[0]
-                    while up and up not in state:
-                        state[up] = (DIR, "")
-                        up = up.rsplit("/", 1)[0]
-                    state[c.path] = (c.kind, c.new_node)
-            out.append((c.seq, c.path, "accept" if ok else "reject", len(state)))
-        return pd.DataFrame(out, columns=["seq", "path", "verdict", "rows_after"])
-
-    log = changes.withColumn("top", top_of(F.col("path"))).select("top", "seq", "op", "path", "kind", "basis", "new_node").groupBy("top")
-    rows = index.where("path <> '/'").withColumn("top", top_of(F.col("path"))).select("top", "path", "kind", "node").groupBy("top")
-    return log.cogroup(rows).applyInPandas(fold, "seq long, path string, verdict string, rows_after long")
+def _falls(judged: DataFrame) -> DataFrame:
+    """Accepted changes that drop what is below: deletes, and anything but a directory over a directory."""
+    return judged.where((F.col("verdict") == "accept") & ((F.col("op") == "delete") | ((F.col("kind") != DIR) & (F.col("before_kind") == DIR)))).select("ck", F.col("path").alias("dir"), "seq")
+
+
+def _makes(judged: DataFrame) -> DataFrame:
+    """Directories that accepted changes below them make, where these are absent."""
+    return _above(judged.where((F.col("verdict") == "accept") & (F.col("op") != "delete")), "seq").select("ck", F.col("dir").alias("path"), "seq")
+
+
+def _judged_tree(changes: DataFrame, index: DataFrame, part_rows: int | None) -> tuple[DataFrame, DataFrame]:
+    """The log with verdicts; and the directories touched by more than their own changes: falls (ck, dir, seq)."""
+    log = written(_log(changes, index), "tree_log")
+    asks = written(_above(log.select("ck", "path", "seq"), "path", "seq"), "asks")
+    paths = log.select("ck", "path").distinct()
+    never, before = F.lit(None).cast("bigint"), None
+    fallen = log.select("ck", "path", "seq").withColumns({"dropped": never, "made": never})
+    while True:
+        steps = log.join(fallen, ["ck", "path", "seq"])
+        judged = written(fold(steps, part_rows).join(log.select("ck", "path", "seq", "op", "kind"), ["ck", "path", "seq"]), "judged")
+        falls, makes = _falls(judged), _makes(judged).join(paths, ["ck", "path"], "left_semi")
+        told = written(falls.select("ck", F.col("dir").alias("path"), "seq", F.lit(1).alias("what")).unionByName(makes.select("ck", "path", "seq", F.lit(2).alias("what"))), "effects")
+        if before is not None and told.exceptAll(before).isEmpty() and before.exceptAll(told).isEmpty():
+            return judged, falls
+        if before is None and told.isEmpty():
+            return judged, falls
+        before = told
+        dropped = last_before(asks, told.where("what = 1").select("ck", F.col("path").alias("dir"), "seq"), ["ck", "dir"], "dropped", part_rows)
+        made = last_before(log.select("ck", "path", "seq"), told.where("what = 2").select("ck", "path", "seq"), ["ck", "path"], "made", part_rows)
+        fallen = made.join(dropped.groupBy("ck", "path", "seq").agg(F.max("dropped").alias("dropped")), ["ck", "path", "seq"], "left")
+        fallen = written(fallen, "fallen")
+
+
+def fold_tree_changes(changes: DataFrame, index: DataFrame, part_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """C3. ((ck, seq, path, verdict, current), (ck, path, kind, node)): the verdicts of a log with directory changes, and the rows there are after it.
+
+    A delete, or anything but a directory put over a directory, drops what is below; a new entry makes its missing
+    ancestors as directories (with an empty node). Verdicts go by C1 on the path's own state. Seqs are unique in a namespace, and 0 at least; `/` is no row.
+
+    Method: each path's log is folded by itself (operators/ordered.py); accepted changes then act on other paths: a fall on all below its
+    directory from its seq on, a making on all above. Each change is told the last fall and the last making before it, by running maxima over (directory,
+    seq), and logs are folded again, until these effects stay the same. A verdict hangs on smaller seqs only, so there is one such state, and each
+    round settles at least one more link of the longest chain of changes that decide one another across paths. Nothing is grouped by
+    top component: hot directories and paths are cut into parts.
+    """
+    ks = keys(changes)
+    judged, falls = _judged_tree(changes, index, part_rows)
+    kept = index.where("path <> '/'").select(*keys(index, "path"), "kind", "node")
+    kept = (kept if "ck" in kept.columns else kept.withColumn("ck", F.lit(""))).select("ck", "path", F.concat(F.col("kind").cast("string"), "node").alias("state"), F.lit(-1).cast("bigint").alias("at"))
+    own = judged.groupBy("ck", "path").agg(F.max_by("after", "seq").alias("state"), F.max("seq").alias("at"))
+    made = _makes(judged).groupBy("ck", "path").agg(F.max("seq").alias("made"))
+    last = written(falls.groupBy("ck", "dir").agg(F.max("seq").alias("dropped")), "falls")
+    rows = kept.join(own.select("ck", "path"), ["ck", "path"], "left_anti").unionByName(own)
+    rows = written(rows.join(made, ["ck", "path"], "full"), "ends")
+    dropped = _above(rows, "path").join(small_side(last), ["ck", "dir"]).groupBy("ck", "path").agg(F.max("dropped").alias("dropped"))
+    since = F.coalesce("at", F.lit(-1))
+    rows = rows.join(dropped, ["ck", "path"], "left")
+    fell = F.coalesce(F.col("dropped") > since, F.lit(False))
+    rose = F.coalesce(F.col("made") > F.when(fell, F.col("dropped")).otherwise(since), F.lit(False))
+    state = F.when(rose & (fell | F.col("state").isNull()), "2").when(~fell, F.col("state"))
+    final = rows.withColumn("_s", state).where("_s is not null").select(*ks, "path", F.substr("_s", F.lit(1), F.lit(1)).cast("int").alias("kind"), F.substr("_s", F.lit(2)).alias("node"))
+    return judged.select(*ks, "seq", "path", "verdict", "current"), final
 
 
 def two_phase_cas(announces: DataFrame, finishes: DataFrame, index: DataFrame) -> DataFrame:

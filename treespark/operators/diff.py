@@ -11,6 +11,7 @@ from ..common import decide, keys, small_side, written
 from ..functions.hashing import HashFn, sha256_hex
 from ..functions.paths import ancestors_of, covers, depth_of, filter_prefix, top_of
 from ..schema import DIR, META_FIELDS, RESERVED
+from .ordered import numbered
 from .tree import _child, subtree_roots, tree_hash, tree_hash_incremental
 
 
@@ -35,10 +36,18 @@ def preview_pulls(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def compare_roots(left: DataFrame, right: DataFrame, checkouts: DataFrame, hash_fn: HashFn = sha256_hex) -> DataFrame:
-    """D3. checkouts (checkout, central) with left_root, right_root and matched."""
-    l, r = (subtree_roots(x, checkouts.select("central").distinct(), hash_fn).withColumnRenamed("root", n) for x, n in ((left, "left_root"), (right, "right_root")))
-    rows = checkouts.join(l, "central").join(r, "central")
-    return rows.withColumn("matched", F.col("left_root").eqNullSafe(F.col("right_root")))
+    """D3. checkouts (checkout, central) with left_root, right_root and matched. With a column path, the reported path's roots are compared, and
+    path_error is `EscapesRoot` (roots and matched null) for a path that isn't at or below its checkout's central."""
+    at = "path" if "path" in checkouts.columns else "central"
+    wanted = checkouts.select(F.col(at).alias("central")).distinct()
+    l, r = (subtree_roots(x, wanted, hash_fn).select(F.col("central").alias(at), F.col("root").alias(n)) for x, n in ((left, "left_root"), (right, "right_root")))
+    rows = checkouts.join(l, at).join(r, at)
+    rows = rows.withColumn("matched", F.col("left_root").eqNullSafe(F.col("right_root")))
+    if at == "central":
+        return rows
+    inside = covers(F.col("central"), F.col("path"))
+    rows = rows.withColumns({c: F.when(inside, F.col(c)) for c in ("left_root", "right_root", "matched")})
+    return rows.withColumn("path_error", F.when(~inside, F.lit("EscapesRoot")))
 
 
 def prune_diff(left: DataFrame, right: DataFrame, root: str = "/") -> DataFrame:
@@ -134,6 +143,13 @@ def order_plan(plan: DataFrame) -> DataFrame:
     return plan.orderBy(~gone, F.when(gone, -depth).otherwise(depth), "path")
 
 
+def number_plan(plan: DataFrame) -> DataFrame:
+    """D9 with step, the row's number in that order from 1: counted by ranges of the order, so no task sees all rows."""
+    gone, depth = F.col("action") == "Delete", depth_of(F.col("path"))
+    rows = plan.withColumns({"_writes": ~gone, "_depth": F.when(gone, -depth).otherwise(depth)})
+    return numbered(rows, ["_writes", "_depth", "path"], "step").drop("_writes", "_depth")
+
+
 def patch_index(index: DataFrame, manifest: DataFrame, prefix: str = "/", hash_fn: HashFn = sha256_hex) -> DataFrame:
     """D10. index with everything at and below prefix replaced by manifest's rows; their last_node is their node. Reserved
     rows stay when prefix is `/`. Directories are hashed again where they changed."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import decide, null_safe
+from .ordered import by_part, continued, in_parts
 
 #: Messages that each counter counts.
 COUNTED = {
@@ -171,27 +172,84 @@ def idle_reasks(pending: DataFrame, gauges: DataFrame, now: Column, interval_s:
     return pending.where(F.unix_millis(now) - F.unix_millis("asked") >= interval_s * 1000).join(state, "peer", "left_semi")
 
 
-def rate_limit(attempts: DataFrame, most: int, window_s: int = 60) -> DataFrame:
+#: Rounds of guessed starts before what is still open of a hot address is walked in one task.
+GUESSES = 6
+
+
+def rate_limit(attempts: DataFrame, most: int, window_s: int = 60, part_rows: int | None = None) -> DataFrame:
     """M13. attempts (ip, ts, id) with allowed: fewer than `most` allowed ones of that address in the window before.
 
-    Attempts are sorted within partitions by address and time and streamed; the state is the allowed ones of the window, `most`
-    at most, so an address's log is never held.
+    Attempts are sorted by address and time and cut into parts of bounded size (operators/ordered.py); the state is the allowed ones of the window, `most` at
+    most. A part that continues an address starts from the part before: first as if nothing was allowed there, then from what that part ended with,
+    again for those whose start has changed. A pause of a window, or a stretch below the limit, makes a part's end independent of its
+    start, so this mostly settles at once; what hasn't after GUESSES rounds (an address far beyond the limit without pause, whose
+    allowed attempts hang on each other all the way) is walked in order by one task, with one small state a part.
     """
 
+    def walk(ip, hits: deque, ips: list, ats: list) -> tuple[object, list[bool]]:
+        allowed = []
+        for own, at in zip(ips, ats):
+            if own != ip:
+                ip = own
+                hits.clear()
+            while hits and at - hits[0] >= window_s * 1000:
+                hits.popleft()
+            allowed.append(len(hits) < most)
+            if allowed[-1]:
+                hits.append(at)
+        return ip, allowed
+
+    def ends(starts: dict[int, list], chained: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part, ip, hits, out = None, None, deque(), []
+            for batch in batches:
+                for p, rows in batch.groupby("_part", sort=False):
+                    if p != part:
+                        out += [] if part is None else [(part, list(hits))]
+                        if not chained or p in starts or part is None:
+                            hits = deque(starts.get(p, ()))
+                            ip = rows["ip"].iloc[0]
+                        part = p
+                    ip, _ = walk(ip, hits, rows["ip"].tolist(), rows["seq"].tolist())
+            yield pd.DataFrame(out + ([] if part is None else [(part, list(hits))]), columns=["_part", "hits"])
+
+        return run
+
+    table = in_parts(attempts.select("ip", "id", F.unix_millis("ts").alias("seq")), ["ip"], ["seq", "id"], part_rows)
+    prev = continued(table, ["ip"])
+    starts: dict[int, list] = {p: [] for p in prev}
+    ended: dict[int, list] = {}
+    todo = sorted({*prev, *[p - 1 for p in prev]})
+    for _ in range(GUESSES):
+        if not todo:
+            break
+        rows = table.where(F.col("_part").isin(todo)).select("_part", "_pos", "ip", "seq")
+        ended |= {r["_part"]: list(r["hits"]) for r in by_part(rows, ends(starts, False), "_part int, hits array<long>").collect()}  # a small row a part
+        todo = [p for p in prev if starts[p] != ended[p - 1]]
+        starts |= {p: ended[p - 1] for p in todo}
+    if todo:  # from the first open part of each address on, its parts in order
+        open_parts, p0 = [], {}
+        for p in sorted(prev):
+            head = p0.get(p - 1, p) if p - 1 in prev else p
+            p0[p] = head
+        heads = {p0[p] for p in todo}
+        first = {h: min(p for p in todo if p0[p] == h) for h in heads}
+        open_parts = [p for p in sorted(prev) if p0[p] in heads and p >= first[p0[p]]]
+        rows = table.where(F.col("_part").isin(open_parts)).select("_part", "_pos", "ip", "seq")
+        chain = F.create_map(*[F.lit(x) for p in open_parts for x in (p, p0[p])])
+        own = {first[h]: starts[first[h]] for h in heads}
+        in_order = rows.withColumn("_head", F.element_at(chain, F.col("_part"))).repartition("_head").sortWithinPartitions("_part", "_pos").drop("_head")
+        ended |= {r["_part"]: list(r["hits"]) for r in in_order.mapInPandas(ends(own, True), "_part int, hits array<long>").collect()}
+        starts |= {p: ended[p - 1] for p in open_parts if p - 1 in ended}
+
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ip, hits = None, deque()
+        part, ip, hits = None, None, deque()
         for batch in batches:
-            allowed = []
-            for own, at in zip(batch["ip"].tolist(), batch["at"].tolist()):
-                if own != ip:
-                    ip, hits = own, deque()
-                while hits and at - hits[0] >= window_s * 1000:
-                    hits.popleft()
-                allowed.append(len(hits) < most)
-                if allowed[-1]:
-                    hits.append(at)
-            yield batch[["ip", "id"]].assign(allowed=allowed)
-
-    rows = attempts.select("ip", "id", F.unix_millis("ts").alias("at")).repartition("ip").sortWithinPartitions("ip", "at", "id")
+            for p, rows in batch.groupby("_part", sort=False):
+                if p != part:
+                    part, ip, hits = p, rows["ip"].iloc[0], deque(starts.get(p, ()))
+                ip, allowed = walk(ip, hits, rows["ip"].tolist(), rows["seq"].tolist())
+                yield rows[["ip", "id"]].assign(allowed=allowed)
+
     kinds = dict(attempts.dtypes)
-    return rows.mapInPandas(judge, f"ip {kinds['ip']}, id {kinds['id']}, allowed boolean")
+    return by_part(table, judge, f"ip {kinds['ip']}, id {kinds['id']}, allowed boolean")

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import keys, null_safe, written
+from ..common import keys, null_safe, small_side, written
 from ..functions.hashing import HashFn, child_entry, list_hash, sha256_hex, with_file_node
 from ..functions.paths import ancestors_of, covers, with_path_parts
 from ..schema import DIR, FILE, ZERO_HASH
 
-
+#: A directory of more entries is hashed as a stream of sorted rows, not from one row that holds its list.
+WIDE = 100_000
+#: The streaming form of a hash function: an object with update() and hexdigest().
+Digest = Callable[[], object]
 
 def fill_ancestors(meta: DataFrame, mode: int = 0o40755) -> DataFrame:
     """C13. meta with a directory row for each missing ancestor."""
@@ -35,22 +42,57 @@ def _child() -> Column:
     return F.coalesce(F.when(F.col("kind") == DIR, F.col("dir_node")), F.col("node"))
 
 
-def _roll_up(nodes: DataFrame, hash_fn: HashFn) -> DataFrame:
+def _wide(nodes: DataFrame, ks: list[str], digest: Digest | None) -> DataFrame | None:
+    """(ck, path) of the directories with more than WIDE entries, or None if there are none."""
+    if digest is None:
+        return None
+    wide = written(nodes.where("parent is not null").groupBy(*ks, F.col("parent").alias("path")).count().where(F.col("count") > WIDE).drop("count"), "wide")
+    return None if wide.isEmpty() else wide
+
+
+def _streamed(children: DataFrame, ks: list[str], digest: Digest) -> DataFrame:
+    """(ck, path, dir_node) of the directories of these children: entries come sorted by name and go through the digest one by one."""
+    rows = children.select(*ks, F.col("parent").alias("path"), "name", F.unhex(child_entry(F.col("name"), F.col("kind"), F.col("child"))).alias("entry"))
+    in_order = rows.repartition(*ks, "path").sortWithinPartitions(*ks, "path", "name")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            done = []
+            for *own, entry in zip(*[batch[c].tolist() for c in (*ks, "path", "entry")]):
+                if own != key:
+                    done += [] if key is None else [(*key, state.hexdigest())]
+                    key, state = own, digest()
+                state.update(entry)
+            yield pd.DataFrame(done, columns=[*ks, "path", "dir_node"])
+        yield pd.DataFrame([] if key is None else [(*key, state.hexdigest())], columns=[*ks, "path", "dir_node"])
+
+    return in_order.mapInPandas(run, ", ".join(f"{c} string" for c in (*ks, "path", "dir_node")))
+
+
+def _roll_up(nodes: DataFrame, hash_fn: HashFn, digest: Digest | None = None) -> DataFrame:
     """(ck, path, dir_node) of the directories of nodes (with path parts); one with a dir_node already keeps it."""
     ks = keys(nodes)
     spark = nodes.sparkSession
     depths = sorted((r[0] for r in nodes.where(F.col("kind") == DIR).select("depth").distinct().collect()), reverse=True)
+    wide = _wide(nodes, ks, digest)
     done: list[DataFrame] = []
     below = None  # the directories one level down, with their hashes
     for depth in depths:
         leaves = nodes.where((F.col("depth") == depth + 1) & ((F.col("kind") != DIR) | F.col("dir_node").isNotNull())).select(*ks, "parent", "name", "kind", _child().alias("child"))
         children = leaves if below is None else leaves.unionByName(below.select(*ks, "parent", "name", F.lit(DIR).alias("kind"), F.col("dir_node").alias("child")))
+        own = nodes.where((F.col("depth") == depth) & (F.col("kind") == DIR) & F.col("dir_node").isNull()).select(*ks, "path", "parent", "name", F.lit(True).alias("own"))
+        large = None
+        if wide is not None:
+            among = small_side(wide.withColumnRenamed("path", "parent"))
+            large = _streamed(children.join(among, [*ks, "parent"], "left_semi"), ks, digest).join(own, [*ks, "path"])
+            children, own = children.join(among, [*ks, "parent"], "left_anti"), own.join(small_side(wide), [*ks, "path"], "left_anti")
         entry = F.struct("name", child_entry(F.col("name"), F.col("kind"), F.col("child")).alias("entry"))
         listed = children.select(*ks, F.col("parent").alias("path"), entry.alias("e"))
-        own = nodes.where((F.col("depth") == depth) & (F.col("kind") == DIR) & F.col("dir_node").isNull()).select(*ks, "path", "parent", "name", F.lit(True).alias("own"))
         # a directory's own row and its children's meet in one shuffle; without children its list is empty
         level = listed.unionByName(own, allowMissingColumns=True).groupBy(*ks, "path")
         hashed = level.agg(list_hash(F.collect_list("e"), hash_fn).alias("dir_node"), F.max("parent").alias("parent"), F.max("name").alias("name"), F.max("own").alias("own"))
+        hashed = hashed if large is None else hashed.unionByName(large)
         below = hashed.where("own").drop("own")
         below = written(below, "level")
         done.append(below.select(*ks, "path", "dir_node"))
@@ -60,11 +102,16 @@ def _roll_up(nodes: DataFrame, hash_fn: HashFn) -> DataFrame:
     return out
 
 
-def tree_hash(meta: DataFrame, hash_fn: HashFn = sha256_hex) -> DataFrame:
-    """H4. meta, missing ancestors included, with node, dir_node and path parts, hashed level by level up to `/`."""
+def _digest_of(hash_fn: HashFn, digest: Digest | None) -> Digest | None:
+    return digest or (hashlib.sha256 if hash_fn is sha256_hex else None)
+
+
+def tree_hash(meta: DataFrame, hash_fn: HashFn = sha256_hex, digest: Digest | None = None) -> DataFrame:
+    """H4. meta, missing ancestors included, with node, dir_node and path parts, hashed level by level up to `/`. Directories of more than WIDE
+    entries are hashed in bounded memory by digest, the streaming form of hash_fn (known for SHA-256); without one, from one row as others."""
     nodes = with_path_parts(with_file_node(fill_ancestors(meta), hash_fn=hash_fn)).withColumn("dir_node", F.lit(None).cast("string"))
     nodes = written(nodes, "nodes")
-    rolled = _roll_up(nodes, hash_fn)
+    rolled = _roll_up(nodes, hash_fn, _digest_of(hash_fn, digest))
     return nodes.drop("dir_node").join(rolled, keys(meta, "path"), "left")
 
 
@@ -88,7 +135,7 @@ def tree_hash_incremental(index: DataFrame, changes: DataFrame, hash_fn: HashFn
     nodes, touched = written(nodes, "nodes"), dirty.drop("_dirty")
     # children of dirty directories are all that the roll-up reads
     read = nodes.join(touched.withColumnRenamed("path", "parent").withColumn("_p", F.lit(True)), [*ks, "parent"], "left").where("_p or _dirty").drop("_p", "_dirty")
-    rolled = _roll_up(read, hash_fn).withColumnRenamed("dir_node", "_new")
+    rolled = _roll_up(read, hash_fn, _digest_of(hash_fn, None)).withColumnRenamed("dir_node", "_new")
     out = nodes.join(rolled, path_keys, "left").withColumn("dir_node", F.coalesce("_new", "dir_node")).drop("_new", "_dirty")
     more = [c for c in index.columns if c not in out.columns]
     if not more:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..common import written
+from ..common import shared_dir, written
 
 from ..operators import diff as D
 
@@ -37,12 +39,46 @@ def d3(f):
     return D.compare_roots(f("index_local"), f("index_master"), f.sql(CENTRALS).withColumn("checkout", F.col("central")))
 
 
+REPORTED = f"select c.central checkout, c.central, case when c.central='/src2/en' then '/src2' when c.central='/src1' then '/src1/fr' else c.central end path from ({CENTRALS}) c"
+
+
+@R.add("d3_reported_paths", f"""select c.checkout, c.path, case when ok then coalesce(l.child,sha256('')) end left_root, case when ok then coalesce(r.child,sha256('')) end right_root, cast(case when ok then coalesce(l.child,sha256(''))=coalesce(r.child,sha256('')) end as integer) matched, case when not ok then 'EscapesRoot' end path_error
+    from (select *, central='/' or path=central or starts_with(path,central||'/') ok from ({REPORTED}) x) c left join index_local l on l.path=c.path left join index_master r on r.path=c.path""")
+def d3b(f):
+    return D.compare_roots(f("index_local"), f("index_master"), f.sql(REPORTED)).select("checkout", "path", "left_root", "right_root", F.col("matched").cast("int").alias("matched"), "path_error")
+
+
 @R.add("d4_prune_diff", """select coalesce(l.path,r.path) path, l.kind left_kind, l.child left_node, r.kind right_kind, r.child right_node from (select * from index_local where path<>'/') l
     full join (select * from index_master where path<>'/') r on r.path=l.path where l.kind is distinct from r.kind or l.child is distinct from r.child""")
 def d4(f):
     return D.prune_diff(f("index_local"), f("index_master"))
 
 
+def walked(f):
+    """The two indexes stored, and the walk over them."""
+    from ..sources import snapshots, tree_index
+
+    roots = [f"{shared_dir(f.spark)}/treespark/index-{uuid.uuid4().hex}" for _ in range(2)]
+    for root, name in zip(roots, ("index_local", "index_master")):
+        snapshots.write_snapshot(f(name).withColumn("ck", F.lit("")), root)
+    return tree_index.prune_walk(f.spark, *roots)
+
+
+DIFFERING = """select coalesce(l.path,r.path) path, l.kind left_kind, l.child left_node, r.kind right_kind, r.child right_node, coalesce(l.depth,r.depth) depth from (select * from index_local where path<>'/') l
+    full join (select * from index_master where path<>'/') r on r.path=l.path where l.kind is distinct from r.kind or l.child is distinct from r.child"""
+
+
+@R.add("d4_prune_walk", f"select path, left_kind, left_node, right_kind, right_node from ({DIFFERING}) d")
+def d4b(f):
+    return walked(f)[0]
+
+
+@R.add("d4_walk_levels", f"""with o as (select path, depth from ({DIFFERING}) d where left_kind=2 or right_kind=2 union all select '/', 0), v as (select distinct path, parent from (select path, parent from index_local union all select path, parent from index_master) x where path<>'/')
+    select cast(o.depth as integer) "level", count(distinct o.path) opened, count(v.path) visited from o left join v on v.parent=o.path group by 1""")
+def d4c(f):
+    return walked(f)[1].select("level", "opened", "visited")
+
+
 SIDES = "select coalesce(l.path,r.path) path, l.kind lk, l.child lc, l.node ln, r.kind rk, r.child rc, s.last_node last from index_local l full join index_master r on r.path=l.path left join synced s on s.path=coalesce(l.path,r.path)"
 THREE = """case when lk=rk and lc=rc then 'Matched' when lk=2 and rk=2 then 'Recurse' when lk<>rk then case when last is null or ln=last then 'Pull' else 'AnnounceCas' end
     when lk is null then 'Pull' when rk is null then case when last is not null and ln<>last then 'AnnounceCas' else 'AnnounceCreate' end when last is not null and ln=last then 'Pull' else 'AnnounceCas' end"""
@@ -85,6 +121,11 @@ def d8b(f):
     return D.restore_summary(plan(f), "/src1", 3, False)
 
 
+@R.add("d9_plan_steps", f"select *, row_number() over (order by action<>'Delete', case when action='Delete' then -1 else 1 end*(length(path)-length(replace(path,'/',''))-case when path='/' then 1 else 0 end), path) step from ({PLAN}) p")
+def d9b(f):
+    return D.number_plan(plan(f))
+
+
 @R.add("d9_order_plan", PLAN)
 def d9(f):
     return D.order_plan(plan(f))

@@ -92,6 +92,8 @@ def _texts(d) -> dict[str, str]:
         "gauges": f"""select 's'||cast(user_id%8 as string) peer, cast(case when {d.days(d.ts("ts"))}>=16 then 2 else 1 end as bigint) generation, event_id%200 seq, {d.ts("ts")} received,
             case when event_id%4=0 then null else event_type end stage, event_id%5000 age_ms, event_id%20 depth, event_id%2 parked, event_id%3 sending, event_id%7 pending
             from {{events}}""",
+        "idle_gauges": f"""select 's'||cast(user_id%8 as string) peer, cast(1 as bigint) generation, event_id seq, {d.ts("ts")} received, case when user_id%8%2=0 then null else event_type end stage,
+            event_id%5000 age_ms, event_id%20 depth, case when user_id%8=2 then 1 else 0 end parked, cast(0 as int) sending, event_id%7 pending from {{events}}""",
         "raw_events": f"""select event_id id, '' ck, {d.ts("ts")} ts, case event_type when 'signup' then 'Create' when 'view' then 'Write' when 'click' then 'Metadata' when 'purchase' then 'Remove' else 'Rename' end kind,
             {d.idiv("event_id", 10)} cookie, case when event_type='error' and event_id%2=1 then null else '/w/u'||cast(user_id%10 as string)||'/f'||cast(user_id as string) end path,
             case when event_type='error' and event_id%3>0 then case when event_id%5=0 then '/else' else '/w' end||'/u'||cast(user_id%10 as string)||'/g'||cast(user_id as string) end to_path,

@@ -39,14 +39,25 @@ def c2b(f):
     return C.final_state(f("changes")).select("path", "node")
 
 
-@R.add("c3_fold_tree_changes")
-def c3(f):
-    log = f("changes").select("seq", "op", "path", "kind", "basis", "new_node")
-    dirs = f.sql("select event_id+1000000 seq, 'announce' op, '/u'||cast(user_id%10 as string) path, 1 kind, cast(null as string) basis, sha2(cast(event_id as string),256) new_node from {events} where event_id%97=0")
+def tree_log(f):
+    """All events as leaf changes, and directory changes over whole user groups between them."""
+    log = f("changes").selectExpr("seq*2 seq", "op", "path", "kind", "basis", "new_node")
+    dirs = f.sql("""select event_id*2+1 seq, case when event_id%3=0 then 'delete' else 'announce' end op, '/u'||cast(user_id%10 as string) path, cast(case when event_id%3=1 then 1 else 2 end as int) kind,
+        case when event_id%3=0 then '' end basis, case when event_id%3>0 then sha2(cast(event_id as string),256) end new_node from {events}""")
     index = f.sql("select distinct '/u'||cast(user_id%10 as string) path, 2 kind, '' node from {events}")
     return C.fold_tree_changes(log.unionByName(dirs), index)
 
 
+@R.add("c3_fold_tree_changes")
+def c3(f):
+    return tree_log(f)[0]
+
+
+@R.add("c3_final_tree")
+def c3b(f):
+    return tree_log(f)[1]
+
+
 FINISH = "select a.doc_id finish_seq, a.path, case when a.doc_id%6=5 then m.content_hash else coalesce(a.content_hash,'-') end want_hash, a.doc_id%9<>0 body_ok from ({0}) a left join tree_master m on m.path=a.path where a.op='announce'"
 PENDING = "select doc_id seq, path, op, basis, new_node, coalesce(content_hash,'-') want_hash from ({0}) p where op='announce' and doc_id%6<>5"
 
@@ -218,7 +229,7 @@ def a7(f):
     return A.live_sessions(f.sql(CONNECTS))
 
 
-@R.add("c12_renamed_tree_hash")
+@R.add("c12_renamed_tree_hash", "select case when path='/src1' then '/renamed' else path end path, dir_node, true moved from index_master where path in ('/src1','/src2')")
 def c12b(f):
     """C12 followed by H4: a subtree's hash doesn't depend on where it is."""
     moved = C.rename_prefix(f("tree_master").select("path", *META_FIELDS), f.sql("select '/src1' path, '/renamed' to_path"))

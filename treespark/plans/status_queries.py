@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..common import shared_dir, written
 from ..operators import events as E
 from ..operators import status as M
+from ..operators import chunks as CH
 from ..operators import transfer as T
 from ..schema import META_FIELDS
 from ..sources import files, sinks, snapshots
@@ -138,14 +139,24 @@ def m12(f):
     return M.idle_reasks(pending, f("gauges"), F.expr(END), 86400).select("event_id", "peer")
 
 
-@R.add("m13_rate_limit", """with recursive o as (select id, ip, (epoch_us(ts)//1000) t, row_number() over (partition by ip order by (epoch_us(ts)//1000), id) n from attempts),
+LIMITED = """with recursive o as (select id, ip, (epoch_us(ts)//1000) t, row_number() over (partition by ip order by (epoch_us(ts)//1000), id) n from attempts),
     w as (select ip, n, id, true allowed, [t] hits from o where n=1 union all
         select o.ip, o.n, o.id, len(list_filter(w.hits, lambda h: o.t-h<86400000))<3, case when len(list_filter(w.hits, lambda h: o.t-h<86400000))<3 then list_append(list_filter(w.hits, lambda h: o.t-h<86400000), o.t) else list_filter(w.hits, lambda h: o.t-h<86400000) end
-        from w join o on o.ip=w.ip and o.n=w.n+1) select ip, id, allowed from w""")
+        from w join o on o.ip=w.ip and o.n=w.n+1) select ip, id, allowed from w"""
+
+
+@R.add("m13_rate_limit", LIMITED)
 def m13(f):
     return M.rate_limit(f("attempts"), 3, 86400)
 
 
+@R.add("m12_reasks_of_idle_peers", f"""with g as (select * from ({ACCEPTED.replace("gauges", "idle_gauges")}) a qualify row_number() over (partition by peer order by generation desc, received desc, seq desc)=1)
+    select m.event_id, m.slave peer from messages m join g on g.peer=m.slave where (epoch_us({END})//1000)-(epoch_us(m.ts)//1000)>=86400000 and (epoch_us({END})//1000)-(epoch_us(g.received)//1000)<=3*86400000 and g.stage is null and g.sending=0 and g.parked=0""")
+def m12b(f):
+    pending = f("messages").select("event_id", F.col("slave").alias("peer"), F.col("ts").alias("asked"))
+    return M.idle_reasks(pending, f("idle_gauges"), F.expr(END), 86400).select("event_id", "peer")
+
+
 # --- sources and sinks
 
 @R.add("s1_scan_objects")
@@ -281,6 +292,17 @@ def streamed(f, df):
     return f.spark.readStream.schema(df.schema).parquet(root)
 
 
+def in_batches(f, df, order, n=4):
+    """df as a stream of n micro-batches, each with the rows of a span of order (a column of numbers or times)."""
+    root = f"{shared_dir(f.spark)}/treespark/stream-{uuid.uuid4().hex}"
+    at = F.unix_micros(order) if dict(df.dtypes)[order].startswith("timestamp") else F.col(order)
+    cuts = df.agg(F.percentile_approx(at, [i / n for i in range(1, n)])).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        rows = df if low is None else df.where(at > low)
+        (rows if high is None else rows.where(at <= high)).coalesce(1).write.mode("append").parquet(root)
+    return f.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
 def drained(f, stream, mode="append"):
     """A stream's rows after all input, from a file sink."""
     name = uuid.uuid4().hex
@@ -310,13 +332,13 @@ def e2b(f):
     return drained(f, jobs.debounce_stream(streamed(f, rows), "6 hours", LATE))
 
 
-def stateful(f, make, df):
+def stateful(f, make, df, source=None):
     """make(stream of df), drained under the state store that stateful processors need."""
     conf, key = f.spark.conf, "spark.sql.streaming.stateStore.providerClass"
     before = conf.get(key)
     conf.set(key, jobs.ROCKS)
     try:
-        return drained(f, make(streamed(f, df)))
+        return drained(f, make(source or streamed(f, df)))
     finally:
         conf.set(key, before)
 
@@ -331,6 +353,41 @@ def e9(f):
     return stateful(f, jobs.fresh_gauges_stream, f("gauges"))
 
 
+@R.add("e9_gauge_states_stream", f"""with a as ({ACCEPTED}), n as (select *, lead(received) over (partition by peer, generation order by seq) nxt from a)
+    select peer, generation, seq, received "at", 'fresh' state from n union all select peer, generation, seq, received+interval 30 minutes, 'stale' from n
+    where case when nxt is not null then nxt-received>interval 30 minutes else received+interval 30 minutes<=(select max(received) from gauges)-interval 1 day end""")
+def e9b(f):
+    return stateful(f, lambda g: jobs.gauge_states_stream(g, 600, "1 day", 60 * 86400), None, in_batches(f, f("gauges"), "received"))
+
+
+@R.add("e3_pair_renames_stream", f"""with h as ({HALVES}), a as (select * from h where half='from'), b as (select * from h where half='to')
+    select coalesce(a.ck,b.ck) ck, coalesce(a.cookie,b.cookie) cookie, case when a.path is null then 'Changed' when b.path is null then 'Removed' else 'Renamed' end event, coalesce(a.path,b.path) path, case when a.path is not null then b.path end to_path
+    from a full join b on a.ck=b.ck and a.cookie=b.cookie and b.ts between a.ts-interval 1 hour and a.ts+interval 1 hour
+    where (a.path is not null and b.path is not null) or coalesce(a.ts,b.ts)+interval 1 hour<(select max(ts) from h)-interval 1 day""")
+def e3b(f):
+    return drained(f, jobs.pair_renames_stream(in_batches(f, f.sql(HALVES), "ts"), "1 hour", "1 day"))
+
+
+@R.add("e4_suppress_echo_stream", f"""with e as ({ECHO}), a as (select *, lead(ts) over (partition by path order by ts) nxt from ({ARMED}) r), n as (select e.*, a.ts armed, a.content_hash w from e join a on a.path=e.path and e.ts>=a.ts and e.ts<=a.ts+interval 48 hours and (a.nxt is null or e.ts<a.nxt)),
+    f as (select *, min(case when event<>'Removed' and content_hash=w then ts end) over (partition by path, armed) hit from n)
+    select id, ck, path, ts, event, content_hash from e where id not in (select id from f where (event<>'Removed' and ts=hit) or (event='Removed' and (hit is null or ts<hit)))""")
+def e4b(f):
+    applied = f.sql(ARMED).select("ck", "path", F.lit(-1).cast("bigint").alias("id"), "ts", F.lit("Applied").alias("event"), "content_hash")
+    rows = f.sql(ECHO).select("ck", "path", F.col("id").cast("bigint").alias("id"), "ts", "event", "content_hash").unionByName(applied)
+    return stateful(f, lambda e: jobs.suppress_echo_stream(e, 24 * 3600 * 1000, "1 day"), None, in_batches(f, rows, "ts"))
+
+
+@R.add("e7_dedupe_asks_stream", f"select seq, ck, path, want_hash, op from (select *, lag(op) over (partition by path, want_hash order by seq) last from ({ASKS}) a) x where op='ask' and coalesce(last,'done')='done'")
+def e7b(f):
+    rows = f.sql(ASKS).withColumn("seq", F.col("seq").cast("bigint"))
+    return stateful(f, jobs.dedupe_asks_stream, None, in_batches(f, rows, "seq"))
+
+
+@R.add("m13_rate_limit_stream", LIMITED)
+def m13b(f):
+    return stateful(f, lambda a: jobs.rate_limit_stream(a, 3, 86400, "1 day"), None, in_batches(f, f("attempts"), "ts"))
+
+
 @R.add("s9_merge_stream_into_index", """select 'a' ck, l.path, l.kind, l.node, l.dir_node, m.node last_node from index_local l left join index_master m on m.path=l.path
     union all select 'b', path, kind, node, dir_node, node from index_master""")
 def s9(f):
@@ -375,6 +432,15 @@ def t3b(f):
     return T.rolling_delta(rows.select("path", F.col("edited").alias("body")), rows.select("path", "body"), 512).drop("literal")
 
 
+@R.add("t3_chunk_delta", "select path, sha256(edited) body_hash, cast(strlen(edited)-512*(strlen(body)//512) as bigint) literal_bytes from bodies where edited<>''")
+def t3c(f):
+    rows = f("bodies")
+    new, old = (written(CH.chunked(rows, 4096, c), "chunks") for c in ("edited", "body"))
+    ops = written(CH.chunk_delta(new, old, 512), "ops")
+    sent = ops.groupBy("path").agg(F.coalesce(F.sum(F.when(F.col("basis_at").isNull(), F.col("length"))), F.lit(0)).cast("bigint").alias("literal_bytes"))
+    return CH.rebuilt(ops, new, old, 4096).join(sent, "path")
+
+
 @R.add("t4_apply_delta", "select path, sha256(edited) body_hash, case when sha256(edited)=want_hash then 'accept' else 'retry_whole' end verdict from bodies where edited<>''")
 def t4(f):
     rows = written(f("bodies"), "bodies")
@@ -391,6 +457,35 @@ def t5(f):
     return T.reassemble(chunks.where(~lost), 1000).select("path", F.sha2("body", 256).alias("body_hash"), "problem")
 
 
+WRITTEN_TREE = "select path, kind, cast(case when kind=2 then 0 else size end as bigint) size, mode, content_hash from (select path, kind, size, mode%4096 mode, content_hash from tree_master where path<>'/') t"
+
+
+def local_tree(f) -> str:
+    """The master tree written by the sink below a fresh folder that all executors mount."""
+    from ..sources import posix
+
+    posix.register(f.spark)
+    shared = shared_dir(f.spark)
+    if not shared.startswith(("file:", "/")):
+        raise RuntimeError("a POSIX tree needs a shared folder that is mounted")
+    root = f"/{shared.split(':', 1)[-1].strip('/')}/treespark/tree-{uuid.uuid4().hex}"
+    leaves = f.sql("select path, kind, mtime_ns, mode, content_hash, cast(content as binary) body from leaf").unionByName(f.sql("select path, kind, mtime_ns, mode, content_hash, cast(null as binary) body from dirs where path<>'/'"))
+    leaves.write.format("tree_files").mode("append").option("path", root).save()
+    return root
+
+
+@R.add("s7_tree_files_sink", WRITTEN_TREE.replace("mode, content_hash from (", "case when kind=3 then 511 else mode end mode, content_hash from ("))
+def s7(f):
+    rows = f.spark.read.format("tree").option("path", local_tree(f)).load()
+    return rows.where("problem is null").select("path", "kind", "size", F.expr("mode & 4095").alias("mode"), "content_hash")
+
+
+@R.add("s1_scan_tree", "select path, kind, content_hash from tree_master where path like '/src1/%'")
+def s1_tree(f):
+    rows = f.spark.read.format("tree").option("path", local_tree(f)).load()
+    return rows.where(F.col("path").startswith("/src1/")).select("path", "kind", "content_hash")
+
+
 @R.add("s8_conflict_sink", "select '/.tree-conflicts'||l.path||'--'||substr(l.content_hash,1,16) conflict_path from tree_local l left join tree_master m on m.path=l.path where l.kind<>2 and l.content_hash<>coalesce(m.content_hash,repeat('0',64))")
 def s8(f):
     from ..operators.cas import conflicts

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..common import shared_dir
+
 from ..functions import paths as P
 from ..functions.hashing import content_hash, with_file_node
 from ..operators import index as I
@@ -37,6 +41,13 @@ def p3(f):
     return P.explode_ancestors(f("tree_master").select("path"))
 
 
+@R.add("p3_path_ancestors_udtf", "select path, ancestor, row_number() over (partition by path order by length(ancestor) desc) distance from (" + ANCESTORS.format("index_master") + ") a")
+def p3b(f):
+    P.register_path_ancestors(f.spark)
+    f("tree_master").createOrReplaceTempView("treespark_paths")
+    return f.spark.sql("select t.path, a.ancestor, a.distance from treespark_paths t, lateral path_ancestors(t.path) a")
+
+
 @R.add("p4_filter_prefix", "select path, size from tree_master where path='/src1' or path like '/src1/%'")
 def p4(f):
     return P.filter_prefix(f("tree_master").select("path", "size"), "/src1")
@@ -103,6 +114,16 @@ def h5(f):
     return H.tree_hash_incremental(f("index_master"), to_local(f)).select("path", "kind", "node", "dir_node")
 
 
+@R.add("h5_update_stored_index", "select path, kind, node, dir_node from index_local")
+def h5b(f):
+    from ..sources import snapshots, tree_index
+
+    root = f"{shared_dir(f.spark)}/treespark/index-{uuid.uuid4().hex}"
+    snapshots.write_snapshot(f("index_master").withColumn("ck", F.lit("")), root)
+    tree_index.update_index(f.spark, root, to_local(f).withColumns({"ck": F.lit(""), "seq": F.lit(1).cast("bigint")}))
+    return snapshots.read_snapshot(f.spark, root).select("path", "kind", "node", "dir_node")
+
+
 CENTRALS = "select '/' central union all select '/src1' union all select '/src2/en' union all select '/none' union all select path from leaf"
 
 

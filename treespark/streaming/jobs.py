@@ -1,8 +1,8 @@
-"""Streaming forms.
+"""Streaming forms.
 
-Watermarks bound the state of E2 and E8; E4 and E9 forget what hasn't been touched for keep_ms, where it is given. Forgetting goes by
-processing time, so give it to services with a processing-time trigger: with availableNow such a stream never ends. E6's state is the index itself,
-one row a path, with the last SEEN seqs of each.
+Watermarks bound all state but that of E6, E7 and fresh_gauges_stream: joins and windows drop what they have passed, stateful operators set event-time timers.
+E6's state is the index itself, one row a path, with the last SEEN seqs of each; E7's are the open asks. fresh_gauges_stream keeps one number a session,
+and forgets it by processing time only where keep_ms is given (with availableNow such a stream never ends); gauge_states_stream forgets by event time.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.events import debounce
+from ..operators.events import debounce, pair_renames
 from ..operators.status import classify_health, flow_counters
 
 
@@ -123,20 +123,81 @@ def fresh_gauges_stream(gauges: DataFrame, keep_ms: int | None = None) -> DataFr
     return rows.transformWithStateInPandas(FreshGauges(keep_ms), kind, "Append", "ProcessingTime" if keep_ms else "None")
 
 
+def _ms(at: pd.Timestamp) -> int:
+    return at.value // 1_000_000
+
+
+class GaugeStates(StatefulProcessor):
+    """E9. Per (peer, generation): the largest seq, when its frame came, and if it has gone stale since."""
+
+    def __init__(self, stale_us: int, forget_us: int):
+        self.stale, self.forget = stale_us, forget_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "seq bigint, at bigint, stale boolean")
+
+    def _rows(self, key, told: list) -> pd.DataFrame:
+        out = pd.DataFrame([(key[0], key[1], seq, at, state) for seq, at, state in told], columns=["peer", "generation", "seq", "at", "state"])
+        return out.assign(at=pd.to_datetime(out["at"], unit="us"))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seq, at, stale = self.last.get() if self.last.exists() else (None, None, True)
+        told = []
+        for g in pd.concat(list(rows)).sort_values(["received", "seq"]).itertuples():
+            if seq is not None and g.seq <= seq:
+                continue
+            if not stale and g.received.value // 1000 - at > self.stale:
+                told.append((seq, at + self.stale, "stale"))
+            seq, at, stale = int(g.seq), g.received.value // 1000, False
+            told.append((seq, at, "fresh"))
+        if told:
+            self.last.update((seq, at, stale))
+            self.handle.registerTimer((at + self.stale) // 1000 + 1)
+        yield self._rows(key, told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        told = []
+        if self.last.exists():
+            (seq, at, stale), now = self.last.get(), expiredTimerInfo.getExpiryTimeInMs() * 1000
+            if not stale and now >= at + self.stale:
+                told.append((seq, at + self.stale, "stale"))
+                self.last.update((seq, at, True))
+                self.handle.registerTimer((at + self.forget) // 1000 + 2)
+            elif stale and now >= at + self.forget:
+                self.last.clear()
+        yield self._rows(key, told)
+
+    def close(self) -> None:
+        pass
+
+
+def gauge_states_stream(gauges: DataFrame, interval_s: int = 5, late: str = "10 seconds", forget_s: int = 3600) -> DataFrame:
+    """E9. (peer, generation, seq, at, state): `fresh` for each accepted frame (M8's filter by seq), and `stale` three intervals after
+    the last one, when none has come by then (15 s for an interval of 0). It goes by event time: a timer fires when the watermark, `late` behind the newest
+    frame, has passed. A session silent for forget_s is forgotten."""
+    stale = 3_000_000 * (interval_s or 5)
+    rows = gauges.select("peer", "generation", "seq", "received").withWatermark("received", late).groupBy("peer", "generation")
+    kind = "peer string, generation long, seq long, at timestamp, state string"
+    return rows.transformWithStateInPandas(GaugeStates(stale, max(forget_s * 1_000_000, stale)), kind, "Append", "EventTime")
+
+
 class Echoes(StatefulProcessor):
     """E4. Per path: the armed write and until when. Writes come as rows with event `Applied`."""
 
-    def __init__(self, debounce_ms: int, keep_ms: int | None):
-        self.armed_ms, self.keep_ms = 2 * debounce_ms, keep_ms
+    def __init__(self, debounce_ms: int):
+        self.armed_ms = 2 * debounce_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.arm = handle.getValueState("arm", "written string, until bigint", self.keep_ms)
+        self.handle = handle
+        self.arm = handle.getValueState("arm", "written string, until bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         log = pd.concat(list(rows)).sort_values(["ts", "id"])
+        log = log.assign(first=log["event"] != "Applied").sort_values(["ts", "first"], kind="stable")
         arm, out = (self.arm.get() if self.arm.exists() else None), []
         for e in log.itertuples():
-            now = e.ts.value // 1_000_000
+            now = _ms(e.ts)
             if e.event == "Applied":
                 arm = (e.content_hash, now + self.armed_ms)
                 continue
@@ -149,40 +210,113 @@ class Echoes(StatefulProcessor):
             out.append((key[0], key[1], e.id, e.ts, e.event, e.content_hash))
         if arm:
             self.arm.update(tuple(arm))
+            self.handle.registerTimer(arm[1] + 1)
         else:
             self.arm.clear()
         yield pd.DataFrame(out, columns=["ck", "path", "id", "ts", "event", "content_hash"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.arm.exists() and self.arm.get()[1] < expiredTimerInfo.getExpiryTimeInMs():
+            self.arm.clear()
+        yield pd.DataFrame([], columns=["ck", "path", "id", "ts", "event", "content_hash"])
+
     def close(self) -> None:
         pass
 
 
-def suppress_echo_stream(events: DataFrame, debounce_ms: int = 200, keep_ms: int | None = None) -> DataFrame:
-    """E4 on a stream of events and writes (event `Applied`): (ck, path, id, ts, event, content_hash). A write that no event
-    follows is forgotten after keep_ms."""
+def suppress_echo_stream(events: DataFrame, debounce_ms: int = 200, late: str = "10 seconds") -> DataFrame:
+    """E4 on a stream of events and writes (event `Applied`, which come first of what is at one time): (ck, path, id, ts, event, content_hash). A
+    write that no event follows is forgotten when the watermark, `late` behind the newest event, has passed its time."""
     kind = "ck string, path string, id long, ts timestamp, event string, content_hash string"
-    rows = events.select("ck", "path", "id", "ts", "event", "content_hash").groupBy("ck", "path")
-    return rows.transformWithStateInPandas(Echoes(debounce_ms, keep_ms), kind, "Append", "ProcessingTime" if keep_ms else "None")
+    rows = events.select("ck", "path", "id", "ts", "event", "content_hash").withWatermark("ts", late).groupBy("ck", "path")
+    return rows.transformWithStateInPandas(Echoes(debounce_ms), kind, "Append", "EventTime")
+
+
+def pair_renames_stream(events: DataFrame, window: str = "1 second", late: str = "10 seconds") -> DataFrame:
+    """E3 on a stream: the two halves are joined as streams with a watermark each, so a half without partner comes out as Removed or Changed once
+    the watermark is past its time and the window, and the state holds no more than that span."""
+    return pair_renames(events.withWatermark("ts", late), window)
+
+
+class OpenAsks(StatefulProcessor):
+    """E7. Per (ck, path, want_hash): only while an ask is open, a mark."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "seq bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        is_open, out = self.open.exists(), []
+        for a in pd.concat(list(rows)).sort_values("seq").itertuples():
+            if a.op == "ask" and not is_open:
+                out.append((a.seq, *key, a.op))
+                self.open.update((a.seq,))
+            is_open = a.op == "ask"
+        if not is_open:
+            self.open.clear()
+        yield pd.DataFrame(out, columns=["seq", "ck", "path", "want_hash", "op"])
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe_asks_stream(asks: DataFrame) -> DataFrame:
+    """E7 on a stream: asks (seq, ck, path, want_hash, op ask|done) without those made while an equal one is open; rows of a key come in order of seq
+    from batch to batch."""
+    rows = asks.select("seq", "ck", "path", "want_hash", "op").groupBy("ck", "path", "want_hash")
+    return rows.transformWithStateInPandas(OpenAsks(), "seq long, ck string, path string, want_hash string, op string", "Append", "None")
+
+
+class Limits(StatefulProcessor):
+    """M13. Per address: the allowed attempts of the last window, `most` at most."""
+
+    def __init__(self, most: int, window_ms: int):
+        self.most, self.window_ms = most, window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hits = handle.getValueState("hits", "at array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        hits, out = (list(self.hits.get()[0]) if self.hits.exists() else []), []
+        for a in pd.concat(list(rows)).sort_values(["ts", "id"]).itertuples():
+            now = _ms(a.ts)
+            hits = [h for h in hits if now - h < self.window_ms]
+            allowed = len(hits) < self.most
+            hits += [now] if allowed else []
+            out.append((key[0], a.id, allowed))
+        if hits:
+            self.hits.update((hits,))
+            self.handle.registerTimer(hits[-1] + self.window_ms)
+        yield pd.DataFrame(out, columns=["ip", "id", "allowed"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.hits.exists() and self.hits.get()[0][-1] + self.window_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.hits.clear()
+        yield pd.DataFrame([], columns=["ip", "id", "allowed"])
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stream(attempts: DataFrame, most: int, window_s: int = 60, late: str = "10 seconds") -> DataFrame:
+    """M13 on a stream: (ip, id, allowed). An address is forgotten a window after its last allowed attempt, by the watermark."""
+    rows = attempts.select("ip", "ts", F.col("id").cast("long").alias("id")).withWatermark("ts", late).groupBy("ip")
+    return rows.transformWithStateInPandas(Limits(most, window_s * 1000), "ip string, id long, allowed boolean", "Append", "EventTime")
 
 
 def merge_stream_into_index(changes: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """S9. A stream of leaf changes ([ck,] path, meta fields[, last_node, last_content]; kind null deletes, the last seq of a path in a
-    batch wins) into the snapshot at root: each micro-batch writes one version, whose manifest names the batch, so a repeated
-    batch changes nothing. Without ck the changes are of the namespace ''. Other columns of the index stay with their paths."""
-    from ..sources.snapshots import latest_manifest, read_snapshot, write_snapshot
-    from ..operators.tree import tree_hash_incremental
+    """S9. A stream of leaf changes ([ck,] path, seq, meta fields[, last_node, last_content]; kind null deletes) into the snapshot at root. A path's
+    greatest seq counts, over all batches and streams: a late one changes nothing. Each micro-batch commits one delta of the rows it
+    changes; the version names the stream (by an id kept in its checkpoint folder) and its batch, so a repeated batch changes nothing, and
+    any number of streams can feed one index. Without ck the changes are of the namespace ''. Other columns of the index stay with their paths."""
+    from ..sources.snapshots import latest_manifest, stream_id
+    from ..sources.tree_index import update_index
+
+    own = stream_id(changes.sparkSession, checkpoint)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        now = latest_manifest(spark, root)
-        if now and now.get("batch_id", -1) >= batch_id:
-            return
-        index = read_snapshot(spark, root).drop("top")
-        named = batch if "ck" in batch.columns else batch.withColumn("ck", F.lit(""))
-        fields = ["kind", "size", "mtime_ns", "mode", "content_hash", *[c for c in named.columns if c in ("last_node", "last_content")]]
-        last = named.groupBy("ck", "path").agg(F.max_by(F.struct(*fields), "seq").alias("m"))
-        write_snapshot(tree_hash_incremental(index, last.select("ck", "path", "m.*")), root, batch_id=batch_id)
+        if latest_manifest(spark, root)["streams"].get(own, -1) < batch_id:
+            update_index(spark, root, batch if "ck" in batch.columns else batch.withColumn("ck", F.lit("")), {own: batch_id})
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
