@@ -80,7 +80,7 @@ def prune_walk(spark: SparkSession, left: str, right: str, ck: str = "", root: s
         seen, rows_read = [], 0
         for name, (at, manifest) in sides.items():
             below, n = children_of(spark, at, frontier, manifest)
-            seen.append(below.select("path", F.col("kind").alias(f"{name}_kind"), _child().alias(f"{name}_node")))
+            seen.append(below.where("path <> '/'").select("path", F.col("kind").alias(f"{name}_kind"), _child().alias(f"{name}_node")))
             rows_read += n
         same = F.col(kinds[0]).eqNullSafe(F.col(kinds[1])) & F.col(nodes[0]).eqNullSafe(F.col(nodes[1]))
         level = written(seen[0].join(seen[1], "path", "full").select("path", *kinds, *nodes, (~same).alias("differs")), "level")
