@@ -112,5 +112,4 @@ def test_gauges_go_stale_by_event_time(spark, tmp_path):
     told = sorted((r.peer, (r.at - at(0)).total_seconds(), r.seq, r.state) for r in got)
     stale = lambda p, s, n: [(p, float(s), n, "fresh"), (p, float(s + 15), n, "stale")]
     want = [("p", 0.0, 1, "fresh"), *stale("p", 10, 5), *stale("p", 60, 6), *stale("q", 2, 1), *stale("q", 5001, 2), *stale("r", 61, 1), *stale("r", 300, 2), *stale("r", 5000, 3)]
-    assert told[: len(want)] == sorted(want)[: len(told)] or set(want) <= set(told)
-    assert ("q", 9999.0, 1, "fresh") in told and not any(t[0] == "p" and t[2] == 4 for t in told)  # q was forgotten by then
+    assert set(want) <= set(told) and not any(t[0] == "p" and t[2] == 4 for t in told)
