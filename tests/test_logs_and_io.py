@@ -76,6 +76,27 @@ def test_echoes_on_a_stream(spark, tmp_path):
     assert sorted(r.id for r in got.collect()) == [4, 6]
 
 
+def test_echoes_of_paths_that_share_keys_of_state(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [("", f"/p{i % 60}", i, start + dt.timedelta(milliseconds=37 * i), ["Applied", "Changed", "Removed", "Changed"][i * 7 % 11 % 4], str(i % 3)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "ck string, path string, id long, ts timestamp, event string, content_hash string")
+    for i in range(3):
+        df.where(f"id div 400 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKS)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = jobs.run_available(jobs.suppress_echo_stream(stream, 2000, buckets=4), "shared_echoes")
+    arms, want = {}, []
+    for _, path, id_, ts, event, content in rows:
+        if event == "Applied":
+            arms[path] = (content, ts + dt.timedelta(milliseconds=4000))
+        elif path in arms and ts <= arms[path][1] and (event == "Removed" or content == arms[path][0]):
+            if event != "Removed":
+                del arms[path]
+        else:
+            want.append((id_, path, ts, event, content))
+    assert sorted((r.id, r.path, r.ts, r.event, r.content_hash) for r in got.collect()) == want and len(want) < 900
+
+
 def test_scan_write_and_verify_a_tree(spark, tmp_path):
     src, out = tmp_path / "src", tmp_path / "out"
     (src / "d/empty").mkdir(parents=True)

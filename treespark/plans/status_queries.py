@@ -296,10 +296,11 @@ def in_batches(f, df, order, n=4):
     """df as a stream of n micro-batches, each with the rows of a span of order (a column of numbers or times)."""
     root = f"{shared_dir(f.spark)}/treespark/stream-{uuid.uuid4().hex}"
     at = F.unix_micros(order) if dict(df.dtypes)[order].startswith("timestamp") else F.col(order)
+    df = written(df, "rows")
     cuts = df.agg(F.percentile_approx(at, [i / n for i in range(1, n)])).first()[0]
     for low, high in zip([None, *cuts], [*cuts, None]):
         rows = df if low is None else df.where(at > low)
-        (rows if high is None else rows.where(at <= high)).coalesce(1).write.mode("append").parquet(root)
+        (rows if high is None else rows.where(at <= high)).repartition(1).write.mode("append").parquet(root)
     return f.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(root)
 
 

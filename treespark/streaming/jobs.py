@@ -3,6 +3,7 @@
 Watermarks bound all state but that of E6, E7 and fresh_gauges_stream: joins and windows drop what they have passed, stateful operators set event-time timers.
 E6's state is the index itself, one row a path, with the last SEEN seqs of each; E7's are the open asks. fresh_gauges_stream keeps one number a session,
 and forgets it by processing time only where keep_ms is given (with availableNow such a stream never ends); gauge_states_stream forgets by event time.
+Where keys are many and small (E4), a bucket of them is one key of state, so that what a call costs isn't paid for each.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -48,6 +49,22 @@ def health_stream(messages: DataFrame, interval: str = "5 seconds", late: str =
     return classify_health(sums.withColumns({**queues, "errors": F.col("cas_reject")})).drop(*queues, "errors")
 
 
+#: Keys of state that the paths of a stream share: a call of a stateful operator, and of its state, costs milliseconds.
+BUCKETS = 1024
+#: The time of rows without one.
+NEVER = -(1 << 63)
+ECHO_COLUMNS = ["ck", "path", "id", "us", "event", "content_hash"]
+
+
+def _bucket(buckets: int, *names: str) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(buckets)).alias("bucket")
+
+
+def _tuples(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+    for frame in frames:
+        yield from zip(*[frame[c].tolist() for c in columns])
+
+
 #: How many of a path's last seqs are kept, to tell repeated changes from late ones.
 SEEN = 256
 
@@ -183,53 +200,68 @@ def gauge_states_stream(gauges: DataFrame, interval_s: int = 5, late: str = "10
 
 
 class Echoes(StatefulProcessor):
-    """E4. Per path: the armed write and until when. Writes come as rows with event `Applied`."""
+    """E4. Per bucket of paths: each path's armed write and until when, and the next timer. Writes come as rows with event `Applied`; times
+    are microseconds, NEVER where there is none: such events are no echoes."""
 
     def __init__(self, debounce_ms: int):
         self.armed_ms = 2 * debounce_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.arm = handle.getValueState("arm", "written string, until bigint")
+        self.armed = handle.getValueState("armed", "due bigint, cks array<string>, paths array<string>, written array<string>, until array<bigint>")
+
+    def _load(self) -> tuple[int | None, dict]:
+        due, cks, paths, written, until = self.armed.get() or (None, [], [], [], [])
+        return due, dict(zip(zip(cks, paths), zip(written, until)))
+
+    def _store(self, due: int | None, arms: dict) -> None:
+        if not arms:
+            self.armed.clear()
+            return
+        soonest = min(until for _, until in arms.values()) + 1
+        if due is None or soonest < due:
+            self.handle.registerTimer(soonest)
+            due = soonest
+        self.armed.update((due, [k[0] for k in arms], [k[1] for k in arms], [a[0] for a in arms.values()], [a[1] for a in arms.values()]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        log = pd.concat(list(rows)).sort_values(["ts", "id"])
-        log = log.assign(first=log["event"] != "Applied").sort_values(["ts", "first"], kind="stable")
-        arm, out = (self.arm.get() if self.arm.exists() else None), []
-        for e in log.itertuples():
-            now = _ms(e.ts)
-            if e.event == "Applied":
-                arm = (e.content_hash, now + self.armed_ms)
+        due, before = self._load()
+        arms, out = dict(before), []
+        for ck, path, id_, us, event, content_hash in sorted(_tuples(rows, ECHO_COLUMNS), key=lambda e: (e[3], e[4] != "Applied", e[2])):
+            arm = arms.get((ck, path))
+            if event == "Applied":
+                if us != NEVER:
+                    arms[ck, path] = (content_hash, us // 1000 + self.armed_ms)
                 continue
-            if arm and now <= arm[1]:
-                if e.event == "Removed":
+            if arm and us != NEVER and us // 1000 <= arm[1]:
+                if event == "Removed":
                     continue
-                if e.content_hash == arm[0]:
-                    arm = None
+                if content_hash == arm[0]:
+                    del arms[ck, path]
                     continue
-            out.append((key[0], key[1], e.id, e.ts, e.event, e.content_hash))
-        if arm:
-            self.arm.update(tuple(arm))
-            self.handle.registerTimer(arm[1] + 1)
-        else:
-            self.arm.clear()
-        yield pd.DataFrame(out, columns=["ck", "path", "id", "ts", "event", "content_hash"])
+            out.append((ck, path, id_, us, event, content_hash))
+        if arms != before:
+            self._store(due, arms)
+        yield pd.DataFrame(out, columns=ECHO_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.arm.exists() and self.arm.get()[1] < expiredTimerInfo.getExpiryTimeInMs():
-            self.arm.clear()
-        yield pd.DataFrame([], columns=["ck", "path", "id", "ts", "event", "content_hash"])
+        due, arms = self._load()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if due is not None and due <= now:
+            self._store(None, {k: a for k, a in arms.items() if a[1] >= now})
+        yield pd.DataFrame([], columns=ECHO_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def suppress_echo_stream(events: DataFrame, debounce_ms: int = 200, late: str = "10 seconds") -> DataFrame:
+def suppress_echo_stream(events: DataFrame, debounce_ms: int = 200, late: str = "10 seconds", buckets: int = BUCKETS) -> DataFrame:
     """E4 on a stream of events and writes (event `Applied`, which come first of what is at one time): (ck, path, id, ts, event, content_hash). A
-    write that no event follows is forgotten when the watermark, `late` behind the newest event, has passed its time."""
-    kind = "ck string, path string, id long, ts timestamp, event string, content_hash string"
-    rows = events.select("ck", "path", "id", "ts", "event", "content_hash").withWatermark("ts", late).groupBy("ck", "path")
-    return rows.transformWithStateInPandas(Echoes(debounce_ms), kind, "Append", "EventTime")
+    write that no event follows is forgotten when the watermark, `late` behind the newest event, has passed its time. Paths share `buckets` keys of state."""
+    rows = events.select("ck", "path", "id", "ts", "event", "content_hash").withWatermark("ts", late)
+    rows = rows.withColumns({"us": F.coalesce(F.unix_micros("ts"), F.lit(NEVER)), "bucket": _bucket(buckets, "ck", "path")}).groupBy("bucket")
+    told = rows.transformWithStateInPandas(Echoes(debounce_ms), "ck string, path string, id long, us long, event string, content_hash string", "Append", "EventTime")
+    return told.select("ck", "path", "id", F.when(F.col("us") != NEVER, F.timestamp_micros("us")).alias("ts"), "event", "content_hash")
 
 
 def pair_renames_stream(events: DataFrame, window: str = "1 second", late: str = "10 seconds") -> DataFrame:
