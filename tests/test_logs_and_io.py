@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treespark.operators import cas as C
+from treespark.operators import events as E
 from treespark.operators import status as M
 from treespark.operators import transfer as T
 from treespark.operators.diff import diff_trees
@@ -97,6 +98,17 @@ def test_echoes_of_paths_that_share_keys_of_state(spark, tmp_path):
     assert sorted((r.id, r.path, r.ts, r.event, r.content_hash) for r in got.collect()) == want and len(want) < 900
 
 
+def test_asks_that_share_keys_of_state(spark, tmp_path):
+    rows = [(i, "", f"/p{i % 30}", str(i % 2), "done" if i * 5 % 7 < 3 else "ask") for i in range(900)]
+    df = spark.createDataFrame(rows, "seq long, ck string, path string, want_hash string, op string")
+    for i in range(3):
+        df.where(f"seq div 300 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKS)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = jobs.run_available(jobs.dedupe_asks_stream(stream, buckets=4), "shared_asks")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in E.dedupe_asks(df).select(df.columns).collect()}
+
+
 def test_scan_write_and_verify_a_tree(spark, tmp_path):
     src, out = tmp_path / "src", tmp_path / "out"
     (src / "d/empty").mkdir(parents=True)

@@ -3,7 +3,7 @@
 Watermarks bound all state but that of E6, E7 and fresh_gauges_stream: joins and windows drop what they have passed, stateful operators set event-time timers.
 E6's state is the index itself, one row a path, with the last SEEN seqs of each; E7's are the open asks. fresh_gauges_stream keeps one number a session,
 and forgets it by processing time only where keep_ms is given (with availableNow such a stream never ends); gauge_states_stream forgets by event time.
-Where keys are many and small (E4), a bucket of them is one key of state, so that what a call costs isn't paid for each.
+Where keys are many and small (E4, E7), a bucket of them is one key of state, so that what a call costs isn't paid for each.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ BUCKETS = 1024
 #: The time of rows without one.
 NEVER = -(1 << 63)
 ECHO_COLUMNS = ["ck", "path", "id", "us", "event", "content_hash"]
+ASK_COLUMNS = ["seq", "ck", "path", "want_hash", "op"]
 
 
 def _bucket(buckets: int, *names: str) -> Column:
@@ -271,30 +272,35 @@ def pair_renames_stream(events: DataFrame, window: str = "1 second", late: str =
 
 
 class OpenAsks(StatefulProcessor):
-    """E7. Per (ck, path, want_hash): only while an ask is open, a mark."""
+    """E7. Per bucket of (ck, path, want_hash): those whose ask is open."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "seq bigint")
+        self.open = handle.getValueState("open", "cks array<string>, paths array<string>, wants array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        is_open, out = self.open.exists(), []
-        for a in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if a.op == "ask" and not is_open:
-                out.append((a.seq, *key, a.op))
-                self.open.update((a.seq,))
-            is_open = a.op == "ask"
-        if not is_open:
+        before = set(zip(*(self.open.get() or ([], [], []))))
+        is_open, out = set(before), []
+        for seq, ck, path, want_hash, op in sorted(_tuples(rows, ASK_COLUMNS), key=lambda a: a[0]):
+            ask = (ck, path, want_hash)
+            if op != "ask":
+                is_open.discard(ask)
+            elif ask not in is_open:
+                out.append((seq, *ask, op))
+                is_open.add(ask)
+        if not is_open and before:
             self.open.clear()
-        yield pd.DataFrame(out, columns=["seq", "ck", "path", "want_hash", "op"])
+        elif is_open != before:
+            self.open.update(tuple(map(list, zip(*is_open))))
+        yield pd.DataFrame(out, columns=ASK_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def dedupe_asks_stream(asks: DataFrame) -> DataFrame:
+def dedupe_asks_stream(asks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """E7 on a stream: asks (seq, ck, path, want_hash, op ask|done) without those made while an equal one is open; rows of a key come in order of seq
-    from batch to batch."""
-    rows = asks.select("seq", "ck", "path", "want_hash", "op").groupBy("ck", "path", "want_hash")
+    from batch to batch. Keys share `buckets` keys of state."""
+    rows = asks.select(*ASK_COLUMNS, _bucket(buckets, "ck", "path", "want_hash")).groupBy("bucket")
     return rows.transformWithStateInPandas(OpenAsks(), "seq long, ck string, path string, want_hash string, op string", "Append", "None")
 
 
