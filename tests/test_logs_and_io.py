@@ -109,6 +109,21 @@ def test_asks_that_share_keys_of_state(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in E.dedupe_asks(df).select(df.columns).collect()}
 
 
+def test_rolling_delta_makes_no_python_group_a_file(spark):
+    rng = random.Random(5)
+    old = {f"/f{i}": bytes(rng.randrange(3) for _ in range(rng.randrange(0, 90))) for i in range(40)}
+    new = {p: b[: len(b) // 3] + b"zz" + b[len(b) // 3 :] for p, b in old.items() if p != "/f7"} | {"/only": b"abc" * 9}
+    table = lambda d: spark.createDataFrame([(p, bytearray(b)) for p, b in d.items()], "path string, body binary")
+    ops = T.rolling_delta(table(new), table(old), 8)
+    assert "FlatMapCoGroups" not in ops._jdf.queryExecution().optimizedPlan().toString()
+    found = {}
+    for r in sorted(ops.collect(), key=lambda r: (r.path, r.op_no)):
+        piece = bytes(r.literal) if r.basis_at is None else old[r.path][r.basis_at : r.basis_at + r.length]
+        assert len(piece) == r.length and (r.basis_at is None or r.basis_at % 8 == 0)
+        found[r.path] = found.get(r.path, b"") + piece
+    assert found == {p: b for p, b in new.items() if b}
+
+
 def test_scan_write_and_verify_a_tree(spark, tmp_path):
     src, out = tmp_path / "src", tmp_path / "out"
     (src / "d/empty").mkdir(parents=True)

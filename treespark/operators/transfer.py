@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import decide
+from ..common import decide, null_safe
 from ..functions.hashing import HashFn, sha256_hex
 from ..schema import FILE, LINK
 
@@ -56,37 +58,44 @@ def _rolling(body: bytes, block: int) -> np.ndarray:
     return (a & 0xFFFF) | (b & 0xFFFF) << 16
 
 
-def rolling_delta(sources: DataFrame, basis: DataFrame, block: int = BLOCK) -> DataFrame:
-    """T3, at any offset. Ops (path, op_no, basis_at, length, literal) that rebuild each source (path, body) from its basis
-    (path, body): copies of basis blocks found by weak sum and byte comparison, literals between. One file a group."""
-
-    def delta(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        ops: list[tuple] = []
-        body = bytes(new["body"].iloc[0]) if len(new) else b""
-        have = bytes(old["body"].iloc[0]) if len(old) else b""
-        blocks: dict[int, list[int]] = {}
-        if len(have) >= block:
-            for i, weak in enumerate(_rolling(have, block)[::block]):
-                blocks.setdefault(int(weak), []).append(i * block)
-        at = literal = 0
-        weak = _rolling(body, block) if len(body) >= block and blocks else np.zeros(0, np.int64)
-        hits = np.nonzero(np.isin(weak, list(blocks)))[0] if blocks else []
-        for hit in hits:
+def _delta(body: bytes, have: bytes, block: int) -> list[tuple]:
+    """Ops (basis_at, length, literal) that rebuild body from have."""
+    ops: list[tuple] = []
+    blocks: dict[int, list[int]] = {}
+    if len(have) >= block and len(body) >= block:
+        for i, weak in enumerate(_rolling(have, block)[::block].tolist()):
+            blocks.setdefault(weak, []).append(i * block)
+    at = literal = 0
+    if blocks:
+        weak = _rolling(body, block)
+        for hit in np.nonzero(np.isin(weak, list(blocks)))[0].tolist():
             if hit < at:
                 continue
-            same = [b for b in blocks[int(weak[hit])] if have[b : b + block] == body[hit : hit + block]]
-            if same:
+            part = body[hit : hit + block]
+            same = next((b for b in blocks[int(weak[hit])] if have[b : b + block] == part), None)
+            if same is not None:
                 if hit > literal:
-                    ops.append((None, int(hit) - literal, body[literal:hit]))
-                ops.append((same[0], block, None))
-                at = literal = int(hit) + block
-        if literal < len(body):
-            ops.append((None, len(body) - literal, body[literal:]))
-        out = pd.DataFrame([(key[0], n, *op) for n, op in enumerate(ops)], columns=["path", "op_no", "basis_at", "length", "literal"])
-        return out.astype({"basis_at": "Int64"})
-
-    pair = [x.select("path", F.col("body").cast("binary").alias("body")).groupBy("path") for x in (sources, basis)]
-    return pair[0].cogroup(pair[1]).applyInPandas(delta, "path string, op_no int, basis_at long, length long, literal binary")
+                    ops.append((None, hit - literal, body[literal:hit]))
+                ops.append((same, block, None))
+                at = literal = hit + block
+    if literal < len(body):
+        ops.append((None, len(body) - literal, body[literal:]))
+    return ops
+
+
+def rolling_delta(sources: DataFrame, basis: DataFrame, block: int = BLOCK) -> DataFrame:
+    """T3, at any offset. Ops (path, op_no, basis_at, length, literal) that rebuild each source (path, body) from its basis
+    (path, body): copies of basis blocks found by weak sum and byte comparison, literals between. A path has one body on each side."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, n, *op) for path, body, have in zip(*[batch[c].tolist() for c in ("path", "body", "have")]) for n, op in enumerate(_delta(body or b"", have or b"", block))]
+            out = pd.DataFrame(rows, columns=["path", "op_no", "basis_at", "length", "literal"])
+            yield out.astype({"basis_at": "Int64"})
+
+    one = lambda df, name: df.groupBy("path").agg(F.any_value(F.col("body").cast("binary")).alias(name))
+    pairs = null_safe(one(sources, "body"), one(basis, "have"), ["path"], "left")
+    return pairs.select("path", "body", "have").mapInPandas(run, "path string, op_no int, basis_at long, length long, literal binary")
 
 
 def apply_delta(ops: DataFrame, basis: DataFrame, block: int = BLOCK) -> DataFrame:
