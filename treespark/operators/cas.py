@@ -33,7 +33,8 @@ def _log(changes: DataFrame, index: DataFrame | None) -> DataFrame:
         log = log.withColumn("start", F.lit(None).cast("string"))
     else:
         own = F.coalesce(F.col("kind"), F.lit(1)) if "kind" in index.columns else F.lit(1)
-        log = log.join(index.select(*ks, F.concat(own.cast("string"), F.col("node")).alias("start")), ks, "left")
+        named = index if "ck" in index.columns or "ck" not in ks else index.withColumn("ck", F.lit(""))
+        log = log.join(named.select(*ks, F.concat(own.cast("string"), F.col("node")).alias("start")), ks, "left")
     log = log if "ck" in ks else log.withColumn("ck", F.lit(""))
     return log.withColumns({c: F.col(c).cast("string") for c in ("ck", "path")})
 
