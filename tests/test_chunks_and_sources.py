@@ -113,3 +113,21 @@ def test_gauges_go_stale_by_event_time(spark, tmp_path):
     stale = lambda p, s, n: [(p, float(s), n, "fresh"), (p, float(s + 15), n, "stale")]
     want = [("p", 0.0, 1, "fresh"), *stale("p", 10, 5), *stale("p", 60, 6), *stale("q", 2, 1), *stale("q", 5001, 2), *stale("r", 61, 1), *stale("r", 300, 2), *stale("r", 5000, 3)]
     assert set(want) <= set(told) and not any(t[0] == "p" and t[2] == 4 for t in told)
+
+
+def test_windows_of_a_batch_pass_in_one_frame():
+    import numpy as np
+    import pandas as pd
+
+    from treespark.operators import chunks
+
+    rng, rows, want = np.random.default_rng(8), [], []
+    for i in range(30):
+        data, bits = rng.integers(0, 4, rng.integers(0, 60), np.uint8).tobytes(), int(rng.choice([256, 1024]))
+        sums = chunks.weak_sums(data, 4)
+        held, own = np.zeros(bits, bool), max(0, len(data) - 5)
+        held[chunks._spot(sums[::3], bits)] = True
+        rows.append((f"/p{i}", 100 * i, data, own, bits, np.packbits(held).tobytes()))
+        want += [(f"/p{i}", 100 * i, int(w), at) for at, w in enumerate(sums[:own]) if held[chunks._spot(w, bits)]]
+    got = chunks.passing(pd.DataFrame(rows, columns=["path", "at", "data", "own", "bits", "bitmap"]), 4)
+    assert list(got.itertuples(index=False, name=None)) == want and len(want) > 200

@@ -49,9 +49,8 @@ def signatures(chunks: DataFrame, block: int) -> DataFrame:
         for batch in batches:
             rows = []
             for path, at, data in zip(batch["path"].tolist(), batch["at"].tolist(), batch["data"].tolist()):
-                for i in range(0, len(data) - block + 1, block):
-                    part = data[i : i + block]
-                    rows.append((path, int(weak_sums(part, block)[0]), hashlib.sha256(part).digest(), at + i))
+                for i, weak in enumerate(weak_sums(data, block)[::block].tolist()):
+                    rows.append((path, weak, hashlib.sha256(data[i * block : (i + 1) * block]).digest(), at + i * block))
             yield pd.DataFrame(rows, columns=["path", "weak", "strong", "basis_at"])
 
     found = chunks.select("path", "at", "data").mapInPandas(sign, "path string, weak long, strong binary, basis_at long")
@@ -68,11 +67,13 @@ def _bitmaps(sums: DataFrame) -> DataFrame:
         now, held = None, None
         for batch in batches:
             done = []
-            for (path, bits), own in batch.groupby(["path", "bits"], sort=False):
-                if path != now:
+            paths, sizes, sums = batch["path"].tolist(), batch["bits"].tolist(), batch["weak"].to_numpy()
+            starts = [i for i in range(len(paths)) if i == 0 or paths[i] != paths[i - 1]]
+            for i, end in zip(starts, [*starts[1:], len(paths)]):
+                if paths[i] != now:
                     done += [] if now is None else [(now, len(held), np.packbits(held).tobytes())]
-                    now, held = path, np.zeros(bits, bool)
-                held[_spot(own["weak"].to_numpy(), bits)] = True
+                    now, held = paths[i], np.zeros(sizes[i], bool)
+                held[_spot(sums[i:end], sizes[i])] = True
             yield pd.DataFrame(done, columns=["path", "bits", "bitmap"])
         yield pd.DataFrame([] if now is None else [(now, len(held), np.packbits(held).tobytes())], columns=["path", "bits", "bitmap"])
 
@@ -83,6 +84,17 @@ def _spot(weak: np.ndarray, bits: int) -> np.ndarray:
     return (weak * 2654435761 >> 7) % bits
 
 
+def passing(batch: pd.DataFrame, block: int) -> pd.DataFrame:
+    """(path, at, weak, offset) of the offsets of all the windows of a batch that their path's bitmap lets through."""
+    found = []
+    for path, at, data, own, bits, bitmap in zip(*[batch[c].tolist() for c in ("path", "at", "data", "own", "bits", "bitmap")]):
+        weak = weak_sums(data, block)[:own]  # windows that begin in the chunk itself
+        spot = _spot(weak, bits)
+        good = np.nonzero(np.frombuffer(bitmap, np.uint8)[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1)[0]
+        found += [(path, at, *x) for x in zip(weak[good].tolist(), good.tolist())]
+    return pd.DataFrame(found, columns=["path", "at", "weak", "offset"])
+
+
 def _windows(chunks: DataFrame, block: int) -> DataFrame:
     """chunks whose data goes on for the block - 1 bytes after them."""
     ahead = chunks.select("path", F.col("at").alias("_end"), F.substring("data", F.lit(1), F.lit(block - 1)).alias("_more"))
@@ -95,13 +107,6 @@ def chunk_delta(new: DataFrame, old: DataFrame, block: int) -> DataFrame:
     sums = written(signatures(old, block), "signatures")
     windows = written(_windows(new, block), "windows")
 
-    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, at, data, own, bits, bitmap in zip(*[batch[c].tolist() for c in ("path", "at", "data", "own", "bits", "bitmap")]):
-                weak = weak_sums(data, block)[:own]  # windows that begin in the chunk itself
-                good = np.nonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8))[_spot(weak, bits)])[0]
-                yield pd.DataFrame({"path": path, "at": at, "weak": weak[good], "offset": good.astype(np.int64)})
-
     def strong(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -109,7 +114,7 @@ def chunk_delta(new: DataFrame, old: DataFrame, block: int) -> DataFrame:
                 rows += [(path, at + int(i), hashlib.sha256(data[i : i + block]).digest()) for i in offsets]
             yield pd.DataFrame(rows, columns=["path", "offset", "strong"])
 
-    weak = windows.join(_bitmaps(sums), "path").mapInPandas(passing, "path string, at long, weak long, offset long")
+    weak = windows.join(_bitmaps(sums), "path").mapInPandas(lambda batches: (passing(batch, block) for batch in batches), "path string, at long, weak long, offset long")
     asks = weak.join(sums.select("path", "weak").distinct(), ["path", "weak"], "left_semi").groupBy("path", "at").agg(F.collect_list("offset").alias("offsets"))
     hashed = windows.join(asks, ["path", "at"]).mapInPandas(strong, "path string, offset long, strong binary")
     first = sums.groupBy("path", "strong").agg(F.min("basis_at").alias("basis_at"))
