@@ -144,3 +144,12 @@ def test_tiles_join_what_all_pairs_join():
             return len(set(root))
 
         assert parts([p for p, linked in alike.items() if linked]) == parts([(at[a], at[b]) for a, b in got]) == len(sets) - len(got)
+
+
+def test_sets_that_hang_on_a_large_group_lie_in_its_blocks(spark):
+    keys = {1: list(range(600))} | {100 + k: [k, *range(1000 + 20 * k, 1020 + 20 * k)] for k in range(30)} | {7: list(range(9000, 9020)), 8: [5, 9999]}
+    rows = [(s, 10, key, len(sets)) for key, sets in keys.items() for s in sets]
+    homes = {r["set"]: r["block"] for r in shingles._homes(spark.createDataFrame(rows, "set long, size long, key long, n long")).collect()}
+    assert set(homes) == {*range(600), *range(1000, 1600), *range(9000, 9020)}
+    own = {homes[s] for s in range(9000, 9020)}
+    assert len(own) == 1 and {b for s, b in homes.items() if s < 9000}.isdisjoint(own) and len(set(homes.values())) == 4  # of 1,200 and of 20 sets

@@ -158,10 +158,15 @@ def forest(names: np.ndarray, sets: list[np.ndarray], sides: np.ndarray) -> list
 
 
 def _homes(live: DataFrame) -> DataFrame:
-    """(set, block) of the sets that share a key with many."""
-    homes = live.where(F.col("n") > FEW).groupBy("set").agg(F.max(F.struct("n", "key")).alias("home"))
-    chunk = F.pmod(F.xxhash64("set"), F.ceil(F.col("home.n") / BLOCK))
-    return written(homes.select("set", F.xxhash64("home.key", chunk).alias("block")), "homes")
+    """(set, block) of the sets that share a key with many. Sets take the largest home that some set they share a key with has, so what hangs
+    on a large group lies in its blocks, and no large block is sent to many small ones."""
+    shared = F.max(F.when(F.col("n") > FEW, F.struct("n", "key"))).over(Window.partitionBy("set"))
+    first = written(live.withColumn("home", shared).where("home is not null").select("set", "key", "home"), "first_homes")
+    near = first.groupBy("key").agg(F.max("home").alias("home"))
+    homes = written(first.select("set", "key").join(near, "key").groupBy("set").agg(F.max("home").alias("home")), "near_homes")
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("set"), F.col("chunks"))
+    return written(homes.join(sizes, "home").select("set", F.xxhash64("home.key", chunk).alias("block")), "homes")
 
 
 def _tiled(live: DataFrame, homes: DataFrame, full: DataFrame) -> DataFrame:
