@@ -131,3 +131,18 @@ def test_windows_of_a_batch_pass_in_one_frame():
         want += [(f"/p{i}", 100 * i, int(w), at) for at, w in enumerate(sums[:own]) if held[chunks._spot(w, bits)]]
     got = chunks.passing(pd.DataFrame(rows, columns=["path", "at", "data", "own", "bits", "bitmap"]), 4)
     assert list(got.itertuples(index=False, name=None)) == want and len(want) > 200
+
+
+def test_a_commit_makes_each_directory_once(tmp_path, monkeypatch):
+    import os
+
+    from treespark.schema import FILE
+    from treespark.sources import posix
+
+    writer, made, real = posix.TreeWriter(str(tmp_path)), [], os.makedirs
+    rows = [{"path": f"/a/d{i % 3}/f{i}", "kind": FILE, "mtime_ns": 10**18, "mode": 0o644, "body": b"x%d" % i, "content_hash": posix.hashlib.sha256(b"x%d" % i).hexdigest()} for i in range(60)]
+    staged = [writer.write(iter(rows[i::2])) for i in range(2)]
+    monkeypatch.setattr(posix.os, "makedirs", lambda at, **more: made.append(at) or real(at, **more))
+    writer.commit(staged)
+    assert {r["path"]: r["body"] for r in rows} == {"/" + str(f.relative_to(tmp_path)): f.read_bytes() for f in tmp_path.glob("a/*/*")}
+    assert len([m for m in made if "/a/d" in m]) <= 6  # with what makedirs calls itself

@@ -6,6 +6,7 @@ Every executor has to mount the tree at the same place.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import shutil
 import stat
@@ -25,6 +26,8 @@ SCANNED = "path string, kind int, size bigint, mtime_ns bigint, mode bigint, con
 WRITTEN = "path string, kind int, mtime_ns bigint, mode bigint, content_hash string, body binary"
 #: Where tasks of a write put their files until it commits, below the reserved first component.
 STAGE = RESERVED[1]
+#: That move what a write has put aside into place.
+THREADS = 16
 
 
 def hash_file(path: str) -> str:
@@ -178,23 +181,21 @@ class TreeWriter(DataSourceWriter):
         """Moves what finished attempts have put aside into place: shallow entries first, so directories are there before what they hold."""
         files = sorted(((at, path) for m in messages if m for at, path in m.files), key=lambda f: f[1].count("/"))
 
-        def put(f: tuple[str, str]) -> None:
-            there = self.root + f[1]
-            os.makedirs(os.path.dirname(there), exist_ok=True)
-            if os.path.isdir(f[0]) and not os.path.islink(f[0]):
-                s = os.stat(f[0])
-                os.makedirs(there, exist_ok=True)
-                os.chmod(there, stat.S_IMODE(s.st_mode))
-            else:
-                os.replace(f[0], there)
-
-        with ThreadPoolExecutor(16) as pool:
-            depth, group = None, []
-            for f in [*files, None]:
-                if f is None or f[1].count("/") != depth:
-                    list(pool.map(put, group))
-                    depth, group = None if f is None else f[1].count("/"), []
-                group.append(f)
+        def put(some: list[tuple[str, str]]) -> None:
+            for at, path in some:
+                there = self.root + path
+                if stat.S_ISDIR(mode := os.lstat(at).st_mode):
+                    os.makedirs(there, exist_ok=True)
+                    os.chmod(there, stat.S_IMODE(mode))
+                else:
+                    os.replace(at, there)
+
+        with ThreadPoolExecutor(THREADS) as pool:
+            for _, level in itertools.groupby(files, key=lambda f: f[1].count("/")):
+                group = list(level)
+                for parent in {path.rpartition("/")[0] for _, path in group}:
+                    os.makedirs(self.root + parent, exist_ok=True)
+                list(pool.map(put, [group[i::THREADS] for i in range(THREADS)]))
         self._clear()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
