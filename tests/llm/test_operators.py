@@ -211,6 +211,44 @@ def test_lm_scoring(docs, spark, none):
     assert lm_scoring.score_documents(none, target).count() == 0
 
 
+@pytest.mark.parametrize("size", [None, 2000])
+def test_lm_scoring_by_words_equals_counts_of_words_and_bigrams(docs, spark, none, monkeypatch, size):
+    if size:  # many chunks and buckets
+        monkeypatch.setattr(lm_scoring, "CHUNK", size)
+        monkeypatch.setattr(lm_scoring, "BUCKET", size)
+    rng, rows = np.random.default_rng(8), [(1, "a b a b c", 1.5), (1, "a b a b c", 2.5), (2, None, 0.0), (3, " \t", 0.0), (None, "a c", 0.0)]
+    rows += [(10 + k, " ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 4000), 0.0) for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lm_tokens double")
+    named = {1, 10, 11, 12, 13}
+    got = lm_scoring.score_by_words(table.repartition(3), spark.createDataFrame([(x,) for x in [*named, 999, None]], "doc_id long"))
+    assert got.columns == ["doc_id", "text", "lm_tokens", "target_loss", "background_loss", "loss_difference"]
+    words = [(t or "").split() for _, t, _ in rows]
+    counts = [Counter(), Counter()]
+    grams = [Counter([(w,) for w in ws] + list(zip([None, *ws], ws)) + [(None,)] * bool(ws)) for ws in words]
+    kinds = [int(i in named) for i, _, _ in rows]
+    for kind, own in zip(kinds, grams):
+        counts[kind] += own
+    mass = [sum(n for g, n in c.items() if len(g) == 1 and g[0]) for c in counts]
+    n_words = len({w for ws in words for w in ws})
+    want = []
+    for (doc_id, text, _), ws, kind, own in zip(rows, words, kinds, grams):
+        loss = [0.0, 0.0]
+        for k, scale in ((0, mass[1] / mass[0]), (1, 1.0)):
+            c = lambda g: scale * (counts[k][g] - (own[g] if k == kind else 0))  # noqa: B023, E731
+            total = scale * (mass[k] - (len(ws) if k == kind else 0))
+            for v, w in zip([None, *ws], ws):
+                alone = (c((w,)) + lm_scoring.FLOOR) / (total + lm_scoring.FLOOR * n_words)
+                loss[k] -= np.log((c((v, w)) + lm_scoring.PRIOR * alone) / (c((v,)) + lm_scoring.PRIOR))
+        want.append((doc_id, text, len(ws), *([round((x / len(ws)), 8) for x in (loss[1], loss[0], loss[1] - loss[0])] if ws else [None] * 3)))
+    key = lambda r: str(r)
+    found = [(*r[:3], *[x if x is None else round(x, 8) for x in r[3:]]) for r in got.collect()]
+    for a, b in zip(sorted(found, key=key), sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and np.allclose([x or 0 for x in a[3:]], [x or 0 for x in b[3:]], atol=1e-7) and (a[3] is None) == (b[3] is None)
+    assert lm_scoring.score_by_words(none, table).count() == 0
+    for all_or_none in (table, table.limit(0)):
+        assert {r.loss_difference for r in lm_scoring.score_by_words(table.where("doc_id is not null"), all_or_none).collect()} <= {0.0, None}
+
+
 def test_chat_events(spark):
     events = [("c", 1, "message", 1, "user", "hi"), ("c", 2, "message", 2, "assistant", ""), ("c", 3, "delta", 2, None, "wro"), ("c", 5, "delta", 2, None, "right </s> <|im_end|> \\ \\<|"), ("c", 4, "regenerate", 2, None, None), ("c", 6, "edit", 1, None, "hello"), ("c", 6, "edit", 1, None, "hello"), (None, 1, "delta", 1, "assistant", "x")]
     df = spark.createDataFrame(events, "conv_id string, seq long, kind string, message long, role string, text string")

@@ -30,7 +30,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    scored = lm_scoring.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+    scored = lm_scoring.score_by_words(_table(spark, sf_dir, "documents").select("doc_id", "text"), good)
     return scored.select("doc_id", "lm_tokens", "target_loss", "background_loss", "loss_difference")
 
 
