@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8 or more), and of
+    """Keeps the row with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8 or more; candidates by SimHash within 2 bits, and by bands of min-hashes beyond), and of
     repeated rows of that id one; rows without an id stay."""
     docs = docs.select(*COLUMNS)
     rows = written(shingles.near_groups(docs).where("doc_id is not null"), "groups")

@@ -115,6 +115,31 @@ def test_dedup_drops_near_copies_by_five_word_similarity(spark, monkeypatch, few
     assert kept == [i for i, g in enumerate(group) if i == g] and 12 < len(kept) < 96
 
 
+def test_simhash_alone_links_similar_texts_within_two_bits(spark):
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    from treespark.llm.simhash import simhash
+
+    rng, rows = np.random.default_rng(5), []
+    for _ in range(10):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        for changed in (0, 1, 1, 2, 40):
+            own = list(words)
+            for at in rng.choice(400, changed, replace=False):
+                own[at] = f"x{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = written(shingles._banded(docs).withColumn("bands", F.array().cast("array<bigint>")), "unbanded")
+    at = {r["set"]: r.doc_id for r in own.collect()}
+    got = {tuple(sorted((at[r.a], at[r.b]))) for r in shingles.set_links(own, docs).collect()}
+    sets, prints = five_word_sets(t for _, t in rows), [simhash(t) for _, t in rows]
+    alike = {(i, j) for i, j in combinations(range(len(rows)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    near = {(i, j) for i, j in alike if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= 2}
+    assert near and near <= got <= alike
+
+
 def test_dedup_keeps_one_row_of_each_group_where_an_id_has_two_texts(spark):
     texts = [(1, "one two three four five"), (7, "one two three four five"), (7, "six seven eight nine ten"), (8, "six seven eight nine ten"), (9, "a b c d e"), (9, "f g h i j")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")

@@ -1,7 +1,8 @@
-"""Near-duplicates by similarity of five-word shingles.
+"""Near-duplicates by SimHash and similarity of five-word shingles.
 
 Method: a text is its set of word shingles (64-bit hashes); two sets link if their Jaccard similarity is 0.8 at
-least, which is verified over the whole sets. Candidates share a band: each set has BANDS keys, each a hash of ROWS
+least, which is verified over the whole sets. First candidates come from SimHash (simhash.py): texts whose fingerprints lie within 2 bits, found by multi-index
+hashing, and what hangs together by such links share a key. A similarity of 0.8 reaches well beyond 2 bits, so further candidates share a band: each set has BANDS keys, each a hash of ROWS
 of its min-hashes. A pair with similarity 0.8 shares a band but for one chance in some ten thousands, a more similar one almost surely.
 
 Only distinct sets are searched. Sets that have a key with many others are dealt to blocks (of about
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, release_memory, small_side, text_or_empty, written
 from .lm_scoring import BASE, INVERSE, SPACES, _powers
-from .simhash import components
+from .simhash import components, links, simhash
 
 WIDTH = 5
 #: Similarity of 4/5: |A n B| * 9 >= (|A| + |B|) * 4.
@@ -90,8 +91,9 @@ def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """doc_id and text_id of docs, with set (the hash of the set), its size and its bands."""
-    kind = T.StructType([T.StructField("set", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """doc_id and text_id of docs, with set (the hash of the set), its size and its bands, and fp, the text's SimHash."""
+    fields = {"set": T.LongType(), "size": T.LongType(), "bands": T.ArrayType(T.LongType()), "fp": T.LongType()}
+    kind = T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
     @F.pandas_udf(kind)
     def judged(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -99,8 +101,8 @@ def _banded(docs: DataFrame) -> DataFrame:
             rows = []
             for text in batch:
                 own = shingles(text)
-                rows.append((xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63), len(own), bands(own) if len(own) else own))
-            yield pd.DataFrame(rows, columns=["set", "size", "bands"])
+                rows.append((xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63), len(own), bands(own) if len(own) else own, simhash(text)))
+            yield pd.DataFrame(rows, columns=list(fields))
         release_memory()
 
     return docs.select("doc_id", text_id(), judged(text_or_empty()).alias("_j")).select("doc_id", "text_id", "_j.*")
@@ -188,10 +190,18 @@ def _tiled(live: DataFrame, homes: DataFrame, full: DataFrame) -> DataFrame:
     return left.unionByName(right).groupBy("b1", "b2").applyInPandas(tile, "a long, b long")
 
 
+def _simhashed(own: DataFrame) -> DataFrame:
+    """(set, size, key): sets that fingerprints within 2 bits join, directly or by others, share a key."""
+    marks = written(own.where("size > 0").groupBy("set", "fp").agg(F.any_value("size").alias("size")), "marks")
+    roots = written(components(links(marks.select("fp").distinct())).withColumnRenamed("node", "fp"), "fp_roots")
+    named = marks.join(small_side(roots, MAX_BROADCAST_ROWS), "fp", "left")
+    return named.select("set", "size", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key")).distinct()
+
+
 def set_links(own: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets, at 0.8 or more, whose components are those of all such pairs. own: a table with _banded()'s columns."""
     nodes = own.where("size > 0").groupBy("set").agg(F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
-    rows = nodes.select("set", "size", F.explode("bands").alias("key"))
+    rows = nodes.select("set", "size", F.explode("bands").alias("key")).unionByName(_simhashed(own))
     met = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     live = written(met, "live")
     full = _full(live, own, docs)
@@ -211,4 +221,4 @@ def near_groups(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     own = written(_banded(docs), "banded")
     roots = written(components(set_links(own, docs)).withColumnRenamed("node", "set"), "roots")
-    return own.drop("size", "bands").join(small_side(roots, MAX_BROADCAST_ROWS), "set", "left").select("doc_id", "text_id", F.coalesce("root", "set").alias("group"))
+    return own.drop("size", "bands", "fp").join(small_side(roots, MAX_BROADCAST_ROWS), "set", "left").select("doc_id", "text_id", F.coalesce("root", "set").alias("group"))
