@@ -206,9 +206,19 @@ def fold(log: DataFrame, part_rows: int | None = None) -> DataFrame:
     """(ck, path, seq, verdict, current, before_kind, after): the columns of STEP folded path by path, in order of seq. start is the state the index
     has (a kind's digit and the node); dropped and made are the last seqs below its own at which the path fell with a directory above it,
     or was made as one for something below it (or null). current is the node before the change."""
+    table, prev = steps_in_parts(log, part_rows)
+    return fold_parts(table, prev)
+
+
+def steps_in_parts(log: DataFrame, part_rows: int | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """The steps as a table in parts, and which parts continue a key: what fold_parts takes. The order doesn't hang on dropped and made."""
     filled = {"kind": F.coalesce("kind", F.lit(0)), "dropped": F.coalesce("dropped", F.lit(NEVER)), "made": F.coalesce("made", F.lit(NEVER))}
     table = in_parts(log.withColumns(filled).select(*FIELDS), ["ck", "path"], ["seq", "op", "basis", "new_node"], part_rows)
-    prev = continued(table, ["ck", "path"])
+    return table, continued(table, ["ck", "path"])
+
+
+def fold_parts(table: DataFrame, prev: dict[int, int]) -> DataFrame:
+    """fold, of a table made by steps_in_parts (or with other dropped and made, not null)."""
     known = _starts(table, prev)
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
