@@ -1,6 +1,8 @@
 """Chunked deltas, wide directories, the tree source and sink, and echoes and gauges by event time."""
 
+import bz2
 import datetime as dt
+import gzip
 import hashlib
 import os
 import random
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from treespark.operators import chunks as CH
 from treespark.operators import diff as D
 from treespark.operators import tree
-from treespark.sources import posix
+from treespark.sources import files, posix
 from treespark.streaming import jobs
 
 META = "path string, kind int, size bigint, mtime_ns bigint, mode bigint, content_hash string"
@@ -137,7 +139,7 @@ def test_a_commit_makes_each_directory_once(tmp_path, monkeypatch):
     import os
 
     from treespark.schema import FILE
-    from treespark.sources import posix
+    from treespark.sources import files, posix
 
     writer, made, real = posix.TreeWriter(str(tmp_path)), [], os.makedirs
     rows = [{"path": f"/a/d{i % 3}/f{i}", "kind": FILE, "mtime_ns": 10**18, "mode": 0o644, "body": b"x%d" % i, "content_hash": posix.hashlib.sha256(b"x%d" % i).hexdigest()} for i in range(60)]
@@ -146,3 +148,27 @@ def test_a_commit_makes_each_directory_once(tmp_path, monkeypatch):
     writer.commit(staged)
     assert {r["path"]: r["body"] for r in rows} == {"/" + str(f.relative_to(tmp_path)): f.read_bytes() for f in tmp_path.glob("a/*/*")}
     assert len([m for m in made if "/a/d" in m]) <= 6  # with what makedirs calls itself
+
+
+def test_large_objects_are_hashed_in_segments(spark, tmp_path, monkeypatch):
+    for name, value in {"WHOLE": 1000, "SEGMENT": 3000, "PIECE": 70}.items():
+        monkeypatch.setattr(files, name, value, raising=False)
+    some = random.Random(5).randbytes
+    mark, lines = b"\xef\xbb\xbf", b"a line\r\n" * 900
+    bodies = {
+        "/short": some(1000), "/at": some(1001), "/long": some(20_000), "/d/e/deep": some(9000), "/a b%20c+\u00e4.x": some(4000), "/ended": lines, "/not ended": lines + b"z", "/cr": b"\r" * 5000,
+        "/marked": mark + some(5000) + b"\n", "/marked, not ended": mark + lines + b"z", "/mark only": mark * 2000, "/feeds": b"\n" * 4000, "/one line": b"z" * 7000, "/segment": some(2999) + b"\n", "/segments": (some(2999) + b"\n") * 2,
+        "/d/x.gz": gzip.compress(some(8000)), "/not.gz": some(4000), "/lines.bz2": lines, "/x.bz2": bz2.compress(some(8000)), "/x.zst": some(3000), "/x.snappy": some(3000), "/x.lz4": some(3000), "/x.deflate": some(3000), "/x.passthrough": some(3000), "/\x01.gz": some(3000),
+    }
+    for path, body in bodies.items():
+        (tmp_path / path[1:]).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path[1:]).write_bytes(body)
+    limits = {"spark.sql.files.maxPartitionBytes": "1100", "spark.sql.sources.binaryFile.maxLength": "1000"}  # no larger body fits a row
+    try:
+        for key, value in limits.items():
+            spark.conf.set(key, value)
+        got = {r.path: (r.size, r.content_hash) for r in files.scan_objects(spark, str(tmp_path)).collect()}
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    assert got == {p: (len(b), hashlib.sha256(b).hexdigest()) for p, b in bodies.items()}

@@ -28,10 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and its lineage ends there."""
+def written(df: DataFrame, name: str = "table", by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a Parquet table in the shared folder, in a folder for each value of by: computed once, and its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/treespark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,3 +44,36 @@ def list_hash(entries: Column, hash_fn: HashFn = sha256_hex) -> Column:
     """Hash of a list of (name, entry) structs, ordered by name as bytes; an empty or null list hashes nothing."""
     joined = F.array_join(F.transform(F.sort_array(entries), lambda x: x["entry"]), "")
     return hash_fn(F.unhex(F.coalesce(joined, F.lit(""))))
+
+
+@cache
+def _openssl() -> ctypes.CDLL:
+    """The library behind hashlib. A bare Python without it raises ImportError."""
+    import _hashlib
+
+    lib = ctypes.CDLL(_hashlib.__file__)
+    lib.SHA256_Init.argtypes = (ctypes.c_void_p,)
+    lib.SHA256_Update.argtypes = (ctypes.c_void_p, ctypes.c_void_p, ctypes.c_size_t)
+    lib.SHA256_Final.argtypes = (ctypes.c_void_p, ctypes.c_void_p)
+    return lib
+
+
+class Sha256:
+    """SHA-256 whose state another task can go on from, which hashlib doesn't give: OpenSSL's SHA256_CTX as bytes, alike on
+    machines of one byte order."""
+
+    def __init__(self, state: bytes | None = None):
+        self._state = ctypes.create_string_buffer(state or bytes(112), 112)
+        if state is None:
+            _openssl().SHA256_Init(self._state)
+
+    def update(self, address: int, size: int) -> None:
+        _openssl().SHA256_Update(self._state, address, size)
+
+    def state(self) -> bytes:
+        return self._state.raw
+
+    def hexdigest(self) -> str:
+        out = ctypes.create_string_buffer(32)
+        _openssl().SHA256_Final(out, ctypes.create_string_buffer(self.state(), 112))
+        return out.raw.hex()
