@@ -30,9 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str = "table", by: tuple[str, ...] = ()) -> DataFrame:
     """df as a Parquet table in the shared folder, in a folder for each value of by: computed once, and its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/treespark/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, name, by)
+
+
+class Scratch:
+    """Written tables that are steps on the way only: dropped as soon as no later step reads them, and packed tightly if asked for.
+    Within `with`, Spark also deletes the shuffle files of each write or action at its end, not when the driver next collects garbage."""
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, codec: str | None = None):
+        self.spark, self.codec, self.paths = spark, codec, {}
+
+    def __enter__(self) -> Scratch:
+        self.before = self.spark.conf.get(self.CLEANUP, None)
+        self.spark.conf.set(self.CLEANUP, "true")
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.conf.set(self.CLEANUP, self.before) if self.before is not None else self.spark.conf.unset(self.CLEANUP)
+
+    def written(self, df: DataFrame, name: str = "table", by: tuple[str, ...] = ()) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/treespark/{name}-{uuid.uuid4().hex}"
+        writer = df.write.partitionBy(*by)
+        (writer.option("compression", self.codec) if self.codec else writer).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = table, path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables written here; what is still to be computed must not read them."""
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:

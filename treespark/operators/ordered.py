@@ -9,6 +9,7 @@ from its own right start.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -16,31 +17,63 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import written
+from ..common import Scratch
 
 #: Rows of a part, about.
 PART_ROWS = 200_000
 
 
-def in_parts(df: DataFrame, keys: list[str], order: list[str], part_rows: int | None = None) -> DataFrame:
+def in_parts(df: DataFrame, keys: list[str], order: list[str], part_rows: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """df as a table sorted by keys and order, with _part (ascending along the order) and _pos (within the part)."""
-    df = written(df, "log")
-    parts = max(1, -(-df.count() // (part_rows or PART_ROWS)))
+    scratch = scratch or Scratch(df.sparkSession)
+    log = scratch.written(df, "log")
+    parts = max(1, -(-log.count() // (part_rows or PART_ROWS)))
     row = F.monotonically_increasing_id()  # of a sorted partition: its number, and the place in it
-    sorted_rows = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_row", row)
-    return written(sorted_rows.withColumns({"_part": F.shiftright("_row", 33).cast("int"), "_pos": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_row"), "parts")
+    sorted_rows = log.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_row", row)
+    table = scratch.written(sorted_rows.withColumns({"_part": F.shiftright("_row", 33).cast("int"), "_pos": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_row"), "parts")
+    scratch.drop(log)
+    return table
+
+
+def edges(table: DataFrame, keys: list[str]) -> list:
+    """(_part, first, last, since, seq) for each part in order: its first and last key, and the seqs there."""
+    first, last = F.min_by(F.struct(*keys), "_pos").alias("first"), F.max_by(F.struct(*keys), "_pos").alias("last")
+    rows = table.groupBy("_part").agg(first, last, F.min_by("seq", "_pos").alias("since"), F.max_by("seq", "_pos").alias("seq"))
+    return sorted(rows.collect(), key=lambda r: r["_part"])  # a row a part
 
 
 def continued(table: DataFrame, keys: list[str]) -> dict[int, int]:
     """The parts that begin with the key that the part before ends with, and the last seq there."""
-    ends = table.groupBy("_part").agg(F.min_by(F.struct(*keys), "_pos").alias("first"), F.max_by(F.struct(*keys), "_pos").alias("last"), F.max_by("seq", "_pos").alias("seq"))
-    rows = sorted(ends.collect(), key=lambda r: r["_part"])  # a row a part
+    return spanned(edges(table, keys))
+
+
+def spanned(rows: list) -> dict[int, int]:
+    """continued, of the table's edges."""
     return {b["_part"]: a["seq"] for a, b in zip(rows, rows[1:]) if a["last"] == b["first"]}
 
 
-def by_part(table: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], kind: str) -> DataFrame:
+def placed(df: DataFrame, rows: list, keys: list[str]) -> DataFrame:
+    """df (keys, seq, ...) with the _part of a table, by its edges, that each row stands in: that of the row before it, or if this has another key, of the row after it."""
+    whole = lambda *key: tuple((v is not None, v) for v in key)  # noqa: E731  in Spark's order, nulls first
+    starts = [whole(*r["first"], r["since"]) for r in rows]
+    firsts, lasts, parts = [whole(*r["first"]) for r in rows], [whole(*r["last"]) for r in rows], [r["_part"] for r in rows]
+
+    def place(*key) -> int:
+        own, at = whole(*key[:-1]), bisect.bisect_right(starts, whole(*key)) - 1
+        if at + 1 < len(parts) and firsts[at + 1] == own and (at < 0 or lasts[at] != own):
+            at += 1
+        return parts[max(at, 0)] if parts else 0
+
+    @F.pandas_udf("int")
+    def part(k: pd.DataFrame) -> pd.Series:
+        return pd.Series([place(*row) for row in k.itertuples(index=False, name=None)], dtype="int32")
+
+    return df.withColumn("_part", part(F.struct(*keys, "seq")))
+
+
+def by_part(table: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], kind: str, order: tuple[str, ...] = ("_pos",)) -> DataFrame:
     """run over the rows of the table, whole parts in order in one task each."""
-    return table.repartition("_part").sortWithinPartitions("_part", "_pos").mapInPandas(run, kind)
+    return table.repartition("_part").sortWithinPartitions("_part", *order).mapInPandas(run, kind)
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -53,22 +86,26 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def last_before(asks: DataFrame, events: DataFrame, keys: list[str], name: str, part_rows: int | None = None) -> DataFrame:
-    """asks (keys, seq, ...) with the greatest seq of the same keys' events (keys, seq) below its own, or null. A hot key's rows lie in
-    many parts: the running maximum is taken in each, and what the parts before hold is added."""
-    told = asks.withColumn("_event", F.lit(0)).unionByName(events.select(*keys, "seq", F.lit(1).alias("_event")), allowMissingColumns=True)
-    table = in_parts(told, keys, ["seq", "_event"], part_rows)
-    seen = F.when(F.col("_event") == 1, F.col("seq"))
-    spanning = table.groupBy(*keys, "_part").agg(F.max(seen).alias("_most"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = spanning.withColumn("_carry", F.max("_most").over(earlier)).where("_carry is not null").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), "_carry")
-    carry = F.broadcast(carry)  # one row a part at most: only a part's first key comes from the part before
-    own = Window.partitionBy(*keys, "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table.withColumn("_own", F.max(seen).over(own)).where("_event = 0")
-    same = F.col("_part") == F.col("_p")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    out = rows.join(carry, same, "left").withColumn(name, F.coalesce("_own", "_carry"))
-    return out.select(*asks.columns, name)
+    """asks (keys, seq, ...) with the greatest seq of the same keys' events (keys, seq) below its own, or null."""
+    table = in_parts(asks, keys, ["seq"], part_rows)
+    return last_in_parts(table, edges(table, keys), events, keys, name).select(*asks.columns, name)
+
+
+def last_in_parts(table: DataFrame, rows: list, events: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """last_before of a table in parts by keys and seq, with its edges: the table is not sorted again for other events. A hot key's rows lie in
+    many parts: the running maximum is taken in each, and each part's first key is told the last event in the parts before."""
+    events = placed(events.select(*keys, "seq"), rows, keys)
+    names = [f"_{k}" for k in keys]
+    kinds = ", ".join(f"{n} {table.schema[k].dataType.simpleString()}" for n, k in zip(names, keys))
+    firsts = F.broadcast(table.sparkSession.createDataFrame([(*r["first"], r["_part"]) for r in rows], f"{kinds}, _to int"))  # a row a part
+    same = F.col("_part") < F.col("_to")
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    carried = events.groupBy(*keys, "_part").agg(F.max("seq").alias("seq")).join(firsts, same).groupBy(*keys, "_to").agg(F.max("seq").alias("seq"))
+    told = events.unionByName(carried.withColumnRenamed("_to", "_part")).withColumn("_event", F.lit(1))
+    all_rows = table.withColumn("_event", F.lit(0)).unionByName(told, allowMissingColumns=True)
+    own = Window.partitionBy("_part", *keys).orderBy("seq", "_event").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return all_rows.withColumn(name, F.max(F.when(F.col("_event") == 1, F.col("seq"))).over(own)).where("_event = 0").drop("_event")
 
 
 class Ways:
@@ -115,51 +152,43 @@ class Ways:
         return [(None if s is self.OTHER else s, s is self.OTHER, end) for states in self.starts.values() for end, group in states.items() for s in group]
 
 
-STEP = "ck string, path string, start string, seq long, op string, kind int, basis string, new_node string, dropped long, made long"
-FIELDS = [x.split()[0] for x in STEP.split(", ")]
+FIELDS = ["ck", "path", "start", "seq", "op", "kind", "basis", "new_node"]
+#: Steps that come from changes of other paths: the path falls with a directory above it, or is made as one (if absent) for something below it.
+FALL, MAKE = "(fall)", "(make)"
+ALONG = ("ck", "path", "seq", "_pos")
 #: Before all seqs.
 NEVER = -(1 << 63)
 
 
-def _between(last: int, dropped: int, made: int) -> tuple[bool, bool]:
-    """What came since the path's last own change: if it was dropped, and if it was made as a directory after that."""
-    fell = dropped > last
-    return fell, made > (dropped if fell else last)
-
-
 def _steps(batch: pd.DataFrame) -> Iterator[tuple]:
     return zip(*[batch[c].tolist() for c in ("_part", *FIELDS)])
 
 
-def _ways(rows: DataFrame, prev: dict[int, int]) -> DataFrame:
+def _ways(rows: DataFrame) -> DataFrame:
     """The ways of each key's rows in each part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = ways = begin = None
-        last = NEVER
 
         def told() -> pd.DataFrame:
             return pd.DataFrame([(*at, begin, *row) for row in ways.rows()], columns=["_part", "ck", "path", "begin", "start", "other", "end"])
 
         for batch in batches:
-            for part, ck, path, start, seq, op, kind, basis, new, dropped, made in _steps(batch):
+            for part, ck, path, start, _seq, op, kind, basis, new in _steps(batch):
                 if (part, ck, path) != at:
                     if at is not None:
                         yield told()
-                    last = prev.get(part, NEVER) if at is None or at[0] != part else NEVER
                     at, ways, begin = (part, ck, path), Ways(), start
-                fell, rose = _between(last, dropped, made)
-                if fell:
-                    ways.reset("2" if rose else None)
-                elif rose:
+                if op == FALL:
+                    ways.reset(None)
+                elif op == MAKE:
                     ways.step(None, "2")
-                if op != "delete" or basis is not None:
+                elif op != "delete" or basis is not None:
                     ways.step(basis, None if op == "delete" else f"{kind}{new}")
-                last = seq
         if at is not None:
             yield told()
 
-    return by_part(rows, run, "_part int, ck string, path string, begin string, start string, other boolean, end string")
+    return by_part(rows, run, "_part int, ck string, path string, begin string, start string, other boolean, end string", ALONG)
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,15 +211,15 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["_part", "ck", "path", "state"])
 
 
-def _starts(table: DataFrame, prev: dict[int, int]) -> dict[int, str | None]:
-    """For each part that continues a key: the state to start in."""
-    if not prev:
+def _starts(table: DataFrame, open_parts: dict[int, tuple], scratch: Scratch) -> dict[int, str | None]:
+    """For each part that continues a key (given with the key): the state to start in."""
+    if not open_parts:
         return {}
-    parts, key = list(prev), ["ck", "path"]
-    firsts = written(table.where(F.col("_part").isin(parts)).groupBy("_part").agg(F.min_by(F.struct(*key), "_pos").alias("k")).select("_part", "k.*"), "firsts")
-    hot = F.broadcast(firsts.select(*key).distinct())  # a row a part at most
+    parts, key = list(open_parts), ["ck", "path"]
+    firsts = F.broadcast(table.sparkSession.createDataFrame([(p, *k) for p, k in open_parts.items()], "_part int, ck string, path string"))  # a row a part
+    hot = F.broadcast(firsts.select(*key).distinct())
     border = sorted({*parts, *[p - 1 for p in parts]})
-    ways = written(_ways(table.where(F.col("_part").isin(border)).join(hot, key), prev), "ways")
+    ways = scratch.written(_ways(table.where(F.col("_part").isin(border)).join(hot, key)), "ways")
     # a start is of use only if it is absence, or a node that some part leads to or the index has
     node = lambda c: F.substr(c, F.lit(2)).alias("start")
     led = ways.select(*key, node("end")).unionByName(ways.select(*key, node("begin"))).where("start is not null").distinct()
@@ -199,49 +228,50 @@ def _starts(table: DataFrame, prev: dict[int, int]) -> dict[int, str | None]:
     each = table.where(F.col("_part").isin(border)).join(hot, key).groupBy(*key, "_part").agg(F.first("start").alias("begin")).withColumns(none)
     steps = each.unionByName(useful.withColumn("real", F.lit(True))).repartition(*key).sortWithinPartitions(*key, "_part", "real")
     found = steps.mapInPandas(_chain, "_part int, ck string, path string, state string")
-    return {r["_part"]: r["state"] for r in found.join(F.broadcast(firsts), ["_part", *key]).collect()}  # a row a part
+    known = {r["_part"]: r["state"] for r in found.join(firsts, ["_part", *key]).collect()}
+    scratch.drop(ways)
+    return known
 
 
 def fold(log: DataFrame, part_rows: int | None = None) -> DataFrame:
-    """(ck, path, seq, verdict, current, before_kind, after): the columns of STEP folded path by path, in order of seq. start is the state the index
-    has (a kind's digit and the node); dropped and made are the last seqs below its own at which the path fell with a directory above it,
-    or was made as one for something below it (or null). current is the node before the change."""
-    table, prev = steps_in_parts(log, part_rows)
-    return fold_parts(table, prev)
+    """(ck, path, seq, verdict, current, before_kind, after): the FIELDS folded path by path, in order of seq. start is the state the index
+    has (a kind's digit and the node). current is the node before the change."""
+    table, rows = steps_in_parts(log, part_rows)
+    return fold_parts(table, rows)
 
 
-def steps_in_parts(log: DataFrame, part_rows: int | None = None) -> tuple[DataFrame, dict[int, int]]:
-    """The steps as a table in parts, and which parts continue a key: what fold_parts takes. The order doesn't hang on dropped and made."""
-    filled = {"kind": F.coalesce("kind", F.lit(0)), "dropped": F.coalesce("dropped", F.lit(NEVER)), "made": F.coalesce("made", F.lit(NEVER))}
-    table = in_parts(log.withColumns(filled).select(*FIELDS), ["ck", "path"], ["seq", "op", "basis", "new_node"], part_rows)
-    return table, continued(table, ["ck", "path"])
+def steps_in_parts(log: DataFrame, part_rows: int | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, list]:
+    """The steps as a table in parts, and its edges: what fold_parts takes."""
+    table = in_parts(log.withColumn("kind", F.coalesce("kind", F.lit(0))).select(*FIELDS), ["ck", "path"], ["seq", "op", "basis", "new_node"], part_rows, scratch)
+    return table, edges(table, ["ck", "path"])
 
 
-def fold_parts(table: DataFrame, prev: dict[int, int]) -> DataFrame:
-    """fold, of a table made by steps_in_parts (or with other dropped and made, not null)."""
-    known = _starts(table, prev)
+def fold_parts(table: DataFrame, rows: list, scratch: Scratch | None = None) -> DataFrame:
+    """fold, of a table made by steps_in_parts, and falls and makes (FALL, MAKE) placed in it; these have no row in the result."""
+    prev = spanned(rows)
+    known = _starts(table, {r["_part"]: r["first"] for r in rows if r["_part"] in prev}, scratch or Scratch(table.sparkSession))
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, last, part = None, None, NEVER, None
+        key, state, part = None, None, None
         for batch in batches:
             found = []
-            for p, ck, path, start, seq, op, kind, basis, new, dropped, made in _steps(batch):
+            for p, ck, path, start, seq, op, kind, basis, new in _steps(batch):
                 if p != part and p in prev:
-                    state, last = known[p], prev[p]
+                    state = known[p]
                 elif p != part or (ck, path) != key:
-                    state, last = start, NEVER
+                    state = start
                 key, part = (ck, path), p
-                fell, rose = _between(last, dropped, made)
-                if fell:
-                    state = "2" if rose else None
-                elif rose and state is None:
-                    state = "2"
+                if op == FALL:
+                    state = None
+                    continue
+                if op == MAKE:
+                    state = "2" if state is None else state
+                    continue
                 ok = state is None if op != "delete" and basis is None else state is not None and state[1:] == basis
                 current, was = (None, 0) if state is None else (state[1:], int(state[0]))
                 if ok:
                     state = None if op == "delete" else f"{kind}{new}"
-                last = seq
                 found.append((ck, path, seq, "accept" if ok else "reject", current, was, state))
             yield pd.DataFrame(found, columns=["ck", "path", "seq", "verdict", "current", "before_kind", "after"])
 
-    return by_part(table, follow, "ck string, path string, seq long, verdict string, current string, before_kind int, after string")
+    return by_part(table, follow, "ck string, path string, seq long, verdict string, current string, before_kind int, after string", ALONG)
