@@ -94,7 +94,7 @@ def _judged_tree(changes: DataFrame, index: DataFrame, part_rows: int | None, sc
     whole = lambda c: F.when(F.length(c) > 23, c)
     log = log.withColumns({"put": whole(F.col("new_node")), "had": whole(F.substr("start", F.lit(2))), "basis": _short(F.col("basis")), "new_node": _short(F.col("new_node")), "start": start})
     log = scratch.written(log, "tree_log")
-    table, rows = steps_in_parts(log, part_rows, scratch)  # sorted once: rounds differ in effects only
+    table, rows = steps_in_parts(log, part_rows, scratch, True)  # sorted once: rounds differ in effects only
     asks = in_parts(_asks(table, rows), ["ck", "dir"], ["seq"], part_rows, scratch)
     asked = edges(asks, ["ck", "dir"])
     # directories that have a log and something below them that has one

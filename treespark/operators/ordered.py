@@ -12,8 +12,11 @@ from __future__ import annotations
 import bisect
 import itertools
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,22 +26,23 @@ from ..common import Scratch
 PART_ROWS = 200_000
 
 
-def in_parts(df: DataFrame, keys: list[str], order: list[str], part_rows: int | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """df as a table sorted by keys and order, with _part (ascending along the order) and _pos (within the part)."""
+def in_parts(df: DataFrame, keys: list[str], order: list[str], part_rows: int | None = None, scratch: Scratch | None = None, stored: bool = False) -> DataFrame:
+    """df (stored: of a written table, row by row) as a table sorted by keys and order, with _part (ascending along the order) and _pos (within the part)."""
     scratch = scratch or Scratch(df.sparkSession)
-    log = scratch.written(df, "log")
+    log = df if stored else scratch.written(df, "log")
     parts = max(1, -(-log.count() // (part_rows or PART_ROWS)))
     row = F.monotonically_increasing_id()  # of a sorted partition: its number, and the place in it
     sorted_rows = log.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_row", row)
     table = scratch.written(sorted_rows.withColumns({"_part": F.shiftright("_row", 33).cast("int"), "_pos": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_row"), "parts")
-    scratch.drop(log)
+    if not stored:
+        scratch.drop(log)
     return table
 
 
-def edges(table: DataFrame, keys: list[str]) -> list:
-    """(_part, first, last, since, seq) for each part in order: its first and last key, and the seqs there."""
+def edges(table: DataFrame, keys: list[str], *more: str) -> list:
+    """(_part, first, last, since, seq, ...) for each part in order: its first and last key, the seqs there, and what else the first row has."""
     first, last = F.min_by(F.struct(*keys), "_pos").alias("first"), F.max_by(F.struct(*keys), "_pos").alias("last")
-    rows = table.groupBy("_part").agg(first, last, F.min_by("seq", "_pos").alias("since"), F.max_by("seq", "_pos").alias("seq"))
+    rows = table.groupBy("_part").agg(first, last, F.min_by("seq", "_pos").alias("since"), F.max_by("seq", "_pos").alias("seq"), *[F.min_by(c, "_pos").alias(c) for c in more])
     return sorted(rows.collect(), key=lambda r: r["_part"])  # a row a part
 
 
@@ -71,9 +75,14 @@ def placed(df: DataFrame, rows: list, keys: list[str]) -> DataFrame:
     return df.withColumn("_part", part(F.struct(*keys, "seq")))
 
 
-def by_part(table: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], kind: str, order: tuple[str, ...] = ("_pos",)) -> DataFrame:
+def by_part(table: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], kind: str) -> DataFrame:
     """run over the rows of the table, whole parts in order in one task each."""
-    return table.repartition("_part").sortWithinPartitions("_part", *order).mapInPandas(run, kind)
+    return table.repartition("_part").sortWithinPartitions("_part", "_pos").mapInPandas(run, kind)
+
+
+def by_part_in_arrow(table: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
+    """by_part, for steps and what was placed among them: along ALONG."""
+    return table.repartition("_part").sortWithinPartitions("_part", *ALONG).mapInArrow(run, kind)
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -160,25 +169,42 @@ ALONG = ("ck", "path", "seq", "_pos")
 NEVER = -(1 << 63)
 
 
-def _steps(batch: pd.DataFrame) -> Iterator[tuple]:
-    return zip(*[batch[c].tolist() for c in ("_part", *FIELDS)])
+def _list(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+
+
+def _heads(batch: pa.RecordBatch, last: tuple | None) -> tuple[list[bool], tuple]:
+    """For each row, whether its part or key is another one than that of the row before (last: of the batch before); and the last row's."""
+    columns = [batch.column(c) for c in ("_part", "ck", "path")]
+    differs = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)) for c in columns]
+    heads = _list(reduce(pc.or_, differs))
+    return [tuple(c[0].as_py() for c in columns) != last, *heads], tuple(c[-1].as_py() for c in columns)
+
+
+def _steps(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*[_list(batch.column(c)) for c in ("op", "kind", "basis", "new_node")])
 
 
 def _ways(rows: DataFrame) -> DataFrame:
     """The ways of each key's rows in each part."""
+    kind = "_part int, ck string, path string, begin string, start string, other boolean, end string"
+    kinds = pa.schema([("_part", pa.int32()), ("ck", pa.string()), ("path", pa.string()), ("begin", pa.string()), ("start", pa.string()), ("other", pa.bool_()), ("end", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = ways = begin = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = ways = last = None
 
-        def told() -> pd.DataFrame:
-            return pd.DataFrame([(*at, begin, *row) for row in ways.rows()], columns=["_part", "ck", "path", "begin", "start", "other", "end"])
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(*at, *row) for row in ways.rows()]), kinds)] or [pa.array([], f.type) for f in kinds], schema=kinds)
 
         for batch in batches:
-            for part, ck, path, start, _seq, op, kind, basis, new in _steps(batch):
-                if (part, ck, path) != at:
+            if not batch.num_rows:
+                continue
+            heads, last = _heads(batch, last)
+            for i, (head, (op, kind, basis, new)) in enumerate(zip(heads, _steps(batch))):
+                if head:
                     if at is not None:
                         yield told()
-                    at, ways, begin = (part, ck, path), Ways(), start
+                    at, ways = tuple(batch.column(c)[i].as_py() for c in ("_part", "ck", "path", "start")), Ways()
                 if op == FALL:
                     ways.reset(None)
                 elif op == MAKE:
@@ -188,7 +214,7 @@ def _ways(rows: DataFrame) -> DataFrame:
         if at is not None:
             yield told()
 
-    return by_part(rows, run, "_part int, ck string, path string, begin string, start string, other boolean, end string", ALONG)
+    return by_part_in_arrow(rows, run, kind)
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,24 +237,24 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["_part", "ck", "path", "state"])
 
 
-def _starts(table: DataFrame, open_parts: dict[int, tuple], scratch: Scratch) -> dict[int, str | None]:
-    """For each part that continues a key (given with the key): the state to start in."""
-    if not open_parts:
+def _starts(table: DataFrame, rows: list, scratch: Scratch) -> dict[int, str | None]:
+    """For each part that continues a key: the state to start in."""
+    prev, key = spanned(rows), ["ck", "path"]
+    if not prev:
         return {}
-    parts, key = list(open_parts), ["ck", "path"]
-    firsts = F.broadcast(table.sparkSession.createDataFrame([(p, *k) for p, k in open_parts.items()], "_part int, ck string, path string"))  # a row a part
-    hot = F.broadcast(firsts.select(*key).distinct())
-    border = sorted({*parts, *[p - 1 for p in parts]})
-    ways = scratch.written(_ways(table.where(F.col("_part").isin(border)).join(hot, key)), "ways")
+    firsts = {r["_part"]: tuple(r["first"]) for r in rows if r["_part"] in prev}
+    # the keys that lie in several parts, with each of these and the start, which all rows of a path have: two rows a part at most
+    each = sorted({(*b["first"], p, b["start"]) for a, b in zip(rows, rows[1:]) if b["_part"] in prev for p in (a["_part"], b["_part"])}, key=lambda x: x[2])
+    each = table.sparkSession.createDataFrame(each, "ck string, path string, _part int, begin string")
+    border = sorted({*prev, *[a["_part"] for a, b in zip(rows, rows[1:]) if b["_part"] in prev]})
+    ways = scratch.written(_ways(table.where(F.col("_part").isin(border)).join(F.broadcast(each.select(*key, "_part")), [*key, "_part"])), "ways")
     # a start is of use only if it is absence, or a node that some part leads to or the index has
     node = lambda c: F.substr(c, F.lit(2)).alias("start")
     led = ways.select(*key, node("end")).unionByName(ways.select(*key, node("begin"))).where("start is not null").distinct()
     useful = ways.where("start is null").unionByName(ways.where("start is not null").join(led, [*key, "start"], "left_semi").select(ways.columns))
     none = {"start": F.lit(None).cast("string"), "other": F.lit(False), "end": F.lit(None).cast("string"), "real": F.lit(False)}
-    each = table.where(F.col("_part").isin(border)).join(hot, key).groupBy(*key, "_part").agg(F.first("start").alias("begin")).withColumns(none)
-    steps = each.unionByName(useful.withColumn("real", F.lit(True))).repartition(*key).sortWithinPartitions(*key, "_part", "real")
-    found = steps.mapInPandas(_chain, "_part int, ck string, path string, state string")
-    known = {r["_part"]: r["state"] for r in found.join(firsts, ["_part", *key]).collect()}
+    steps = each.withColumns(none).unionByName(useful.withColumn("real", F.lit(True))).repartition(*key).sortWithinPartitions(*key, "_part", "real")
+    known = {r["_part"]: r["state"] for r in steps.mapInPandas(_chain, "_part int, ck string, path string, state string").collect() if (r["ck"], r["path"]) == firsts.get(r["_part"])}
     scratch.drop(ways)
     return known
 
@@ -240,27 +266,28 @@ def fold(log: DataFrame, part_rows: int | None = None) -> DataFrame:
     return fold_parts(table, rows)
 
 
-def steps_in_parts(log: DataFrame, part_rows: int | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, list]:
+def steps_in_parts(log: DataFrame, part_rows: int | None = None, scratch: Scratch | None = None, stored: bool = False) -> tuple[DataFrame, list]:
     """The steps as a table in parts, and its edges: what fold_parts takes."""
-    table = in_parts(log.withColumn("kind", F.coalesce("kind", F.lit(0))).select(*FIELDS), ["ck", "path"], ["seq", "op", "basis", "new_node"], part_rows, scratch)
-    return table, edges(table, ["ck", "path"])
+    table = in_parts(log.withColumn("kind", F.coalesce("kind", F.lit(0))).select(*FIELDS), ["ck", "path"], ["seq", "op", "basis", "new_node"], part_rows, scratch, stored)
+    return table, edges(table, ["ck", "path"], "start")
 
 
 def fold_parts(table: DataFrame, rows: list, scratch: Scratch | None = None) -> DataFrame:
     """fold, of a table made by steps_in_parts, and falls and makes (FALL, MAKE) placed in it; these have no row in the result."""
-    prev = spanned(rows)
-    known = _starts(table, {r["_part"]: r["first"] for r in rows if r["_part"] in prev}, scratch or Scratch(table.sparkSession))
+    known = _starts(table, rows, scratch or Scratch(table.sparkSession))
 
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, part = None, None, None
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = part = last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads, last = _heads(batch, last)
             found = []
-            for p, ck, path, start, seq, op, kind, basis, new in _steps(batch):
-                if p != part and p in prev:
-                    state = known[p]
-                elif p != part or (ck, path) != key:
-                    state = start
-                key, part = (ck, path), p
+            for i, (head, (op, kind, basis, new)) in enumerate(zip(heads, _steps(batch))):
+                if head:
+                    p = batch.column("_part")[i].as_py()
+                    state = known[p] if p != part and p in known else batch.column("start")[i].as_py()
+                    part = p
                 if op == FALL:
                     state = None
                     continue
@@ -271,7 +298,10 @@ def fold_parts(table: DataFrame, rows: list, scratch: Scratch | None = None) ->
                 current, was = (None, 0) if state is None else (state[1:], int(state[0]))
                 if ok:
                     state = None if op == "delete" else f"{kind}{new}"
-                found.append((ck, path, seq, "accept" if ok else "reject", current, was, state))
-            yield pd.DataFrame(found, columns=["ck", "path", "seq", "verdict", "current", "before_kind", "after"])
+                found.append(("accept" if ok else "reject", current, was, state))
+            if found:
+                own = batch.filter(pc.invert(pc.is_in(batch.column("op"), pa.array([FALL, MAKE]))))
+                told = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.string(), pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("ck", "path", "seq")], *told], names=["ck", "path", "seq", "verdict", "current", "before_kind", "after"])
 
-    return by_part(table, follow, "ck string, path string, seq long, verdict string, current string, before_kind int, after string", ALONG)
+    return by_part_in_arrow(table, follow, "ck string, path string, seq long, verdict string, current string, before_kind int, after string")
